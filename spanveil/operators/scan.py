@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from spanveil.constants import DEFAULT_CATEGORIES
 from spanveil.functions.detectors import detect_all
+from spanveil.functions.masking import context_window, mask_context, mask_value
+from spanveil.functions.text import regex_spans
 from spanveil.session import spread
 
 
@@ -59,3 +61,133 @@ def scan_documents(
     else:
         spans = detect_all(F.col(text), categories, extra)
     return spread(docs).withColumn("spans", spans)
+
+
+def with_segments(df: DataFrame, text: str = "text") -> DataFrame:
+    """Attach ``segment_starts``: offset of every line of a combined text."""
+    breaks = regex_spans(F.col(text), "\n")
+    return df.withColumn(
+        "segment_starts", F.concat(F.array(F.lit(0)), F.transform(breaks, lambda b: b["end"]))
+    )
+
+
+def threshold_filter(findings: DataFrame, thresholds: dict[str, float]) -> DataFrame:
+    """Keep findings at or above their category threshold (0 when unset)."""
+    if not thresholds:
+        return findings
+    pairs = [F.lit(x) for item in thresholds.items() for x in item]
+    floor = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("category")), F.lit(0.0))
+    return findings.filter(F.col("confidence") >= floor)
+
+
+def threshold_spans(spans: Column, thresholds: Column) -> Column:
+    """Array form with a per-row ``map<string,double>`` of thresholds."""
+    return F.filter(
+        spans,
+        lambda s: s["confidence"]
+        >= F.coalesce(F.try_element_at(thresholds, s["category"]), F.lit(0.0)),
+    )
+
+
+def build_findings(
+    df: DataFrame,
+    keys: list[str],
+    text: str = "text",
+    *,
+    prefix: str = "",
+    source: str | None = None,
+    node_id: str | None = None,
+    pad: int = 120,
+    selected: bool = True,
+    offset: int = 0,
+    custom_categories: Iterable[str] = (),
+) -> DataFrame:
+    """Findings of scanned documents, one row per span, never the raw value.
+
+    Runs inside the row: the span index, the owning segment and the masked context
+    all come from the arrays next to the text.
+    """
+    custom = ["custom", *custom_categories]
+    origin = (
+        F.lit(source)
+        if source
+        else F.when(F.col("category").isin(custom), "custom-pattern").otherwise("local-rules")
+    )
+
+    def describe(s: Column, i: Column) -> Column:
+        owner = (
+            F.lit(node_id)
+            if node_id is not None
+            else F.concat(
+                F.lit("seg_"),
+                F.size(F.filter(F.col("segment_starts"), lambda b: b <= s["start"])) - 1,
+            )
+        )
+        return F.struct(
+            F.concat_ws("_", F.lit(prefix) if prefix else F.lit(None).cast("string"),
+                        s["category"], s["start"], s["end"], i).alias("finding_id"),
+            s["category"].alias("category"),
+            s["confidence"].alias("confidence"),
+            mask_value(s["category"], s["value"]).alias("preview"),
+            owner.alias("node_id"),
+            (s["start"] + offset).cast("bigint").alias("start_offset"),
+            (s["end"] + offset).cast("bigint").alias("end_offset"),
+            mask_context(context_window(F.col(text), s["start"], s["end"], pad)).alias(
+                "context_preview"
+            ),
+        )
+
+    built = df.withColumn("_findings", F.transform("spans", describe))
+    return (
+        explode_spans(built, "_findings", *keys)
+        .withColumn("source", origin)
+        .withColumn("selected", F.lit(selected))
+    )
+
+
+def merge_findings(base: DataFrame, *more: DataFrame) -> DataFrame:
+    """Append later findings of a session; no shuffle."""
+    for extra in more:
+        base = base.unionByName(extra, allowMissingColumns=True)
+    return base
+
+
+def apply_selection(findings: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFrame:
+    """Set ``selected`` from a table of chosen ids; attribute findings stay off."""
+    picked = chosen.select(*keys, "finding_id").distinct().withColumn("_on", F.lit(True))
+    return (
+        findings.drop("selected")
+        .join(picked, [*keys, "finding_id"], "left")
+        .withColumn(
+            "selected",
+            F.when(F.col("source") == "attr", False).otherwise(
+                F.coalesce(F.col("_on"), F.lit(False))
+            ),
+        )
+        .drop("_on")
+    )
+
+
+def leak_verify(scanned: DataFrame, redacted: str, keys: list[str],
+                categories: Iterable[str] = DEFAULT_CATEGORIES) -> DataFrame:
+    """Re-detect on the redacted text; verified when no original value survives.
+
+    Both span arrays live in the same row, so the check is an array test and not
+    a join back to the originals.
+    """
+    again = detection_column(redacted, categories)
+    return (
+        scanned.select(*keys, "spans", redacted)
+        .withColumn("_again", again)
+        .select(
+            *keys,
+            F.size("spans").cast("bigint").alias("checked"),
+            F.size(
+                F.filter(
+                    "_again",
+                    lambda a: F.exists("spans", lambda s: s["value"] == a["value"]),
+                )
+            ).cast("bigint").alias("surviving"),
+        )
+        .withColumn("verified", (F.col("surviving") == 0) & (F.col("checked") > 0))
+    )

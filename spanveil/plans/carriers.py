@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanveil.constants import ALL_CATEGORIES
 from spanveil.plans.registry import table
 
 K = "CAST(o_orderkey AS BIGINT)"
@@ -211,6 +212,18 @@ TEXTS = {
     ),
 }
 
+TEXTS["mixed"] = (
+    f"({TEXTS['ssn']} || ' ' || {TEXTS['payment_card']} || chr(10) || {TEXTS['email']} || chr(10)"
+    f" || 'é😀 ' || {TEXTS['mrn']} || ', ' || {TEXTS['dob']} || chr(10) || {TEXTS['phone']} || '; ' || {TEXTS['secrets']})"
+)
+# Values for the preview queries: well-formed, short and odd ones.
+VALUES["any"] = one_of(
+    N9, "'a.b@example.org'", "'12'", "'@x'", "'AB 12-3 cd'", VALUES["pan_india"], CARD16,
+    VALUES["mbi"], "'1-743-555-3824'", "'x'",
+)
+_NAMES = [f"'{c}'" for c in ALL_CATEGORIES]
+VALUES["category"] = one_of(*_NAMES, by=10)
+
 
 def corpus(spark: SparkSession, sf_dir: str, carrier: str) -> DataFrame:
     """All documents plus one derived text per order: (src, id, text)."""

@@ -363,3 +363,82 @@ def detector(category: str, corpus: str) -> str:
         ).replace(r"\s", WS)
         return names(corpus, label)
     raise KeyError(category)
+
+
+def resolved(raw: str) -> str:
+    """One winner per chain of overlaps, by gaps and islands."""
+    from spanveil.constants import CATEGORY_PRIORITY
+
+    return f"""
+SELECT src, id, category, start_pos, end_pos, confidence, value FROM (
+  SELECT *, sum(fresh) OVER (PARTITION BY src, id ORDER BY start_pos, end_pos
+                             ROWS UNBOUNDED PRECEDING) AS island FROM (
+    SELECT *, CASE WHEN start_pos >= coalesce(max(end_pos) OVER (
+        PARTITION BY src, id ORDER BY start_pos, end_pos
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) THEN 1 ELSE 0 END AS fresh
+    FROM ({raw})))
+QUALIFY row_number() OVER (PARTITION BY src, id, island ORDER BY
+  list_position({CATEGORY_PRIORITY}, category), start_pos - end_pos, confidence DESC,
+  start_pos, value) = 1"""
+
+
+def raw_all(corpus: str) -> str:
+    from spanveil.constants import DEFAULT_CATEGORIES
+
+    return " UNION ALL ".join(
+        f"SELECT src, id, '{c}' AS category, start_pos, end_pos, confidence, value FROM ({detector(c, corpus)})"
+        for c in DEFAULT_CATEGORIES
+    )
+
+
+def stars(v: str) -> str:
+    return f"regexp_replace({v}, '[^\\n\\r]', '*', 'g')"
+
+
+def mask_value(c: str = "category", v: str = "value") -> str:
+    d = f"regexp_replace({v}, '[^0-9]', '', 'g')"
+
+    def tail(digits, n, prefix):
+        return f"CASE WHEN length({digits}) < {n} THEN {stars(v)} ELSE '{prefix}' || right({digits}, {n}) END"
+
+    pan = f"upper(regexp_replace({v}, '[\\s-]', '', 'g'))"
+    d1 = f"regexp_replace({d}, '^1', '')"
+    return f"""(CASE {c}
+ WHEN 'email' THEN CASE WHEN strpos({v}, '@') <= 1 THEN {stars(v)}
+   ELSE substr({v}, 1, 1) || '***@' || substr({v}, strpos({v}, '@') + 1) END
+ WHEN 'phone' THEN {tail(d1, 4, '***-***-')}
+ WHEN 'ssn' THEN {tail(d, 4, '***-**-')}
+ WHEN 'canadian_sin' THEN {tail(d, 3, '***-***-')}
+ WHEN 'australian_tfn' THEN {tail(d, 3, '***-***-')}
+ WHEN 'uk_nhs' THEN {tail(d, 4, '***-***-')}
+ WHEN 'aadhaar' THEN {tail(d, 4, '****-****-')}
+ WHEN 'pan_india' THEN CASE WHEN length({pan}) < 5 THEN {stars(v)} ELSE '*****' || substr({pan}, 6) END
+ WHEN 'cpf' THEN {tail(d, 2, '***.***.***-')}
+ WHEN 'payment_card' THEN {tail(d, 4, '*' * 12)}
+ WHEN 'npi' THEN {tail(d, 4, '******-')}
+ WHEN 'dea' THEN '*********'
+ WHEN 'mbi' THEN {tail(d, 4, '*' * 7)}
+ WHEN 'dob' THEN '**/**/****'
+ WHEN 'secrets' THEN substr({v}, 1, 1) || '***'
+ WHEN 'possible_name' THEN '********'
+ ELSE regexp_replace({v}, '{"[^" + WS_SET + "]"}', '*', 'g') END)"""
+
+
+def mask_context(x: str) -> str:
+    not_ws = q("[^" + WS_SET + "]+")
+    return (
+        f"regexp_replace(regexp_replace(regexp_replace({x}, {q(f'^{WS}+|{WS}+$')}, '', 'g'), "
+        f"{not_ws}, '*', 'g'), {q(WS + '+')}, ' ', 'g')"
+    )
+
+
+def redacted(corpus: str, spans: str, repl: str) -> str:
+    """SELECT src, id, redacted: gaps and replacements stitched in order."""
+    return f"""
+SELECT c.src, c.id, coalesce(string_agg(substr(c.text, p.prev_end + 1, p.start_pos - p.prev_end)
+         || {repl}, '' ORDER BY p.start_pos), '')
+       || substr(any_value(c.text), coalesce(max(p.end_pos), 0) + 1) AS redacted
+FROM ({corpus}) c LEFT JOIN (
+  SELECT *, coalesce(lag(end_pos) OVER (PARTITION BY src, id ORDER BY start_pos), 0) AS prev_end
+  FROM ({spans})) p ON c.src = p.src AND c.id = p.id
+GROUP BY c.src, c.id"""
