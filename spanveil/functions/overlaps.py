@@ -60,7 +60,7 @@ def resolve_overlaps_long(spans: DataFrame, keys: list[str]) -> DataFrame:
 
     Used where spans already arrive as rows.  The window is per document.
     """
-    by_pos = Window.partitionBy(*keys).orderBy("start", "end")
+    by_pos = Window.partitionBy(*keys).orderBy("start", "end", "category", "confidence", "value")
     reach = F.max("end").over(by_pos.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum("fresh").over(by_pos.rowsBetween(Window.unboundedPreceding, 0))
     marked = spans.withColumn(

@@ -1,6 +1,6 @@
 """All query modules, imported for their registrations."""
 
-from spanveil.plans import detection, findings  # noqa: F401
+from spanveil.plans import detection, findings, segmentation  # noqa: F401
 
 
 def flagship(spark, sf_dir):

@@ -17,8 +17,13 @@ from spanveil.plans.detection import span_rows
 from spanveil.plans.registry import query, table
 from spanveil.session import spread
 
-MIXED = corpus_sql("mixed")
-RESOLVED = sql.resolved(sql.raw_all(MIXED))
+# Every statement over the mixed corpus starts with the texts and the resolved
+# spans as materialised tables.
+MIXED_TEXTS = corpus_sql("mixed")
+MIXED = "SELECT src, id, text FROM corpus"
+RESOLVED = "SELECT * FROM resolved"
+CORPUS = f"corpus AS MATERIALIZED ({MIXED_TEXTS})"
+SCAN = f"WITH {CORPUS}, resolved AS MATERIALIZED ({sql.resolved(sql.raw_all(MIXED))}) "
 KEYS = ["src", "id"]
 # Fixed for the queries: thresholds of a strict user.
 THRESHOLDS = {"secrets": 0.9, "medical_record_number": 0.8, "phone": 0.88, "ssn": 0.9}
@@ -38,7 +43,7 @@ def all_rows(df):
     )
 
 
-@query("detect_all", RESOLVED)
+@query("detect_all", SCAN + RESOLVED)
 def detect_all(spark, sf_dir):
     return all_rows(mixed_scan(spark, sf_dir))
 
@@ -106,7 +111,7 @@ def detect_custom_rules(spark, sf_dir):
     return all_rows(docs.withColumn("spans", cr.custom_rule_spans(F.col("text"), rules)))
 
 
-@query("threshold_filter", f"SELECT * FROM ({RESOLVED}) WHERE confidence >= {_THRESHOLD_SQL}")
+@query("threshold_filter", SCAN + f"SELECT * FROM ({RESOLVED}) WHERE confidence >= {_THRESHOLD_SQL}")
 def threshold_filter(spark, sf_dir):
     return scan.threshold_filter(all_rows(mixed_scan(spark, sf_dir)), THRESHOLDS)
 
@@ -136,13 +141,13 @@ def mixed_findings(spark, sf_dir):
     return scan.build_findings(scan.with_segments(mixed_scan(spark, sf_dir)), KEYS)
 
 
-@query("finding_build", FINDINGS)
+@query("finding_build", SCAN + FINDINGS)
 def finding_build(spark, sf_dir):
     return mixed_findings(spark, sf_dir)
 
 
 @query("finding_build_report_only",
-       _findings_sql("svg", 80, "svg", selected="false") + " UNION ALL "
+       SCAN + _findings_sql("svg", 80, "svg", selected="false") + " UNION ALL "
        + _findings_sql("caption", 80, "video-caption", offset="2000", selected="false"))
 def finding_build_report_only(spark, sf_dir):
     scanned = mixed_scan(spark, sf_dir)
@@ -153,7 +158,7 @@ def finding_build_report_only(spark, sf_dir):
     return svg.unionByName(captions)
 
 
-@query("finding_merge_media", FINDINGS + " UNION ALL "
+@query("finding_merge_media", SCAN + FINDINGS + " UNION ALL "
        + f"""SELECT src, id, 'media_img-' || (id % 8) || '_' || finding_id, category, confidence, preview,
   node_id, start_offset, end_offset, context_preview, 'local-rules', false
   FROM ({FINDINGS}) WHERE id % 2 = 0 AND confidence >= {_THRESHOLD_SQL}""")
@@ -167,7 +172,7 @@ def finding_merge_media(spark, sf_dir):
     return scan.merge_findings(base, media)
 
 
-@query("confidence_label", f"""
+@query("confidence_label", SCAN + f"""
 SELECT src, id, start_pos, CASE WHEN confidence >= 0.9 THEN 'High' WHEN confidence >= 0.7 THEN 'Medium'
   ELSE 'Low' END AS label FROM ({RESOLVED})""")
 def confidence_label(spark, sf_dir):
@@ -181,7 +186,7 @@ _SECRET_CASE = "CASE " + " ".join(
 _DISPLAY = "CASE category " + " ".join(f"WHEN '{c}' THEN {sql.q(v)}" for c, v in DISPLAY_LABELS.items()) + " ELSE category END"
 
 
-@query("secret_display_name", f"""
+@query("secret_display_name", SCAN + f"""
 SELECT src, id, start_pos, coalesce(CASE WHEN category = 'secrets' THEN {_SECRET_CASE} END, {_DISPLAY})
   AS display_name FROM ({RESOLVED})""")
 def secret_display_name(spark, sf_dir):
@@ -206,7 +211,7 @@ def mask_value(spark, sf_dir):
     return any_values(spark, sf_dir).select("id", "category", preview.alias("preview"))
 
 
-@query("mask_context", f"SELECT src, id, {sql.mask_context('text')} AS masked FROM ({MIXED})")
+@query("mask_context", f"WITH {CORPUS} SELECT src, id, {sql.mask_context('text')} AS masked FROM ({MIXED})")
 def mask_context(spark, sf_dir):
     return corpus(spark, sf_dir, "mixed").select(
         *KEYS, mk.mask_context(F.col("text")).alias("masked")
@@ -223,13 +228,13 @@ def placeholder_label(spark, sf_dir):
     )
 
 
-@query("redact_placeholder", sql.redacted(MIXED, RESOLVED, "'[REDACTED]'"))
+@query("redact_placeholder", SCAN + sql.redacted(MIXED, RESOLVED, "'[REDACTED]'"))
 def redact_placeholder(spark, sf_dir):
     redacted = mk.redact_placeholder(F.col("text"), F.col("spans"))
     return mixed_scan(spark, sf_dir).select(*KEYS, redacted.alias("redacted"))
 
 
-@query("redact_labels", sql.redacted(MIXED, RESOLVED, _LABEL.replace("category", "p.category", 1)))
+@query("redact_labels", SCAN + sql.redacted(MIXED, RESOLVED, _LABEL.replace("category", "p.category", 1)))
 def redact_labels(spark, sf_dir):
     redacted = mk.redact_labels(F.col("text"), F.col("spans"))
     return mixed_scan(spark, sf_dir).select(*KEYS, redacted.alias("redacted"))
@@ -238,7 +243,7 @@ def redact_labels(spark, sf_dir):
 _BLOCKS = "repeat('█', CAST(p.end_pos - p.start_pos AS INT))"
 
 
-@query("redact_slice", f"""
+@query("redact_slice", SCAN + f"""
 SELECT src, id, substr(redacted, lo + 1, hi - lo) AS redacted FROM (
   SELECT *, greatest(0, least(id % 50, length(redacted))) AS lo,
     greatest(greatest(0, least(id % 50, length(redacted))), least(120 + id % 7, length(redacted))) AS hi
@@ -251,15 +256,15 @@ def redact_slice(spark, sf_dir):
 
 
 @query("leak_verify", f"""
-WITH found AS MATERIALIZED ({RESOLVED}),
-red AS MATERIALIZED (SELECT src, id, redacted AS text FROM ({sql.redacted(MIXED, 'FROM found', "'[REDACTED]'").replace('(FROM found)', 'found')})),
+{SCAN}, red AS MATERIALIZED (
+  SELECT src, id, redacted AS text FROM ({sql.redacted(MIXED, RESOLVED, "'[REDACTED]'")})),
 again AS MATERIALIZED ({sql.resolved(sql.raw_all('SELECT src, id, text FROM red'))})
 SELECT c.src, c.id, coalesce(f.n, 0) AS checked, coalesce(a.n, 0) AS surviving,
        coalesce(a.n, 0) = 0 AND coalesce(f.n, 0) > 0 AS verified
 FROM ({MIXED}) c
-LEFT JOIN (SELECT src, id, count(*) AS n FROM found GROUP BY ALL) f ON c.src = f.src AND c.id = f.id
-LEFT JOIN (SELECT src, id, count(*) AS n FROM again WHERE EXISTS (SELECT 1 FROM found
-   WHERE found.src = again.src AND found.id = again.id AND found.value = again.value) GROUP BY ALL) a
+LEFT JOIN (SELECT src, id, count(*) AS n FROM resolved GROUP BY ALL) f ON c.src = f.src AND c.id = f.id
+LEFT JOIN (SELECT src, id, count(*) AS n FROM again WHERE EXISTS (SELECT 1 FROM resolved
+   WHERE resolved.src = again.src AND resolved.id = again.id AND resolved.value = again.value) GROUP BY ALL) a
   ON c.src = a.src AND c.id = a.id""")
 def leak_verify(spark, sf_dir):
     scanned = mixed_scan(spark, sf_dir)
@@ -267,7 +272,7 @@ def leak_verify(spark, sf_dir):
     return scan.leak_verify(redacted, "redacted", KEYS)
 
 
-@query("apply_selection", f"""
+@query("apply_selection", SCAN + f"""
 SELECT src, id, finding_id, CASE WHEN source = 'attr' THEN false ELSE start_offset % 2 = 0 END AS selected
 FROM (SELECT * REPLACE (CASE WHEN id % 5 = 0 THEN 'attr' ELSE source END AS source) FROM ({FINDINGS}))""")
 def apply_selection(spark, sf_dir):
@@ -295,7 +300,7 @@ def preview_conformance(spark, sf_dir):
     return rows.withColumn("conforms", mk.preview_conforms(F.col("category"), F.col("preview")))
 
 
-@query("finding_conformance", f"""
+@query("finding_conformance", SCAN + f"""
 SELECT src, id, finding_id, CASE
   WHEN NOT regexp_full_match(finding_id, '[a-z][a-z0-9:_-]{{0,127}}') THEN 'id'
   WHEN confidence < 0 OR confidence > 1 THEN 'confidence'
@@ -331,11 +336,6 @@ SELECT id * 2 + CASE WHEN src = 'gen' THEN 1 ELSE 0 END AS doc_id, (i - 1) // 20
   CAST(6 * length(ws[i]) AS DOUBLE) AS width, CAST(CASE WHEN length(ws[i]) = 2 THEN 0 ELSE 12 END AS DOUBLE) AS height
 FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM (
   SELECT src, id, list_filter(string_split(text, ' '), lambda w: w <> '') AS ws FROM ({MIXED})))"""
-_PAGED = f"""
-SELECT *, string_agg(sep || text, '') OVER (PARTITION BY doc_id, page ORDER BY seq
-    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM (
-  SELECT *, CASE WHEN seq = 0 THEN '' WHEN line <> lag(line) OVER (PARTITION BY doc_id, page ORDER BY seq)
-    THEN chr(10) ELSE ' ' END AS sep FROM ({_WORDS_SQL}))"""
 _PLACED = f"""
 SELECT *, CAST(sum(length(sep) + length(text)) OVER (PARTITION BY doc_id, page ORDER BY seq
     ROWS UNBOUNDED PRECEDING) AS BIGINT) AS end_pos, end_pos - length(text) AS start_pos FROM (
@@ -367,12 +367,12 @@ def pages(spark, sf_dir):
     return tk.assemble_pages(words(spark, sf_dir))
 
 
-@query("ocr_page_text", _PAGES)
+@query("ocr_page_text", f"WITH {CORPUS} " + _PAGES)
 def ocr_page_text(spark, sf_dir):
     return pages(spark, sf_dir).select(*tk.PAGE, "page_text")
 
 
-@query("ocr_token_spans", f"SELECT doc_id, page, seq, start_pos, end_pos, text FROM ({_PLACED})")
+@query("ocr_token_spans", f"WITH {CORPUS} SELECT doc_id, page, seq, start_pos, end_pos, text FROM ({_PLACED})")
 def ocr_token_spans(spark, sf_dir):
     return tk.token_spans(pages(spark, sf_dir))
 
@@ -386,7 +386,7 @@ def sizes(spark, sf_dir):
     })
 
 
-@query("box_scale", f"""
+@query("box_scale", f"""WITH {CORPUS}
 SELECT w.doc_id, w.page, seq, x * 612 / width_px AS x, y * 792 / height_px AS y,
   width * 612 / width_px AS width, height * 792 / height_px AS height
 FROM ({_WORDS_SQL}) w JOIN ({_SIZES}) s ON w.doc_id = s.doc_id AND w.page = s.page""")
@@ -401,7 +401,7 @@ def box_scale(spark, sf_dir):
     )
 
 
-@query("text_layer_first", f"""
+@query("text_layer_first", f"""WITH {CORPUS}
 SELECT s.doc_id, s.page, coalesce(n, 0) AS token_count, n IS NULL AS needs_ocr FROM ({_SIZES}) s
 LEFT JOIN (SELECT doc_id, page, count(*) AS n FROM ({_WORDS_SQL}) WHERE doc_id % 3 <> 0 GROUP BY ALL) t
 ON s.doc_id = t.doc_id AND s.page = t.page""")
@@ -424,7 +424,7 @@ SELECT doc_id, page, i, line, island, min(x) AS x, min(y) AS y, max(x + width) -
     SELECT *, CASE WHEN x >= coalesce(max(x + width) OVER (PARTITION BY doc_id, page, i, line ORDER BY seq
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1e9) + 10 THEN 1 ELSE 0 END AS fresh FROM ({_COVERED})))
 GROUP BY doc_id, page, i, line, island HAVING max(x + width) > min(x) AND max(y + height) > min(y)"""
-_WITH = f"WITH placed AS MATERIALIZED ({_PLACED}), pg AS MATERIALIZED ({_PAGES.replace(f'({_PLACED})', 'placed')}), found AS MATERIALIZED ({_PAGE_SPANS}), rects AS MATERIALIZED ({_RECTS})"
+_WITH = f"WITH {CORPUS}, placed AS MATERIALIZED ({_PLACED}), pg AS MATERIALIZED ({_PAGES.replace(f'({_PLACED})', 'placed')}), found AS MATERIALIZED ({_PAGE_SPANS}), rects AS MATERIALIZED ({_RECTS})"
 _CTX40 = sql.mask_context(
     "substr(page_text, greatest(start_pos - 40, 0) + 1, start_pos - greatest(start_pos - 40, 0)) || ' ' || substr(page_text, end_pos + 1, 40)"
 )

@@ -371,10 +371,10 @@ def resolved(raw: str) -> str:
 
     return f"""
 SELECT src, id, category, start_pos, end_pos, confidence, value FROM (
-  SELECT *, sum(fresh) OVER (PARTITION BY src, id ORDER BY start_pos, end_pos
+  SELECT *, sum(fresh) OVER (PARTITION BY src, id ORDER BY start_pos, end_pos, category, confidence
                              ROWS UNBOUNDED PRECEDING) AS island FROM (
     SELECT *, CASE WHEN start_pos >= coalesce(max(end_pos) OVER (
-        PARTITION BY src, id ORDER BY start_pos, end_pos
+        PARTITION BY src, id ORDER BY start_pos, end_pos, category, confidence
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) THEN 1 ELSE 0 END AS fresh
     FROM ({raw})))
 QUALIFY row_number() OVER (PARTITION BY src, id, island ORDER BY
