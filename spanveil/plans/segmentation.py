@@ -9,6 +9,7 @@ from spanveil.operators import segments as sg
 from spanveil.plans.carriers import corpus, corpus_sql
 from spanveil.plans.registry import query, table
 from spanveil.plans.sql_text import q
+from spanveil.session import spread
 from spanveil.sources import readers
 
 # Lines of the documents as text nodes; a third is wrapped in strippable blanks
@@ -34,7 +35,7 @@ def raw_segments(spark, sf_dir):
         "doc_id", F.posexplode(F.split("text", "\n")).alias("seq", "line")
     )
     wrapped = F.when(
-        F.col("seq") % 3 == 0, F.concat(F.lit("  "), "line", F.lit("​"))
+        F.col("seq") % 3 == 0, F.concat(F.lit("\u00a0 "), "line", F.lit("\u200b"))
     ).otherwise(F.col("line"))
     return lines.select(
         "doc_id", F.col("seq").cast("bigint").alias("seq"),
@@ -213,9 +214,9 @@ _ODD = "replace(replace(replace(text, ' de ', chr(160) || ' ' || chr(8203) || 'd
 
 
 def odd_text():
-    t = F.replace(F.col("text"), F.lit(" de "), F.lit("  ​de "))
-    t = F.replace(t, F.lit(". "), F.lit(".‌﻿  "))
-    return F.replace(t, F.lit("qu"), F.lit("q‍u"))
+    t = F.replace(F.col("text"), F.lit(" de "), F.lit("\u00a0 \u200bde "))
+    t = F.replace(t, F.lit(". "), F.lit(".\u200c\ufeff  "))
+    return F.replace(t, F.lit("qu"), F.lit("q\u200du"))
 
 
 @query("unicode_normalize", rf"""
@@ -223,7 +224,7 @@ SELECT doc_id, n AS normalized, n <> t AS changed FROM (SELECT doc_id, t,
   regexp_replace(replace(regexp_replace(t, '[\x{{200B}}-\x{{200D}}\x{{FEFF}}]', '', 'g'), chr(160), ' '), ' {{2,}}', ' ', 'g') AS n
   FROM (SELECT doc_id, {_ODD} AS t FROM documents))""")
 def unicode_normalize(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", odd_text().alias("t"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", odd_text().alias("t"))
     normal = sg.normalize_unicode(F.col("t"))
     return docs.select("doc_id", normal.alias("normalized"), "t").select(
         "doc_id", "normalized", (F.col("normalized") != F.col("t")).alias("changed")
@@ -239,7 +240,7 @@ kept AS (SELECT doc_id, orig FROM (SELECT *, lag(c) OVER (PARTITION BY doc_id OR
   WHERE c <> ' ' OR p IS DISTINCT FROM ' ')
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY orig) - 1 AS normalized_index, orig AS original_index FROM kept""")
 def unicode_offset_map(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", odd_text().alias("t"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", odd_text().alias("t"))
     return docs.select(
         "doc_id", F.posexplode(sg.offset_map(F.col("t"))).alias("normalized_index", "original_index")
     ).select(
