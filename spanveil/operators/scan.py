@@ -12,7 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanveil.constants import DEFAULT_CATEGORIES
+from spanveil.constants import DEFAULT_CATEGORIES, MAX_VISIBLE_CHARS
 from spanveil.functions.detectors import detect_all
 from spanveil.functions.masking import context_window, mask_context, mask_value
 from spanveil.functions.text import regex_spans
@@ -191,3 +191,13 @@ def leak_verify(scanned: DataFrame, redacted: str, keys: list[str],
         )
         .withColumn("verified", (F.col("surviving") == 0) & (F.col("checked") > 0))
     )
+
+
+def scan_stats(scanned: DataFrame, keys: list[str], text: str = "text",
+               budget: int = MAX_VISIBLE_CHARS) -> DataFrame:
+    """Size, truncation and finding count of each scan, inside the row."""
+    n = F.length(text).cast("bigint")
+    return scanned.select(
+        *keys, n.alias("visible_chars"), (n >= budget).alias("truncated"),
+        F.size("spans").cast("bigint").alias("findings"),
+    )

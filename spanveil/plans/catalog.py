@@ -1,6 +1,6 @@
 """All query modules, imported for their registrations."""
 
-from spanveil.plans import detection, findings, page_jobs, segmentation  # noqa: F401
+from spanveil.plans import detection, findings, governance, page_jobs, segmentation  # noqa: F401
 
 
 def flagship(spark, sf_dir):
