@@ -321,6 +321,16 @@ def _token_pattern(parts: Column) -> Column:
     return F.concat(let(joined, with_counts), count)
 
 
+def _pinned(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns behind a generator, so that each is computed once per row.
+
+    Plain projections would be merged and a column that later ones use inside a
+    lambda would be computed again for every array element.
+    """
+    row = F.struct(*[e.alias(n) for n, e in columns.items()])
+    return df.withColumn("_p", F.explode(F.array(row))).select("*", "_p.*").drop("_p")
+
+
 def infer_rules(examples: DataFrame) -> DataFrame:
     """Propose one pattern per rule_id from (rule_id, example, ord, is_positive).
 
@@ -337,16 +347,20 @@ def infer_rules(examples: DataFrame) -> DataFrame:
     )
     need = F.ceil(F.size("ex") * F.lit(0.6))
     reversed_ex = F.transform("ex", lambda e: F.reverse(e))
-    base = positive.withColumns({
-        "prefix": _common_prefix(F.col("ex"), need),
-        "suffix": F.reverse(_common_prefix(reversed_ex, need)),
-    })
-    bodies = F.transform("ex", lambda e: _strip(e, F.col("prefix"), F.col("suffix")))
-    base = base.withColumn("bodies", bodies)
-    sep = F.coalesce(*[
-        F.when(F.size(F.filter("bodies", lambda b, s=s: b.contains(s))) >= need, s) for s in SEPARATORS
-    ])
-    base = base.withColumn("sep", sep)
+    base = _pinned(
+        positive,
+        prefix=_common_prefix(F.col("ex"), need),
+        suffix=F.reverse(_common_prefix(reversed_ex, need)),
+    )
+    base = _pinned(
+        base, bodies=F.transform("ex", lambda e: _strip(e, F.col("prefix"), F.col("suffix")))
+    )
+
+    def holders(separator: str) -> Column:
+        return F.size(F.filter("bodies", lambda b: b.contains(separator)))
+
+    sep = F.coalesce(*[F.when(holders(s) >= need, s) for s in SEPARATORS])
+    base = _pinned(base, sep=sep)
     quoted = F.concat(F.lit("\\Q"), F.col("sep"), F.lit("\\E"))
     pieces = F.transform("bodies", lambda b: F.split(b, quoted, -1))
 
@@ -363,20 +377,18 @@ def infer_rules(examples: DataFrame) -> DataFrame:
         glue = F.concat(escape, F.col("sep"))
         return F.call_function("array_join", F.transform(used, _token_pattern), glue)
 
-    base = base.withColumn(
-        "core",
-        F.concat(
+    base = _pinned(
+        base,
+        core=F.concat(
             _generalize(F.col("prefix")),
             F.when(F.col("sep").isNotNull(), let(pieces, body)).otherwise(_token_pattern(F.col("bodies"))),
             _generalize(F.col("suffix")),
         ),
     ).withColumn("pattern", F.concat(F.lit("\\b"), "core", F.lit("\\b")))
     runnable = F.concat(F.lit("(?i)" + WB), "core", F.lit(WB))
-    safe = safe_regex(F.col("pattern"), F.lit("gi"))
-    scored = base.withColumn("_re", F.when(safe, runnable)).withColumn(
-        "matched",
-        F.when(F.col("_re").isNotNull(), F.size(F.filter("ex", lambda e: F.rlike(e, F.col("_re"))))).otherwise(0),
-    )
+    base = _pinned(base, _re=F.when(safe_regex(F.col("pattern"), F.lit("gi")), runnable))
+    hits = F.size(F.filter("ex", lambda e: F.rlike(e, F.col("_re"))))
+    scored = base.withColumn("matched", F.when(F.col("_re").isNotNull(), hits).otherwise(0))
     negatives = (
         trimmed.filter("NOT is_positive").select("rule_id", F.col("example").alias("_neg"))
         .join(scored.select("rule_id", "_re"), "rule_id")
