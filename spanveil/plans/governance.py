@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanveil.constants import ALL_CATEGORIES, DEFAULT_CATEGORIES, PRESETS
+from spanveil.constants import ALL_CATEGORIES, DEFAULT_CATEGORIES, DISPLAY_LABELS, PRESETS
 from spanveil.operators import audit, packs, policy, rules
 from spanveil.operators import scan as sc
 from spanveil.plans import sql_text as sql
-from spanveil.plans.findings import CORPUS, KEYS, MIXED, RESOLVED, SCAN, all_rows, mixed_scan, nation_rules
+from spanveil.plans.findings import (
+    FINDINGS, KEYS, MIXED, RESOLVED, SCAN, all_rows, mixed_findings, mixed_scan, nation_rules,
+)
 from spanveil.plans.registry import query, table
 from spanveil.plans.sql_text import q
 
@@ -479,7 +481,17 @@ _PKG = """SELECT s_suppkey % 20 AS tenant_id, s_suppkey AS k, 'pol' || s_suppkey
   CASE WHEN s_suppkey % 13 = 0 THEN 'malformed' WHEN s_suppkey % 5 = 0 THEN 'expired' WHEN s_suppkey % 7 = 0 THEN 'tampered' END AS problem FROM supplier"""
 
 
-@query("policy_canonical_hash")
+def _canonical_sql():
+    def rule(i):
+        cues = "CASE WHEN k % 3 = 0 THEN '\"cues\":[\"a\",\"z\"],' ELSE '' END"
+        return (f"{{'o': 'r' || (k * {i}) % 7, 'j': '{{\"category\":\"custom\",\"confidence\":0.5,' || {cues} || "
+                f"'\"description\":\"d\",\"id\":\"r' || (k * {i}) % 7 || '\",\"pattern\":\"' || s_name || '\"}}'}}")
+    return f"""SELECT policy_id, canonical, sha256(canonical) AS digest FROM (SELECT 'pol' || k AS policy_id,
+  '[' || array_to_string(list_transform(list_sort([{rule(2)}, {rule(3)}, {rule(5)}]), lambda x: x.j), ',') || ']' AS canonical
+  FROM (SELECT s_suppkey AS k, s_name FROM supplier))"""
+
+
+@query("policy_canonical_hash", _canonical_sql())
 def policy_canonical_hash(spark, sf_dir):
     rows = packages(spark, sf_dir)
     return rows.select("policy_id", policy.canonical_rules(c("rules")).alias("canonical"), policy.policy_hash(c("rules")).alias("digest"))
@@ -676,3 +688,32 @@ def successful_outputs(spark, sf_dir):
         F.when(c("o_orderstatus") == "F", "complete").otherwise("failed").alias("status"), (c("o_orderkey") * 3).alias("enqueued_at"),
     )
     return audit.successful_outputs(jobs)
+
+
+# ---- exports -------------------------------------------------------------------------
+@query("sink_audit_jsonl", f"SELECT {_LINE} AS line FROM ({_EVENTS}) WHERE outcome = 'ok'")
+def sink_audit_jsonl(spark, sf_dir):
+    return events(spark, sf_dir).filter("outcome = 'ok'").select(audit.canonical_line().alias("line"))
+
+
+_LABELLED = "CASE category " + " ".join(f"WHEN '{x}' THEN {q(v)}" for x, v in DISPLAY_LABELS.items()) + " ELSE category END"
+
+
+@query("sink_findings_csv", SCAN + f"""
+SELECT {_LABELLED} AS "Category", preview AS "Preview", CAST(round(confidence * 100) AS INT) || '%' AS "Confidence", source AS "Source",
+  '' AS "Attribute", 'N/A' AS "Page", start_offset AS "Start Offset", end_offset AS "End Offset", 0 AS "Rect Count" FROM ({FINDINGS})""")
+def sink_findings_csv(spark, sf_dir):
+    from spanveil.sources.sinks import findings_table
+
+    return findings_table(mixed_findings(spark, sf_dir))
+
+
+@query("sink_findings_json", SCAN + f"""
+SELECT src, id, '2026-01-15T00:00:00Z' AS "exportedAt", CAST(count(*) AS INT) AS "totalFindings",
+  string_agg(finding_id || '=' || preview, ',' ORDER BY start_offset) AS findings FROM ({FINDINGS}) GROUP BY src, id""")
+def sink_findings_json(spark, sf_dir):
+    from spanveil.sources.sinks import findings_envelopes
+
+    rows = findings_envelopes(mixed_findings(spark, sf_dir), KEYS, F.lit("2026-01-15T00:00:00Z"))
+    shown = F.transform("findings", lambda f: F.concat(f["id"], F.lit("="), f["preview"]))
+    return rows.withColumn("findings", joined(shown))

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from spanveil.constants import DEFAULT_CATEGORIES, MAX_AUDIT_EVENTS, SESSION_GAPS
 from spanveil.functions.masking import redact_placeholder
 from spanveil.operators.audit import DELIVERY_SECONDS
+from spanveil.operators.prefix import with_running
 from spanveil.operators.scan import build_findings, detection_column, with_segments
 
 DEBOUNCE_MS = 150
@@ -199,6 +200,13 @@ def anti_rollback_stream(packs: DataFrame) -> DataFrame:
     )
 
 
+def anti_rollback_batch(packs: DataFrame, order: str) -> DataFrame:
+    """Batch twin: running maximum of the sequence per pack, safe for a hot pack."""
+    earlier = with_running(packs, ["pack_id"], order, maxes={"_best": F.col("seq")})
+    stale = F.coalesce(F.col("seq") <= F.col("_best"), F.lit(False))
+    return earlier.withColumn("verdict", F.when(stale, "stale-sequence").otherwise("ok")).drop("_best")
+
+
 class TabGuard(StatefulProcessor):
     """Remembers a tab's first activation and judges its later messages."""
 
@@ -295,13 +303,3 @@ class RescanSink:
         found, _ = rescan_findings(now.join(touched, "doc_id", "left_semi"), known)
         untouched = known.join(touched, "doc_id", "left_anti")
         untouched.unionByName(found).write.mode("overwrite").parquet(self.path("findings", batch_id))
-
-
-# ---- batch twins for checking --------------------------------------------------------------
-def sessions_by_gap(events: DataFrame, keys: list[str], gap_seconds: Column) -> DataFrame:
-    """Gap sessions with plain windows, for comparison with the streaming forms."""
-    by_time = Window.partitionBy(*keys).orderBy("ts", "event_id")
-    late = F.col("ts").cast("double") - F.lag("ts").over(by_time).cast("double") >= gap_seconds
-    fresh = F.when(F.coalesce(late, F.lit(True)), 1).otherwise(0)
-    number = F.sum("_f").over(by_time.rowsBetween(Window.unboundedPreceding, 0))
-    return events.withColumn("_f", fresh).withColumn("session_no", number).drop("_f")
