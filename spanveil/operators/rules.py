@@ -15,6 +15,7 @@ from spanveil.constants import ALL_CATEGORIES, MAX_CUSTOM_MATCHES, MAX_CUSTOM_RU
 from spanveil.functions import checksums as ck
 from spanveil.functions.text import B0, B1, WB, let, trim_ws
 from spanveil.operators.custom_rules import java_pattern
+from spanveil.session import spread
 
 # The grammar of a rule the scanner is willing to run.  It has no
 # groups, alternation or lookaround, so only quantifiers need further checks.
@@ -453,7 +454,7 @@ def test_rules(cases: DataFrame, rules: list[Row], text: str = "text") -> DataFr
             .otherwise(0).cast("bigint").alias("match_count"),
         ),
     )
-    return cases.select(
+    return spread(cases).select(
         *[c for c in cases.columns if c != text], F.explode(counted).alias("r")
     ).select(*[c for c in cases.columns if c != text], "r.*")
 
@@ -489,7 +490,7 @@ def gate_rules(corpus: DataFrame, rules: DataFrame, limit: int = MAX_CUSTOM_RULE
         lambda r: F.struct(r["rule_id"].alias("rule_id"),
                            F.rlike(F.col("text"), r["pattern"]).cast("int").alias("hit")),
     )
-    per_text = corpus.select("kind", F.explode(hits).alias("h")).select("kind", "h.*")
+    per_text = spread(corpus).select("kind", F.explode(hits).alias("h")).select("kind", "h.*")
     k = F.col("kind")
 
     def total(kind: str, value: Column) -> Column:

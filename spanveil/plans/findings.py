@@ -346,7 +346,7 @@ FROM ({_PLACED}) GROUP BY doc_id, page"""
 
 
 def words(spark, sf_dir):
-    ws = corpus(spark, sf_dir, "mixed").select(
+    ws = spread(corpus(spark, sf_dir, "mixed")).select(
         (F.col("id") * 2 + F.when(F.col("src") == "gen", 1).otherwise(0)).alias("doc_id"),
         F.posexplode(F.filter(F.split("text", " "), lambda w: w != "")).alias("i", "text"),
     )

@@ -31,7 +31,7 @@ def _segments_sql(cap=10000):
 
 
 def raw_segments(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select(
+    lines = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", F.posexplode(F.split("text", "\n")).alias("seq", "line")
     )
     wrapped = F.when(
