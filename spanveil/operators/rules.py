@@ -444,7 +444,7 @@ def collect_rule_list(rules: DataFrame, limit: int = MAX_CUSTOM_RULES) -> list[R
     return rows
 
 
-def test_rules(cases: DataFrame, rules: list[Row], text: str = "text") -> DataFrame:
+def count_matches(cases: DataFrame, rules: list[Row], text: str = "text") -> DataFrame:
     """Match count of every rule on every case, capped; unsafe rules count 0."""
     counted = F.transform(
         rules_literal(rules),

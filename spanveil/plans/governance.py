@@ -219,7 +219,7 @@ SELECT d.doc_id, n_nationkey AS rule_id, CAST(least(len(regexp_extract_all(text,
 FROM documents d, nation""")
 def rule_test(spark, sf_dir):
     listed = rules.collect_rule_list(nation_rules(spark, sf_dir).withColumnRenamed("id", "rule_id"))
-    return rules.test_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), listed)
+    return rules.count_matches(table(spark, sf_dir, "documents").select("doc_id", "text"), listed)
 
 
 # Candidate rules: one letter pattern per nation; labels make the corpora.

@@ -52,10 +52,10 @@ def read_control_json(
 ) -> tuple[DataFrame, DataFrame]:
     """(good records, corrupt raw lines); a bad record never stops the load."""
     full = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    rows = (
-        spark.read.schema(full).option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    parsed = F.from_json(
+        "value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
     )
+    rows = spark.read.text(path).filter("trim(value) <> ''").select(parsed.alias("r")).select("r.*")
     bad = F.col("_corrupt_record")
     return rows.filter(bad.isNull()).drop("_corrupt_record"), rows.filter(
         bad.isNotNull()
