@@ -15,7 +15,7 @@ from spanveil.constants import ALL_CATEGORIES, MAX_CUSTOM_MATCHES, MAX_CUSTOM_RU
 from spanveil.functions import checksums as ck
 from spanveil.functions.text import B0, B1, WB, let, trim_ws
 from spanveil.operators.custom_rules import java_pattern
-from spanveil.session import spread
+from spanveil.session import pinned, spread
 
 # The grammar of a rule the scanner is willing to run.  It has no
 # groups, alternation or lookaround, so only quantifiers need further checks.
@@ -322,16 +322,6 @@ def _token_pattern(parts: Column) -> Column:
     return F.concat(let(joined, with_counts), count)
 
 
-def _pinned(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns behind a generator, so that each is computed once per row.
-
-    Plain projections would be merged and a column that later ones use inside a
-    lambda would be computed again for every array element.
-    """
-    row = F.struct(*[e.alias(n) for n, e in columns.items()])
-    return df.withColumn("_p", F.explode(F.array(row))).select("*", "_p.*").drop("_p")
-
-
 def infer_rules(examples: DataFrame) -> DataFrame:
     """Propose one pattern per rule_id from (rule_id, example, ord, is_positive).
 
@@ -348,12 +338,12 @@ def infer_rules(examples: DataFrame) -> DataFrame:
     )
     need = F.ceil(F.size("ex") * F.lit(0.6))
     reversed_ex = F.transform("ex", lambda e: F.reverse(e))
-    base = _pinned(
+    base = pinned(
         positive,
         prefix=_common_prefix(F.col("ex"), need),
         suffix=F.reverse(_common_prefix(reversed_ex, need)),
     )
-    base = _pinned(
+    base = pinned(
         base, bodies=F.transform("ex", lambda e: _strip(e, F.col("prefix"), F.col("suffix")))
     )
 
@@ -361,7 +351,7 @@ def infer_rules(examples: DataFrame) -> DataFrame:
         return F.size(F.filter("bodies", lambda b: b.contains(separator)))
 
     sep = F.coalesce(*[F.when(holders(s) >= need, s) for s in SEPARATORS])
-    base = _pinned(base, sep=sep)
+    base = pinned(base, sep=sep)
     quoted = F.concat(F.lit("\\Q"), F.col("sep"), F.lit("\\E"))
     pieces = F.transform("bodies", lambda b: F.split(b, quoted, -1))
 
@@ -378,7 +368,7 @@ def infer_rules(examples: DataFrame) -> DataFrame:
         glue = F.concat(escape, F.col("sep"))
         return F.call_function("array_join", F.transform(used, _token_pattern), glue)
 
-    base = _pinned(
+    base = pinned(
         base,
         core=F.concat(
             _generalize(F.col("prefix")),
@@ -387,7 +377,7 @@ def infer_rules(examples: DataFrame) -> DataFrame:
         ),
     ).withColumn("pattern", F.concat(F.lit("\\b"), "core", F.lit("\\b")))
     runnable = F.concat(F.lit("(?i)" + WB), "core", F.lit(WB))
-    base = _pinned(base, _re=F.when(safe_regex(F.col("pattern"), F.lit("gi")), runnable))
+    base = pinned(base, _re=F.when(safe_regex(F.col("pattern"), F.lit("gi")), runnable))
     hits = F.size(F.filter("ex", lambda e: F.rlike(e, F.col("_re"))))
     scored = base.withColumn("matched", F.when(F.col("_re").isNotNull(), hits).otherwise(0))
     negatives = (

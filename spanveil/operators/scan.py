@@ -89,9 +89,8 @@ def threshold_spans(spans: Column, thresholds: Column) -> Column:
     )
 
 
-def build_findings(
+def finding_array(
     df: DataFrame,
-    keys: list[str],
     text: str = "text",
     *,
     prefix: str = "",
@@ -102,17 +101,17 @@ def build_findings(
     offset: int = 0,
     custom_categories: Iterable[str] = (),
 ) -> DataFrame:
-    """Findings of scanned documents, one row per span, never the raw value.
+    """Add ``findings``: one struct per span, never with the raw value.
 
     Runs inside the row: the span index, the owning segment and the masked context
     all come from the arrays next to the text.
     """
     custom = ["custom", *custom_categories]
-    origin = (
-        F.lit(source)
-        if source
-        else F.when(F.col("category").isin(custom), "custom-pattern").otherwise("local-rules")
-    )
+
+    def origin(category: Column) -> Column:
+        if source:
+            return F.lit(source)
+        return F.when(category.isin(custom), "custom-pattern").otherwise("local-rules")
 
     def describe(s: Column, i: Column) -> Column:
         owner = (
@@ -135,14 +134,16 @@ def build_findings(
             mask_context(context_window(F.col(text), s["start"], s["end"], pad)).alias(
                 "context_preview"
             ),
+            origin(s["category"]).alias("source"),
+            F.lit(selected).alias("selected"),
         )
 
-    built = df.withColumn("_findings", F.transform("spans", describe))
-    return (
-        explode_spans(built, "_findings", *keys)
-        .withColumn("source", origin)
-        .withColumn("selected", F.lit(selected))
-    )
+    return df.withColumn("findings", F.transform("spans", describe))
+
+
+def build_findings(df: DataFrame, keys: list[str], text: str = "text", **options) -> DataFrame:
+    """Findings of scanned documents, one row each; options as in ``finding_array``."""
+    return explode_spans(finding_array(df, text, **options), "findings", *keys)
 
 
 def merge_findings(base: DataFrame, *more: DataFrame) -> DataFrame:

@@ -714,6 +714,7 @@ SELECT src, id, '2026-01-15T00:00:00Z' AS "exportedAt", CAST(count(*) AS INT) AS
 def sink_findings_json(spark, sf_dir):
     from spanveil.sources.sinks import findings_envelopes
 
-    rows = findings_envelopes(mixed_findings(spark, sf_dir), KEYS, F.lit("2026-01-15T00:00:00Z"))
+    scanned = sc.finding_array(sc.with_segments(mixed_scan(spark, sf_dir)))
+    rows = findings_envelopes(scanned, KEYS, F.lit("2026-01-15T00:00:00Z"))
     shown = F.transform("findings", lambda f: F.concat(f["id"], F.lit("="), f["preview"]))
     return rows.withColumn("findings", joined(shown))

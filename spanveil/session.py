@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "spanveil", master: str | None = None, **conf: str) -> SparkSession:
@@ -57,3 +58,13 @@ def spread(df: DataFrame) -> DataFrame:
     if size > cores * split:
         return df
     return df.repartition(cores * 2)
+
+
+def pinned(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns behind a generator, so that each is computed once per row.
+
+    Catalyst merges plain projections and pushes filters through them, and either
+    repeats a costly expression wherever its column is used.
+    """
+    row = F.struct(*[e.alias(n) for n, e in columns.items()])
+    return df.withColumn("_p", F.explode(F.array(row))).select("*", "_p.*").drop("_p")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -276,30 +276,48 @@ def rescan_findings(segments: DataFrame, known: DataFrame) -> tuple[DataFrame, D
 
 
 class RescanSink:
-    """``foreachBatch`` writer: rebuilds only the documents a batch touches.
+    """``foreachBatch`` writer that rebuilds only the documents a batch touches.
 
-    The two tables are versioned by batch id; a replayed batch overwrites its own
-    version, so a lost executor or a retried batch cannot apply a change twice.
+    Three append-only tables partitioned by version: the documents a batch
+    touched, their new segments and their new findings.  A document's state is its
+    rows of the newest version that touched it, so untouched documents are never
+    rewritten.  A batch reads older versions only and overwrites just its own, so a
+    retried batch cannot apply a change twice.
     """
 
     def __init__(self, root: str):
         self.root = root
 
-    def path(self, kind: str, version: int) -> str:
-        return f"{self.root}/{kind}/v{version}"
+    def _write(self, df: DataFrame, kind: str, version: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.root}/{kind}/version={version}")
+
+    def _read(self, spark: SparkSession, kind: str, before: int | None) -> DataFrame:
+        rows = spark.read.parquet(f"{self.root}/{kind}")
+        return rows if before is None else rows.filter(F.col("version") < before)
+
+    def current(
+        self, spark: SparkSession, kind: str, before: int | None = None,
+        only: DataFrame | None = None,
+    ) -> DataFrame:
+        """Rows of a table as of a version, for some or all documents."""
+        docs = self._read(spark, "docs", before)
+        if only is not None:
+            docs = docs.join(only, "doc_id", "left_semi")
+        newest = docs.groupBy("doc_id").agg(F.max("version").alias("version"))
+        return self._read(spark, kind, before).join(newest, ["doc_id", "version"]).drop("version")
+
+    def _apply(self, segments: DataFrame, touched: DataFrame, version: int) -> None:
+        spark = segments.sparkSession
+        self._write(segments.select("doc_id", "seq", "node_id", "text"), "segments", version)
+        stored = spark.read.parquet(f"{self.root}/segments/version={version}")
+        none = stored.select("doc_id", F.lit("").alias("finding_id")).filter("false")
+        self._write(rescan_findings(stored, none)[0], "findings", version)
+        self._write(touched, "docs", version)
 
     def seed(self, segments: DataFrame) -> None:
-        segments.select("doc_id", "seq", "node_id", "text").write.mode("overwrite").parquet(self.path("segments", -1))
-        found, _ = rescan_findings(segments, segments.select("doc_id", F.lit("").alias("finding_id")).limit(0))
-        found.write.mode("overwrite").parquet(self.path("findings", -1))
+        self._apply(segments, segments.select("doc_id").distinct(), -1)
 
     def __call__(self, changes: DataFrame, batch_id: int) -> None:
-        spark = changes.sparkSession
-        old = spark.read.parquet(self.path("segments", batch_id - 1))
-        known = spark.read.parquet(self.path("findings", batch_id - 1))
-        rescan_documents(old, changes).write.mode("overwrite").parquet(self.path("segments", batch_id))
-        now = spark.read.parquet(self.path("segments", batch_id))
         touched = changes.select("doc_id").distinct()
-        found, _ = rescan_findings(now.join(touched, "doc_id", "left_semi"), known)
-        untouched = known.join(touched, "doc_id", "left_anti")
-        untouched.unionByName(found).write.mode("overwrite").parquet(self.path("findings", batch_id))
+        old = self.current(changes.sparkSession, "segments", batch_id, touched)
+        self._apply(rescan_documents(old, changes), touched, batch_id)

@@ -1,4 +1,5 @@
 import sys
+import uuid
 from pathlib import Path
 
 import pytest
@@ -28,4 +29,4 @@ def spark():
 
 @pytest.fixture()
 def checkpoint(spark):
-    return checkpoint_root(spark)
+    return f"{checkpoint_root(spark)}/spanveil-tests-{uuid.uuid4().hex}"

@@ -185,7 +185,8 @@ def test_sinks_write_what_they_say(spark, tmp_path):
     sinks.write_findings_csv(found, str(tmp_path / "csv"))
     text = "".join(p.read_text() for p in (tmp_path / "csv").glob("part-*"))
     assert "SSN,***-**-9999,93%,local-rules" in text and ",3,0,11,0" in text
-    sinks.write_findings_json(found, ["doc_id"], F.lit("2026-01-01T00:00:00Z"), str(tmp_path / "json"))
+    arrays = found.select("doc_id", F.array(F.struct(*[c for c in found.columns if c != "doc_id"])).alias("findings"))
+    sinks.write_findings_json(arrays, ["doc_id"], F.lit("2026-01-01T00:00:00Z"), str(tmp_path / "json"))
     body = json.loads("".join(p.read_text() for p in (tmp_path / "json").glob("part-*")))
     assert body["totalFindings"] == 1 and body["findings"][0]["preview"] == "***-**-9999"
     sinks.write_audit_jsonl(spark.createDataFrame([("{}",)], "line string"), str(tmp_path / "audit"))

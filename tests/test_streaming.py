@@ -93,8 +93,8 @@ def test_incremental_rescan(spark, tmp_path, checkpoint):
     changes = stream(spark, tmp_path, "ch", [(1, 0, "a", "gone", "removed"), (1, 1, "b", "amy@ex.org", "text")], schema + ", kind string")
     q = changes.writeStream.foreachBatch(sink).option("checkpointLocation", f"{checkpoint}/rescan").trigger(availableNow=True).start()
     q.awaitTermination(180)
-    found = spark.read.parquet(sink.path("findings", 0))
+    found = sink.current(spark, "findings")
     assert {(r.doc_id, r.finding_id) for r in found.collect()} == {(1, "email_0_10_0"), (2, "ssn_0_11_0")}
     # A replayed batch lands in the same version.
     sink(spark.createDataFrame([(1, 0, "a", "gone", "removed"), (1, 1, "b", "amy@ex.org", "text")], schema + ", kind string"), 0)
-    assert spark.read.parquet(sink.path("segments", 0)).filter(F.col("doc_id") == 1).count() == 1
+    assert sink.current(spark, "segments").filter(F.col("doc_id") == 1).count() == 1
