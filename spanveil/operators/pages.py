@@ -379,6 +379,28 @@ def media_queue(candidates: DataFrame, keep: int = MAX_MEDIA_PER_PAGE) -> tuple[
     return queued, counts
 
 
+def pdf_queue(els: DataFrame, pages: DataFrame) -> DataFrame:
+    """Embedded PDFs, one row per page and resolved URL, in document order."""
+    raw = F.coalesce(_attr("src"), _attr("data"), F.lit(""))
+    rows = els.filter(
+        (F.col("kind") == "element") & ~F.col("hidden") & F.col("tag").isin("embed", "object", "iframe")
+    ).filter(_pdf() & (raw != "")).join(pages.select("page_id", "url"), "page_id")
+    origin = F.regexp_extract("url", "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
+    scheme = F.regexp_extract("url", "^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
+    folder = F.regexp_extract("url", "^([A-Za-z][A-Za-z0-9+.-]*://[^?#]*/)", 1)
+    # A base without a path has no slash after its host; its folder is the root.
+    base = F.when(F.length(folder) > F.length(origin), folder).otherwise(F.concat(origin, F.lit("/")))
+    resolved = (
+        F.when(raw.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), raw)
+        .when(raw.startswith("//"), F.concat(scheme, raw))
+        .when(raw.startswith("/"), F.concat(origin, raw))
+        .otherwise(F.concat(base, raw))
+    )
+    return rows.select("page_id", "seq", "path", resolved.alias("pdf_url")).groupBy(
+        "page_id", "pdf_url"
+    ).agg(F.min("seq").alias("seq"), F.min_by("path", "seq").alias("path"))
+
+
 def image_candidates(images: DataFrame, keep: int = MAX_IMAGE_CANDIDATES) -> DataFrame:
     """Largest images per page with enough pixels to hold text."""
     pixels = F.col("width") * F.col("height")

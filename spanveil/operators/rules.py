@@ -67,6 +67,12 @@ def safe_regex(pattern: Column, flags: Column, limit: int = MAX_PATTERN) -> Colu
     return F.coalesce(ok, F.lit(False))
 
 
+def may_match_empty(pattern: Column) -> Column:
+    """True when every atom is optional or of zero width, so a match may be empty."""
+    atoms = rf"(?:{_ESCAPE}|[A-Za-z0-9_./:#@,;'\"~!$%&+=-]|{_CLASS}){_OPTIONAL}"
+    return pattern.rlike(rf"^(?:\\[bB]{_QUANT}?|{atoms})+$")
+
+
 # Statuses of a contributed rule.
 STATUSES = ["local_only", "submitted", "under_review", "accepted", "rejected"]
 
@@ -256,6 +262,7 @@ _EMPTY = "cast(array() as array<string>)"
 # Separators in order of preference; classes in order of preference.
 SEPARATORS = ["-", ".", "/", "_", " "]
 CLASSES = [("[A-Z]", "[A-Z]"), ("[a-z]", "[a-z]"), ("[0-9]", "\\d"), ("[-./_ ]", "[-./_ ]")]
+# Caveats reported with an inferred pattern.
 LIMIT_FEW = "Fewer than 5 examples were provided. More examples improve pattern quality."
 LIMIT_LOOSE = (
     "No common prefix or separator was detected. The pattern may have a higher false-positive rate."

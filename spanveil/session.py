@@ -52,6 +52,8 @@ def spread(df: DataFrame) -> DataFrame:
     are returned untouched, so no text is shuffled at scale.
     """
     spark = df.sparkSession
+    if not hasattr(df, "_jdf"):
+        return df  # plan statistics need a classic session
     cores = spark.sparkContext.defaultParallelism
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

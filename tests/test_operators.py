@@ -191,3 +191,25 @@ def test_sinks_write_what_they_say(spark, tmp_path):
     assert body["totalFindings"] == 1 and body["findings"][0]["preview"] == "***-**-9999"
     sinks.write_audit_jsonl(spark.createDataFrame([("{}",)], "line string"), str(tmp_path / "audit"))
     assert "".join(p.read_text() for p in (tmp_path / "audit").glob("part-*")) == "{}\n"
+
+
+def test_pdf_queue_resolves_and_dedupes(spark):
+    html = ('<body><embed type="application/pdf" src="a.pdf"><object data="/b.PDF?x"></object><iframe src="a.pdf"></iframe>'
+            '<div hidden><embed src="c.pdf"></div><iframe src="https://o.example/page"></iframe></body>')
+    pages = spark.createDataFrame([(1, "https://a.example/d/p.html", html)], "page_id long, url string, html string")
+    got = sorted(r.pdf_url for r in pg.pdf_queue(pg.elements(pages), pages).collect())
+    assert got == ["https://a.example/b.PDF?x", "https://a.example/d/a.pdf"]
+
+
+def test_unsafe_and_empty_rules_never_run(spark):
+    patterns = [r"\bok\d\b", "(a+)+", r"\ba*", "x*"]
+    table = spark.createDataFrame([(i, "custom", p, "g", 0.5) for i, p in enumerate(patterns)],
+                                  "id int, category string, pattern string, flags string, confidence double")
+    assert [r["pattern"] for r in collect_rules(table)] == [r"\bok\d\b"]
+
+
+def test_entry_has_rows_and_registry_is_whole(spark):
+    import __spark_entry__ as entry
+
+    assert entry.entry(spark).count() > 0
+    assert set(entry.oracle_sql()) <= set(entry.queries())
