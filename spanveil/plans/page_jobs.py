@@ -149,7 +149,7 @@ def caption_text(spark, sf_dir):
 
 
 # Lineitem rows stand for media elements of a page (the order's month of customer).
-_MEDIA = """SELECT l_suppkey AS page_id, l_orderkey * 10 + l_linenumber AS seq,
+_MEDIA = """SELECT l_suppkey AS page_id, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS seq,
   CASE l_linenumber % 3 WHEN 0 THEN 'img' WHEN 1 THEN 'canvas' ELSE 'video' END AS tag,
   'https://cdn' || (l_partkey % 3) || '.example.com/i' || (l_partkey % 40) || '.png' AS url,
   CAST(l_quantity AS INT) * 12 AS width, CAST(l_quantity AS INT) * 10 AS height,
@@ -160,7 +160,7 @@ def media(spark, sf_dir):
     c = F.col
     n, p = c("l_linenumber"), c("l_partkey")
     return table(spark, sf_dir, "lineitem").select(
-        c("l_suppkey").alias("page_id"), (c("l_orderkey") * 10 + n).alias("seq"),
+        c("l_suppkey").alias("page_id"), ((c("l_orderkey") * 10 + n) * 1000000 + p).alias("seq"),
         F.when(n % 3 == 0, "img").when(n % 3 == 1, "canvas").otherwise("video").alias("tag"),
         F.concat(F.lit("https://cdn"), p % 3, F.lit(".example.com/i"), p % 40, F.lit(".png")).alias("url"),
         (c("l_quantity").cast("int") * 12).alias("width"), (c("l_quantity").cast("int") * 10).alias("height"),
