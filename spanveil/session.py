@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +46,24 @@ def checkpoint_root(spark: SparkSession) -> str:
     return os.path.join(tempfile.mkdtemp(prefix="spark-"), "checkpoints")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let every executor import this package; done once per application.
+
+    The sources go out through Spark's own file service, as ``--py-files`` does, so
+    executors need neither an installation nor a folder in common with the driver.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_spanveil_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="spark-"), "spanveil.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    context.addPyFile(archive)
+    context._spanveil_shipped = True
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a small input one partition per core before CPU-heavy work.
 
