@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spanveil.llm.license_scan import scan_licenses
+from spanveil.llm.token_counts import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op1_license_scan")
 def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+#: Tokenizer file of the count query; a path all executors have.
+TOKENIZER = "word_bpe_49k.json"
+
+
+@query("op7_token_counts")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
