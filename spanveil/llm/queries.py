@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spanveil.llm.language_id import identify
 from spanveil.llm.license_scan import scan_licenses
+from spanveil.llm.quality_classifier import classify
 from spanveil.llm.simhash import near_duplicates
 from spanveil.llm.token_counts import count_tokens
 
@@ -47,3 +49,13 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_simhash")
 def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op4_quality_classifier")
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
