@@ -89,14 +89,16 @@ def texts(column: pa.Array) -> list[bytes]:
 class Words:
     """Words of a column: byte ranges, 64-bit codes and the first word of each row.
 
-    ``separator`` is a table of 256 booleans.  ``first[i]:first[i + 1]`` are the
+    ``separator`` is a table of 256 booleans, ``fold`` one of 256 replacement bytes.  ``first[i]:first[i + 1]`` are the
     words of row i.  Codes are polynomial hashes over random byte codes.
     """
 
-    def __init__(self, column: pa.Array, separator: np.ndarray, codes: bool = True):
+    def __init__(self, column: pa.Array, separator: np.ndarray, codes: bool = True, fold: np.ndarray | None = None):
         offsets, raw = _buffers(column.fill_null(""))
         base = int(offsets[0])
         self.data = raw[base:int(offsets[-1])]
+        if fold is not None:
+            self.data = fold[self.data]
         rows = offsets - base
         inside = ~separator[self.data]
         begins = inside.copy()
@@ -116,6 +118,11 @@ class Words:
         return len(self.starts)
 
 
+#: Lower case for A-Z only.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
 def separators(chars: bytes = BLANKS) -> np.ndarray:
     table = np.zeros(256, bool)
     table[list(chars)] = True

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spanveil.llm.decontamination import contaminated
 from spanveil.llm.language_id import identify
 from spanveil.llm.license_scan import scan_licenses
 from spanveil.llm.quality_classifier import classify
@@ -59,3 +60,8 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_language_id")
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
+
+
+@query("op10_decontamination")
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
