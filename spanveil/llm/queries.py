@@ -10,7 +10,9 @@ from spanveil.llm.decontamination import contaminated
 from spanveil.llm.language_id import identify
 from spanveil.llm.license_scan import scan_licenses
 from spanveil.llm.quality_classifier import classify
+from spanveil.llm.quality_rules import apply_rules
 from spanveil.llm.simhash import near_duplicates
+from spanveil.llm.source_mixing import mix
 from spanveil.llm.token_counts import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +67,13 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_decontamination")
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_source_mixing")
+def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).drop("copies")
+
+
+@query("op8_quality_rules")
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
