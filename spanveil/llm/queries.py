@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spanveil.llm import line_dedup
 from spanveil.llm.decontamination import contaminated
 from spanveil.llm.language_id import identify
 from spanveil.llm.license_scan import scan_licenses
@@ -77,3 +78,8 @@ def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_quality_rules")
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op3_line_dedup", line_dedup.SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
