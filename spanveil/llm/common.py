@@ -27,17 +27,18 @@ def map_arrow(
     columns: list[str],
     schema: str,
     work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None],
+    limit: int = 4 << 20,
 ) -> DataFrame:
     """Apply ``work`` to record batches holding only ``columns``; no shuffle.
 
-    A batch is cut so that ``work`` sees about 4 MB of text at a time (one row at
-    least), which bounds what numpy needs however Spark sized the batch.
+    A batch is cut so that ``work`` sees about ``limit`` bytes of text at a time (one
+    row at least), which bounds what numpy needs however Spark sized the batch.
     """
     ship_package(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit):
                 out = work(part)
                 if out is None:
                     continue
@@ -50,9 +51,16 @@ def map_arrow(
 
 
 def slices(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Pieces of a batch by the size of its first string column."""
+    """Pieces of a batch by the size of its first binary column, or else string column.
+
+    A column named ``text`` goes before others.
+    """
     n = batch.num_rows
-    column = next((c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_large_string(c.type)), None)
+    kinds = (pa.types.is_binary, pa.types.is_large_binary, pa.types.is_string, pa.types.is_large_string)
+    held = [c for k in kinds for c in batch.columns if k(c.type)]
+    if "text" in batch.schema.names:
+        held = [batch.column(batch.schema.names.index("text"))]
+    column = held[0] if held else None
     if n == 0:
         return
     if column is None:

@@ -151,3 +151,22 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, model).select(
         "doc_id", F.coalesce(fold, F.lit(False)).alias("held_out"), "lang_pred", "score"
     )
+
+
+#: Least share of the largest language of a document that is kept.
+LEAST_SHARE = 0.5
+
+
+def with_known_language(docs: DataFrame, least: float = LEAST_SHARE) -> DataFrame:
+    """``docs`` without those that are ``und`` or have no language of at least ``least``.
+
+    Learns from every row with a language.  All columns stay, nothing is shuffled.
+    """
+    model = fit(docs, F.lit(True))
+    place = docs.columns.index("text")
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = [max(model.infer(t).values(), default=0.0) >= least for t in texts(batch.column(place))]
+        return batch.filter(pa.array(keep, pa.bool_()))
+
+    return map_arrow(docs, docs.columns, docs.schema, work)

@@ -167,18 +167,19 @@ def without_duplicate_lines(docs: DataFrame) -> DataFrame:
     word, and rows without an id are kept unchanged.  Rows equal in id and text are
     treated alike; within one id the earliest line is kept in all of them.
     """
-    removed = duplicate_lines(docs).withColumnRenamed("doc_id", "_id").withColumnRenamed("text_key", "_key")
-    joined = docs.join(removed, (F.col("doc_id") == F.col("_id")) & (_text_key() == F.col("_key")), "left")
+    removed = duplicate_lines(docs).toDF("__id", "__key", "__removed")
+    joined = docs.join(removed, (F.col("doc_id") == F.col("__id")) & (_text_key() == F.col("__key")), "left")
     lines = F.split("text", "\n")
     rest = F.transform(
-        F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed")), lambda i: F.get(lines, i)
+        F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__removed")), lambda i: F.get(lines, i)
     )
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
-    out = pinned(joined, _new=text).where(F.col("removed").isNull() | F.col("_new").rlike(r"[^\x20\x09-\x0D]"))
-    out = out.withColumn("text", F.col("_new"))
+    cut = F.col("__removed").isNotNull()
+    text = F.when(cut, F.array_join(rest, "\n")).otherwise(F.col("text"))
+    # a generator computes the new text once, for the filter and the columns
+    out = joined.withColumn("__text", F.explode(F.array(text))).where(~cut | F.col("__text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("removed").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(cut, F.char_length("__text").cast("long")).otherwise(F.col("n_chars")))
+    return out.withColumn("text", F.col("__text")).select(*docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:

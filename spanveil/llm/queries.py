@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spanveil.llm import line_dedup
+import corpus_pipeline
+from spanveil.llm import line_dedup, substring_dedup
 from spanveil.llm.decontamination import contaminated
 from spanveil.llm.language_id import identify
 from spanveil.llm.license_scan import scan_licenses
@@ -83,3 +85,12 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_line_dedup", line_dedup.SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
+@query("op2_substring_dedup", substring_dedup.SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanveil.llm.common import map_arrow, stored, texts
@@ -170,3 +170,16 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return prints.join(classes, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group, that of the smallest id.
+
+    Of rows with that id one stays.  Rows without an id cannot be named in a group;
+    they stay as they are.  All columns stay.
+    """
+    named = docs.where(F.col("doc_id").isNotNull())
+    keep = near_duplicates(named, distance).where("doc_id = component_id").select("doc_id").distinct()
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    kept = named.join(keep, "doc_id", "left_semi").withColumn("__number", number).where("__number = 1")
+    return kept.select(*docs.columns).union(docs.where(F.col("doc_id").isNull()).select(*docs.columns))

@@ -95,7 +95,7 @@ def solve(groups: DataFrame, wanted: DataFrame) -> DataFrame:
     return state.withColumn("level", F.round("level", 9))
 
 
-def mix(docs: DataFrame) -> DataFrame:
+def mix(docs: DataFrame, keep_source: bool = False) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies), one row per row of ``docs``.
 
     Null sources are a source of their own, the last.  Empty and null texts have size
@@ -141,5 +141,29 @@ def mix(docs: DataFrame) -> DataFrame:
     at = F.col("before") + F.col("rate") * (F.col("ahead") + F.col("place"))
     copies = (F.floor(at + F.col("rate") + 0.5 - 1e-9) - F.floor(at + 0.5 - 1e-9)).cast("long")
     return placed.withColumn("copies", F.least(copies, F.lit(int(MOST)))).select(
-        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies"
+        "doc_id", *(["source_key"] if keep_source else []), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies"
+    )
+
+
+MIXED = ("size", "source_size", "target", "copies", "taken")
+
+
+def mixture(docs: DataFrame) -> DataFrame:
+    """``docs`` that the mix takes, with how often: the columns of ``MIXED`` are added
+    (or replaced).  Rows of one id, source and size share their copies evenly."""
+    name = lambda c: f"__{c}"
+    base = docs.select([c for c in docs.columns if c not in MIXED])
+    key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
+    shares = mix(docs, keep_source=True).groupBy("doc_id", "source_key", "size").agg(
+        F.first("source_size").alias("source_size"), F.first("target").alias("target"),
+        F.floor(F.sum("copies") / F.count("*")).cast("long").alias("copies"),
+    ).where("copies > 0")
+    shares = shares.toDF("__id", "__key", *[name(c) for c in ("size", "source_size", "target", "copies")])
+    joined = base.join(
+        shares,
+        F.col("doc_id").eqNullSafe(F.col("__id")) & (key == F.col("__key")) & (size_of(F.col("text")) == F.col("__size")),
+    )
+    return joined.select(
+        *base.columns, *[F.col(name(c)).alias(c) for c in ("size", "source_size", "target", "copies")],
+        (F.col("__copies") * F.col("__size")).alias("taken"),
     )
