@@ -80,9 +80,9 @@ def solve(groups: DataFrame, wanted: DataFrame) -> DataFrame:
         short = F.col("target") - F.col("words")
         low = F.when(short > 0, F.col("level")).otherwise(F.col("low"))
         high = F.when(short > 0, F.col("high")).otherwise(F.col("level"))
-        newton = F.col("level") + short / F.col("slope")
-        inside = (F.col("slope") > 0) & (newton > low) & (newton < high)
-        gap = F.when(F.col("target") > 0, short / F.col("target")).otherwise(0.0)
+        newton = F.col("level") + F.try_divide(short, F.col("slope"))
+        inside = F.coalesce((newton > low) & (newton < high), F.lit(False))
+        gap = F.coalesce(F.try_divide(short, F.col("target")), F.lit(0.0))
         # a source at its limit has every rate at its limit
         gap = F.when((F.col("target") >= MOST * F.col("source_size")) & (F.col("level") >= _REACH / 2), 0.0).otherwise(gap)
         met = F.abs(gap) <= TOLERANCE
@@ -108,7 +108,7 @@ def mix(docs: DataFrame, keep_source: bool = False) -> DataFrame:
     groups = stored(sized.groupBy("source_key", "size").agg(F.count("*").alias("n")))
     sums = groups.groupBy("source_key").agg(
         F.sum(F.col("n") * F.col("size")).alias("source_size"),
-        (F.sum(F.col("n") * F.col("size") * F.col("size")) / F.sum(F.col("n") * F.col("size"))).alias("mean"),
+        F.try_divide(F.sum(F.col("n") * F.col("size") * F.col("size")), F.sum(F.col("n") * F.col("size"))).alias("mean"),
     )
     named = sums.withColumn("source", F.when(F.col("source_key") != "n", F.substring("source_key", 2, 2**31 - 1)))
     wanted = stored(
