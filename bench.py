@@ -16,7 +16,7 @@ from spanveil.functions.masking import redact_placeholder
 from spanveil.operators.scan import explode_spans, scan_documents
 from spanveil.plans import catalog  # noqa: F401
 from spanveil.plans.registry import QUERIES, table
-from spanveil.session import build_session
+from spanveil.session import SCAN_PARTITIONS, build_session
 
 
 def drain(df) -> None:
@@ -55,7 +55,7 @@ def main() -> None:
         "bench", f"local[{cpus}]",
         **{
             "spark.ui.enabled": "false", "spark.driver.memory": "16g",
-            "spark.sql.shuffle.partitions": cpus, "spark.ui.showConsoleProgress": "false",
+            "spark.sql.shuffle.partitions": cpus, SCAN_PARTITIONS: str(2 * int(cpus)), "spark.ui.showConsoleProgress": "false",
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

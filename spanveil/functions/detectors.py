@@ -399,8 +399,22 @@ def raw_spans(text: Column, categories: Iterable[str] = DEFAULT_CATEGORIES) -> C
 
 def detect_all(text: Column, categories: Iterable[str] = DEFAULT_CATEGORIES,
                extra: Column | None = None) -> Column:
-    """Resolved spans of the enabled detectors plus an optional extra span array."""
+    """Resolved spans of the enabled detectors and of ``extra`` spans (user rules) of
+    enabled categories."""
     found = raw_spans(text, categories)
     if extra is not None:
-        found = F.concat(found, extra)
+        enabled = list(categories)
+        found = F.concat(found, F.filter(extra, lambda s: s["category"].isin(enabled)))
     return resolve_overlaps(found)
+
+
+def detect_enabled(text: Column, enabled: Column, extra: Column | None = None) -> Column:
+    """Resolved spans of the categories in the row's own ``enabled`` array.
+
+    Spans of other categories are dropped before overlaps are resolved, so that what
+    is off can never hide what is on.
+    """
+    found = raw_spans(text, DETECTORS)
+    if extra is not None:
+        found = F.concat(found, extra)
+    return resolve_overlaps(F.filter(found, lambda s: F.array_contains(enabled, s["category"])))

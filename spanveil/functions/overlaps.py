@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanveil.constants import CATEGORY_PRIORITY
-from spanveil.functions.text import SPAN, let, no_spans
+from spanveil.functions.text import SPAN, fold_out, let
 
 
 def priority(category: Column) -> Column:
@@ -26,33 +26,21 @@ def _rank(s: Column) -> Column:
 def resolve_overlaps(spans: Column) -> Column:
     """Array form: one ordered fold inside the row, no shuffle."""
 
-    def step(acc: Column, s: Column) -> Column:
+    def step(acc: Column, s: Column) -> tuple[dict[str, Column], Column, Column]:
         fresh = s["start"] >= acc["reach"]
         take = fresh | (_rank(s) < _rank(acc["best"]))
-        done = F.when(
-            fresh & acc["best"].isNotNull(), F.concat(acc["out"], F.array(acc["best"]))
-        ).otherwise(acc["out"])
-        return F.struct(
-            F.greatest(acc["reach"], s["end"]).alias("reach"),
-            F.when(take, s).otherwise(acc["best"]).alias("best"),
-            done.alias("out"),
-        )
-
-    zero = F.struct(
-        F.lit(-1).alias("reach"),
-        F.expr(f"cast(null as {SPAN})").alias("best"),
-        no_spans().alias("out"),
-    )
+        state = {
+            "reach": F.greatest(acc["reach"], s["end"]),
+            "best": F.when(take, s).otherwise(acc["best"]),
+        }
+        return state, fresh & acc["best"].isNotNull(), acc["best"]
 
-    def fold(sorted_spans: Column) -> Column:
-        return F.aggregate(
-            sorted_spans, zero, step, lambda a: F.concat(a["out"], F.array(a["best"]))
-        )
+    state = {"reach": F.lit(-1), "best": F.expr(f"cast(null as {SPAN})")}
 
-    return let(
-        spans,
-        lambda a: F.when(F.size(a) > 1, fold(F.array_sort(a))).otherwise(a),
-    )
+    def fold(spans: Column) -> Column:
+        return fold_out(F.array_sort(spans), state, step, SPAN, lambda a: F.array(a["best"]))
+
+    return let(spans, lambda a: F.when(F.size(a) > 1, fold(a)).otherwise(a))
 
 
 def resolve_overlaps_long(spans: DataFrame, keys: list[str]) -> DataFrame:

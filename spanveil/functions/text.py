@@ -108,27 +108,101 @@ def match_spans(
         columns.append(F.regexp_extract_all(text, ahead, F.lit(1)).alias("r"))
     pieces = F.filter(F.arrays_zip(*columns), lambda p: p["m"].isNotNull())
 
-    def step(acc: Column, piece: Column) -> Column:
+    def step(acc: Column, piece: Column) -> tuple[dict[str, Column], Column | None, Column]:
         start = acc["pos"] + F.length(piece["g"])
         end = start + F.length(piece["m"])
         left = F.right(F.concat(acc["tail"], piece["g"]), F.lit(window)) if window else F.lit("")
         accept, made = emit(
             Match(piece["m"], start, end, left, piece["r"] if rest else None)
         )
+        tail = F.right(F.concat(left, piece["m"]), F.lit(window)) if window else F.lit("")
+        return {"pos": end, "tail": tail}, accept, made
+
+    folded = fold_out(pieces, {"pos": F.lit(0), "tail": F.lit("")}, step, item)
+    return F.when(F.rlike(text, regex), folded).otherwise(
+        F.expr(f"cast(array() as array<{item}>)")
+    )
+
+
+#: Items folded at a time; an output array is never grown beyond it item by item.
+_BLOCK = 256
+#: Items of a chunk, from which blocks are cut.
+_CHUNK = 16_384
+
+
+def fold_out(
+    items: Column,
+    state: dict[str, Column],
+    step: Callable[[Column, Column], tuple[dict[str, Column], Column | None, Column]],
+    item: str,
+    finish: Callable[[Column], Column] | None = None,
+) -> Column:
+    """Ordered fold over ``items`` that emits an array of ``item``.
+
+    ``step`` returns the next state, whether to emit (None: always) and what.
+    ``finish`` turns the last state into an array put at the end.  Appending copies an
+    array, so outputs are collected per block of items and flattened once: the time is
+    linear in the items.
+    """
+    none = F.expr(f"cast(array() as array<{item}>)")
+
+    def pack(values: dict[str, Column], out: Column) -> Column:
+        return F.struct(*[v.alias(k) for k, v in values.items()], out.alias("out"))
+
+    def one(acc: Column, x: Column) -> Column:
+        values, accept, made = step(acc, x)
         grown = F.concat(acc["out"], F.array(made))
         if accept is not None:
             grown = F.when(accept, grown).otherwise(acc["out"])
-        tail = F.right(F.concat(left, piece["m"]), F.lit(window)) if window else F.lit("")
-        return F.struct(end.alias("pos"), tail.alias("tail"), grown.alias("out"))
+        return pack(values, grown)
+
+    nested = F.expr(f"cast(array() as array<array<{item}>>)")
+
+    def parts(xs: Column, size: int) -> Column:
+        return F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / size).cast("int"))
+
+    def folded(xs: Column) -> Column:
+        def chunk(acc: Column, c: Column) -> Column:
+            def block(held: Column, b: Column) -> Column:
+                # results are not bound by ``let``, which would copy all that is collected
+                return F.aggregate(
+                    F.slice(c, b * _BLOCK + 1, _BLOCK), pack({k: held[k] for k in state}, none), one,
+                    lambda r: pack({k: r[k] for k in state}, F.concat(held["out"], F.array(r["out"]))),
+                )
+
+            return F.aggregate(
+                parts(c, _BLOCK), pack({k: acc[k] for k in state}, nested), block,
+                lambda r: pack({k: r[k] for k in state}, F.concat(acc["out"], F.array(F.flatten(r["out"])))),
+            )
+
+        def end(acc: Column) -> Column:
+            flat = F.flatten(acc["out"])
+            return flat if finish is None else F.concat(flat, finish(acc))
+
+        # a slice copies its whole source first, so blocks are cut from chunks
+        chunks = F.transform(parts(xs, _CHUNK), lambda c: F.slice(xs, c * _CHUNK + 1, _CHUNK))
+        many = F.aggregate(chunks, pack(state, nested), chunk, end)
+        few = F.aggregate(
+            xs, pack(state, none), one,
+            lambda a: a["out"] if finish is None else F.concat(a["out"], finish(a)),
+        )
+        return F.when(F.size(xs) > _BLOCK, many).otherwise(few)
+
+    return let(items, folded)
 
-    zero = F.struct(
-        F.lit(0).alias("pos"),
-        F.lit("").alias("tail"),
-        F.expr(f"cast(array() as array<{item}>)").alias("out"),
+
+def ranks_in(starts: Column, places: Column) -> Column:
+    """For each of ``places`` how many of ``starts`` are not after it; both ascend.
+
+    One merge of the two arrays instead of a scan of all starts for every place.
+    """
+    marks = F.concat(
+        F.transform(starts, lambda x: F.struct(x.cast("long").alias("at"), F.lit(0).alias("kind"))),
+        F.transform(places, lambda x: F.struct(x.cast("long").alias("at"), F.lit(1).alias("kind"))),
     )
-    folded = F.aggregate(pieces, zero, step, lambda acc: acc["out"])
-    return F.when(F.rlike(text, regex), folded).otherwise(
-        F.expr(f"cast(array() as array<{item}>)")
+    return fold_out(
+        F.array_sort(marks), {"n": F.lit(0)},
+        lambda a, m: ({"n": a["n"] + 1 - m["kind"]}, m["kind"] == 1, a["n"]), "int",
     )
 
 

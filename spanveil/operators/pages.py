@@ -18,7 +18,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanveil.constants import MAX_ATTRIBUTE_CHARS, MAX_IMAGE_CANDIDATES, MAX_MEDIA_PER_PAGE
+from spanveil.constants import MAX_IMAGE_CANDIDATES, MAX_MEDIA_PER_PAGE
 from spanveil.functions.text import WS_SET
 from spanveil.session import spread
 
@@ -203,7 +203,7 @@ def collapse(text: Column) -> Column:
     return F.regexp_replace(one, "^ | $", "")
 
 
-def attributes(els: DataFrame, cap: int = MAX_ATTRIBUTE_CHARS) -> DataFrame:
+def attributes(els: DataFrame, cap: int | None = None) -> DataFrame:
     """Scanned attribute values; report-only, so they carry no node offsets."""
     names = [F.lit(n) for n in SCANNED_ATTRIBUTES]
     listed = F.transform(
@@ -214,12 +214,13 @@ def attributes(els: DataFrame, cap: int = MAX_ATTRIBUTE_CHARS) -> DataFrame:
         els.filter((F.col("kind") == "element") & ~F.col("ignored"))
         .select("page_id", "seq", F.explode(F.filter(listed, lambda x: x["v"].isNotNull())).alias("a"))
     )
+    value = collapse(F.col("a.v"))
     return raw.select(
         F.col("page_id").alias("doc_id"),
         (F.col("seq") * len(SCANNED_ATTRIBUTES) + F.col("a.i")).alias("seq"),
         F.col("a.name").alias("attribute"),
-        F.substring(collapse(F.col("a.v")), 1, cap).alias("text"),
-        (F.length(collapse(F.col("a.v"))) > cap).alias("truncated"),
+        (value if cap is None else F.substring(value, 1, cap)).alias("text"),
+        (F.lit(False) if cap is None else F.length(value) > cap).alias("truncated"),
     ).filter("text <> ''")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import sys
 from functools import reduce
 
@@ -11,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanveil.constants import ALL_CATEGORIES, MAX_CUSTOM_MATCHES, MAX_CUSTOM_RULES
+from spanveil.constants import ALL_CATEGORIES
 from spanveil.functions import checksums as ck
 from spanveil.functions.text import B0, B1, WB, let, trim_ws
 from spanveil.operators.custom_rules import java_pattern
@@ -131,8 +133,8 @@ def community_rule_valid(r, size_limit: int = 500) -> Column:
 
 
 def upsert(existing: DataFrame, updates: DataFrame, deleted: DataFrame | None = None,
-           keep: int = MAX_CUSTOM_RULES) -> DataFrame:
-    """Replace by id, else append; the first ``keep`` rules per owner stay.
+           keep: int | None = None) -> DataFrame:
+    """Replace by id, else append; with ``keep`` only the first so many per owner stay.
 
     Both inputs carry (owner, pos, id, ...); updates come after all existing
     positions.  A replaced rule keeps its place.
@@ -146,9 +148,9 @@ def upsert(existing: DataFrame, updates: DataFrame, deleted: DataFrame | None =
         F.max_by(F.struct(*payload), F.struct("_new", "pos")).alias("_row"),
     )
     order = Window.partitionBy("owner").orderBy("_place")
+    placed = merged.withColumn("pos", F.row_number().over(order))
     return (
-        merged.withColumn("pos", F.row_number().over(order))
-        .filter(F.col("pos") <= keep)
+        (placed if keep is None else placed.filter(F.col("pos") <= keep))
         .select("owner", "id", F.col("pos").cast("bigint").alias("pos"), "_row.*")
     )
 
@@ -329,17 +331,17 @@ def _token_pattern(parts: Column) -> Column:
     return F.concat(let(joined, with_counts), count)
 
 
-def infer_rules(examples: DataFrame) -> DataFrame:
+def infer_rules(examples: DataFrame, keep: int | None = MAX_EXAMPLES) -> DataFrame:
     """Propose one pattern per rule_id from (rule_id, example, ord, is_positive).
 
-    The first 50 positive examples of a rule count, so what one group collects is
-    bounded; they are chosen by rank before anything is gathered.
+    The first ``keep`` positive examples of a rule count (None: all); they are chosen
+    by rank before anything is gathered.
     """
     trimmed = examples.withColumn("example", trim_ws(F.col("example"))).filter("example <> ''")
     by_rule = Window.partitionBy("rule_id").orderBy("ord")
     positive = (
         trimmed.filter("is_positive").withColumn("_n", F.row_number().over(by_rule))
-        .filter(f"_n <= {MAX_EXAMPLES}")
+        .filter("true" if keep is None else f"_n <= {keep}")
         .groupBy("rule_id").agg(F.array_sort(F.collect_list(F.struct("ord", "example"))).alias("_s"))
         .select("rule_id", F.transform("_s", lambda x: x["example"]).alias("ex"))
     )
@@ -433,21 +435,26 @@ def rules_literal(rows: list[Row], key: str = "rule_id") -> Column:
     ])
 
 
-def collect_rule_list(rules: DataFrame, limit: int = MAX_CUSTOM_RULES) -> list[Row]:
+def collect_rule_list(rules: DataFrame, limit: int | None = None) -> list[Row]:
     rows = rules.withColumn("safe", safe_regex(F.col("pattern"), F.col("flags"))).orderBy(
-        "rule_id").take(limit + 1)
-    if len(rows) > limit:
+        "rule_id").collect()
+    if limit is not None and len(rows) > limit:
         raise ValueError(f"more than {limit} rules in one run; split the rule table")
     return rows
 
 
-def count_matches(cases: DataFrame, rules: list[Row], text: str = "text") -> DataFrame:
-    """Match count of every rule on every case, capped; unsafe rules count 0."""
+def count_matches(cases: DataFrame, rules: list[Row], text: str = "text", most: int | None = None) -> DataFrame:
+    """Match count of every rule on every case (``most`` at most); unsafe rules count 0."""
+
+    def matches(pattern: Column) -> Column:
+        n = F.regexp_count(F.col(text), pattern)
+        return n if most is None else F.least(n, F.lit(most))
+
     counted = F.transform(
         rules_literal(rules),
         lambda r: F.struct(
             r["rule_id"].alias("rule_id"),
-            F.when(r["safe"], F.least(F.regexp_count(F.col(text), r["pattern"]), F.lit(MAX_CUSTOM_MATCHES)))
+            F.when(r["safe"], matches(r["pattern"]))
             .otherwise(0).cast("bigint").alias("match_count"),
         ),
     )
@@ -468,24 +475,38 @@ PROHIBITED = [
 ]
 
 
-def gate_rules(corpus: DataFrame, rules: DataFrame, limit: int = MAX_CUSTOM_RULES) -> DataFrame:
+def compiles(pattern: str | None) -> bool:
+    """Whether a pattern of the rule dialect can be compiled at all."""
+    if pattern is None or re.search(r"\(\?[P(]", pattern):
+        return False
+    try:
+        re.compile(re.sub(r"\(\?<(?![=!])", "(?P<", pattern))
+    except (re.error, OverflowError, RecursionError):
+        return False
+    return True
+
+
+def gate_rules(corpus: DataFrame, rules: DataFrame) -> DataFrame:
     """Acceptance verdict per rule over a labelled corpus (kind, text).
 
-    ``kind`` is positive, negative or benign.  Every text is read once; hits are
-    summed per rule on the map side, so only rule counts are shuffled.
+    ``kind`` is positive, negative or benign.  Static checks come first: a pattern with a
+    prohibited construct or one that does not compile is reported and never run.  Every
+    text is read once; hits are summed per rule on the map side, so only rule counts are
+    shuffled.  Without a corpus every rule is still reported.
     """
-    rows = rules.orderBy("rule_id").take(limit + 1)
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} candidate rules in one run")
+    rows = rules.orderBy("rule_id").collect()
+    refused = {r["rule_id"] for r in rows if any(re.search(p, r["pattern"] or "") for _, p in PROHIBITED)}
+    broken = [r["rule_id"] for r in rows if r["rule_id"] not in refused and not compiles(r["pattern"])]
     listed = F.array(*[
         F.struct(F.lit(r["rule_id"]).alias("rule_id"),
-                 F.lit(java_pattern(r["pattern"], r["flags"])).alias("pattern"))
+                 F.lit(java_pattern(r["pattern"], r["flags"]) if runs else None).cast("string").alias("pattern"))
         for r in rows
-    ])
+        for runs in [r["rule_id"] not in broken and r["rule_id"] not in refused]
+    ]) if rows else F.expr("cast(array() as array<struct<rule_id:string,pattern:string>>)")
     hits = F.transform(
         listed,
         lambda r: F.struct(r["rule_id"].alias("rule_id"),
-                           F.rlike(F.col("text"), r["pattern"]).cast("int").alias("hit")),
+                           F.coalesce(F.rlike(F.col("text"), r["pattern"]), F.lit(False)).cast("int").alias("hit")),
     )
     per_text = spread(corpus).select("kind", F.explode(hits).alias("h")).select("kind", "h.*")
     k = F.col("kind")
@@ -502,6 +523,7 @@ def gate_rules(corpus: DataFrame, rules: DataFrame, limit: int = MAX_CUSTOM_RULE
     c = F.col
     budget = F.when(c("category") == "secrets", MAX_BENIGN_PER_20K_SECRETS).otherwise(MAX_BENIGN_PER_20K)
     checks = [
+        (c("rule_id").isin(broken) if broken else F.lit(False), "does not compile"),
         *[(c("pattern").rlike(p), f"prohibited construct: {n}") for n, p in PROHIBITED],
         (~F.coalesce(c("confidence").between(0, 1), F.lit(False)), "confidence"),
         (c("n_pos") == 0, "no positives"),
@@ -516,7 +538,11 @@ def gate_rules(corpus: DataFrame, rules: DataFrame, limit: int = MAX_CUSTOM_RULE
         F.array(*[F.when(F.coalesce(bad, F.lit(False)), name) for bad, name in checks]),
         lambda x: x.isNotNull(),
     )
-    return rules.join(F.broadcast(facts), "rule_id").select(
+    # one row a rule, as many as the list above
+    joined = rules.join(F.broadcast(facts), "rule_id", "left").na.fill(
+        0, ["n_pos", "hit_pos", "hit_neg", "n_ben", "hit_ben"]
+    )
+    return joined.select(
         "rule_id", "n_pos", "hit_pos", "hit_neg", "n_ben", "hit_ben", failures.alias("failures"),
         (F.size(failures) == 0).alias("accepted"),
     )

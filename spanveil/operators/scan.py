@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from spanveil.constants import DEFAULT_CATEGORIES, MAX_VISIBLE_CHARS
 from spanveil.functions.detectors import detect_all
 from spanveil.functions.masking import context_window, mask_context, mask_value
-from spanveil.functions.text import regex_spans
+from spanveil.functions.text import let, ranks_in, regex_spans
 from spanveil.session import spread
 
 
@@ -113,15 +113,8 @@ def finding_array(
             return F.lit(source)
         return F.when(category.isin(custom), "custom-pattern").otherwise("local-rules")
 
-    def describe(s: Column, i: Column) -> Column:
-        owner = (
-            F.lit(node_id)
-            if node_id is not None
-            else F.concat(
-                F.lit("seg_"),
-                F.size(F.filter(F.col("segment_starts"), lambda b: b <= s["start"])) - 1,
-            )
-        )
+    def describe(s: Column, i: Column, owners: Column | None) -> Column:
+        owner = F.lit(node_id) if owners is None else F.concat(F.lit("seg_"), F.get(owners, i) - 1)
         return F.struct(
             F.concat_ws("_", F.lit(prefix) if prefix else F.lit(None).cast("string"),
                         s["category"], s["start"], s["end"], i).alias("finding_id"),
@@ -138,7 +131,12 @@ def finding_array(
             F.lit(selected).alias("selected"),
         )
 
-    return df.withColumn("findings", F.transform("spans", describe))
+    if node_id is not None:
+        return df.withColumn("findings", F.transform("spans", lambda s, i: describe(s, i, None)))
+    # spans ascend, so their segments come from one merge with the segment starts
+    owners = ranks_in(F.col("segment_starts"), F.transform("spans", lambda s: s["start"]))
+    found = let(owners, lambda o: F.transform("spans", lambda s, i: describe(s, i, o)))
+    return df.withColumn("findings", found)
 
 
 def build_findings(df: DataFrame, keys: list[str], text: str = "text", **options) -> DataFrame:

@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanveil.constants import MAX_NODE_CHARS, MAX_VISIBLE_CHARS
-from spanveil.functions.text import WS_SET, let
+from spanveil.functions.text import WS_SET, fold_out, let
 from spanveil.operators.prefix import with_running
 
 # White space plus NBSP and zero-width space, as stripped from page text.
 _TRIM = rf"[{WS_SET}\x{{200B}}]"
 
 
-def trim_segments(raw: DataFrame, cap: int = MAX_NODE_CHARS) -> DataFrame:
-    """Trim (doc_id, seq, raw, is_input); drop blanks; mark what the cap cuts.
+def trim_segments(raw: DataFrame, cap: int | None = None) -> DataFrame:
+    """Trim (doc_id, seq, raw, is_input); drop blanks; mark what a cap cuts.
 
     ``start_offset`` is the length of the stripped lead for text nodes and 0 for
     input values, whose text is not anchored in a node.
@@ -24,19 +23,24 @@ def trim_segments(raw: DataFrame, cap: int = MAX_NODE_CHARS) -> DataFrame:
     return (
         raw.withColumn("_t", trimmed)
         .filter(F.length("_t") > 0)
-        .withColumn("text", F.substring("_t", 1, cap))
+        .withColumn("text", F.col("_t") if cap is None else F.substring("_t", 1, cap))
         .withColumn("start_offset", F.when(F.col("is_input"), 0).otherwise(lead))
         .select(
             "doc_id", "seq", F.concat(F.lit("seg_"), "seq").alias("node_id"),
             F.col("start_offset").cast("bigint").alias("start_offset"),
             (F.col("start_offset") + F.length("text")).cast("bigint").alias("end_offset"),
-            "text", (F.length("_t") > cap).alias("truncated"),
+            "text", (F.lit(False) if cap is None else F.length("_t") > cap).alias("truncated"),
         )
     )
 
 
-def apply_budget(segments: DataFrame, budget: int = MAX_VISIBLE_CHARS) -> DataFrame:
-    """Keep a segment while the total before it is under the document's budget."""
+def apply_budget(segments: DataFrame, budget: int | None = None) -> DataFrame:
+    """Keep a segment while the total before it is under the document's budget.
+
+    Without a budget all segments stay and nothing is computed.
+    """
+    if budget is None:
+        return segments
     n = F.length("text").cast("bigint")
     running = with_running(segments, ["doc_id"], "seq", sums={"chars_before": n})
     return running.filter(F.col("chars_before") < budget).withColumn(
@@ -47,7 +51,7 @@ def apply_budget(segments: DataFrame, budget: int = MAX_VISIBLE_CHARS) -> DataFr
 def scan_text(segments: DataFrame) -> DataFrame:
     """One row per document: segments joined by line breaks, and their starts.
 
-    Meant for budgeted segments: the budget bounds what one document collects.
+    The combined text of a document is one value, so a document's segments meet in a row.
     """
     grouped = segments.groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.struct("seq", "node_id", "start_offset", "text"))).alias("s"),
@@ -56,15 +60,9 @@ def scan_text(segments: DataFrame) -> DataFrame:
     texts = F.transform("s", lambda x: x["text"])
 
     def starts(s: Column) -> Column:
-        return F.aggregate(
-            s,
-            F.struct(F.lit(0).cast("bigint").alias("pos"),
-                     F.expr("cast(array() as array<bigint>)").alias("out")),
-            lambda a, x: F.struct(
-                (a["pos"] + F.length(x["text"]) + 1).alias("pos"),
-                F.concat(a["out"], F.array(a["pos"])).alias("out"),
-            ),
-            lambda a: a["out"],
+        return fold_out(
+            s, {"pos": F.lit(0).cast("bigint")},
+            lambda a, x: ({"pos": a["pos"] + F.length(x["text"]) + 1}, None, a["pos"]), "bigint",
         )
 
     return grouped.select(
@@ -133,20 +131,17 @@ def redact_segments(segments: DataFrame, mapped: DataFrame, block: str = "█")
         lambda h: F.struct((h["node_start"] - base).alias("s"), (h["node_end"] - base).alias("e")),
     )
 
-    def paint(acc: Column, h: Column) -> Column:
+    def paint(acc: Column, h: Column) -> tuple[dict[str, Column], None, Column]:
         lo = F.greatest(h["s"], acc["pos"])
         hi = F.greatest(h["e"], lo)
-        return F.struct(
-            hi.alias("pos"),
-            F.concat(
-                acc["out"], F.substr(F.col("text"), acc["pos"] + 1, lo - acc["pos"]),
-                F.repeat(F.lit(block), (hi - lo).cast("int")),
-            ).alias("out"),
+        piece = F.concat(
+            F.substr(F.col("text"), acc["pos"] + 1, lo - acc["pos"]), F.repeat(F.lit(block), (hi - lo).cast("int"))
         )
+        return {"pos": hi}, None, piece
 
-    zero = F.struct(F.lit(0).cast("bigint").alias("pos"), F.lit("").alias("out"))
-    painted = F.aggregate(
-        ordered, zero, paint, lambda a: F.concat(a["out"], F.substr(F.col("text"), a["pos"] + 1))
+    rest = lambda a: F.array(F.substr(F.col("text"), a["pos"] + 1))
+    painted = F.array_join(
+        fold_out(ordered, {"pos": F.lit(0).cast("bigint")}, paint, "string", rest), ""
     )
     return segments.join(hits, ["doc_id", "node_id"], "left").withColumn("text", painted).drop("hits")
 

@@ -105,14 +105,14 @@ SELECT id, value, (regexp_matches(value, {sql.q(sql.sec.PLACEHOLDER_PREFIX)})
   OR regexp_matches(value, {sql.q(sql.sec.ENVIRONMENT_REFERENCE)})
   OR (regexp_matches(value, {sql.q(sql.re2(sql.sec.LOCAL_HOST))})
       AND regexp_matches(value, {sql.q(sql.sec.DEFAULT_LOGIN)}))) AS is_placeholder
-FROM (SELECT src, id, regexp_extract(text, '(?:password: |client_secret=)(.*)$', 1) AS value
-      FROM ({corpus_sql("secrets")}) WHERE src = 'gen') WHERE value <> ''""")
+FROM (SELECT id, regexp_extract(text, '(?:password: |client_secret=)(.*)$', 1) AS value
+      FROM ({corpus_sql("secrets")})) WHERE value <> ''""")
 def secret_placeholder_filter(spark, sf_dir):
     from spanveil.functions.secrets import is_placeholder
 
     value = F.regexp_extract("text", "(?:password: |client_secret=)(.*)$", 1)
     return (
-        corpus(spark, sf_dir, "secrets").filter("src = 'gen'")
+        corpus(spark, sf_dir, "secrets")
         .select("id", value.alias("value")).filter("value <> ''")
         .select("id", "value", is_placeholder(F.col("value")).alias("is_placeholder"))
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanveil.constants import PLACEHOLDER_LABELS, DISPLAY_LABELS
+from spanveil.constants import DEFAULT_CATEGORIES, DISPLAY_LABELS, PLACEHOLDER_LABELS
 from spanveil.functions import masking as mk
 from spanveil.functions.overlaps import resolve_overlaps_long
 from spanveil.functions.text import span
@@ -43,11 +43,6 @@ def all_rows(df):
     )
 
 
-@query("detect_all", SCAN + RESOLVED)
-def detect_all(spark, sf_dir):
-    return all_rows(mixed_scan(spark, sf_dir))
-
-
 # Overlapping raw spans cut from the documents themselves: three shapes that nest
 # and chain, so that most clusters have several members.
 _SHAPES = [
@@ -93,16 +88,20 @@ def nation_rules(spark, sf_dir):
     )
 
 
-@query("detect_custom_rules", f"""
+def _custom_sql(corpus):
+    return f"""
 SELECT src, id, category, start_pos, end_pos, CAST(confidence AS DOUBLE) AS confidence, value FROM (
  SELECT src, id, category, confidence, m[i] AS value,
    CAST(list_sum(list_transform(g[1:i], lambda x: length(x)))
      + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS start_pos,
    start_pos + length(m[i]) AS end_pos
- FROM (SELECT *, unnest(range(1, least(len(m), 1000) + 1)) AS i FROM (
+ FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (
   SELECT d.src, d.id, r.category, r.confidence,
     regexp_extract_all(d.text, '(?i)' || r.pattern) AS m, string_split_regex(d.text, '(?i)' || r.pattern) AS g
-  FROM ({_DOCS}) d, ({_RULES_SQL}) r WHERE length(d.text) <= 100000)))""")
+  FROM ({corpus}) d, ({_RULES_SQL}) r)))"""
+
+
+@query("detect_custom_rules", _custom_sql(_DOCS))
 def detect_custom_rules(spark, sf_dir):
     rules = cr.collect_rules(nation_rules(spark, sf_dir))
     docs = spread(table(spark, sf_dir, "documents")).select(
@@ -111,6 +110,18 @@ def detect_custom_rules(spark, sf_dir):
     return all_rows(docs.withColumn("spans", cr.custom_rule_spans(F.col("text"), rules)))
 
 
+# Built-in categories and the user rules of enabled categories compete together.
+_ENABLED = [*DEFAULT_CATEGORIES, "custom"]
+
+
+@query("detect_all", f"WITH {CORPUS} " + sql.resolved(
+    sql.raw_all(MIXED) + f" UNION ALL SELECT src, id, category, start_pos, end_pos, confidence, value FROM ({_custom_sql(MIXED)})"
+))
+def detect_all(spark, sf_dir):
+    rules = cr.custom_rule_spans(F.col("text"), cr.collect_rules(nation_rules(spark, sf_dir)))
+    return all_rows(scan.scan_documents(corpus(spark, sf_dir, "mixed"), categories=_ENABLED, extra=rules))
+
+
 @query("threshold_filter", SCAN + f"SELECT * FROM ({RESOLVED}) WHERE confidence >= {_THRESHOLD_SQL}")
 def threshold_filter(spark, sf_dir):
     return scan.threshold_filter(all_rows(mixed_scan(spark, sf_dir)), THRESHOLDS)

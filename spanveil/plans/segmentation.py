@@ -22,10 +22,10 @@ _T = rf"[{WS_SET}\x{{200B}}]"
 _TRIMMED = f"regexp_replace(raw, {q(f'^{_T}+|{_T}+$')}, '', 'g')"
 
 
-def _segments_sql(cap=10000):
+def _segments_sql():
     return f"""SELECT doc_id, seq, 'seg_' || seq AS node_id, start_offset,
   start_offset + length(text) AS end_offset, text, truncated FROM (
-  SELECT doc_id, seq, substr(t, 1, {cap}) AS text, length(t) > {cap} AS truncated,
+  SELECT doc_id, seq, t AS text, false AS truncated,
     CASE WHEN is_input THEN 0 ELSE length(raw) - length(regexp_replace(raw, {q(f'^{_T}+')}, '')) END AS start_offset
   FROM (SELECT *, {_TRIMMED} AS t FROM ({_RAW})) WHERE t <> '')"""
 
@@ -47,10 +47,10 @@ def segments(spark, sf_dir):
     return sg.trim_segments(raw_segments(spark, sf_dir))
 
 
-@query("src_documents", "SELECT doc_id, lang, source, length(text) AS chars FROM documents WHERE lang IN ('en', 'de')")
+@query("src_documents", "SELECT doc_id, lang, source, length(text) AS chars FROM documents")
 def src_documents(spark, sf_dir):
     docs = readers.read_documents(spark, f"{sf_dir}/documents.parquet")
-    return docs.filter(F.col("lang").isin("en", "de")).select(
+    return docs.select(
         "doc_id", "lang", "source", F.length("text").cast("bigint").alias("chars")
     )
 
@@ -96,9 +96,9 @@ def intake_admission(spark, sf_dir):
     return readers.admit(jobs).select("seq", "file_key", "refusal")
 
 
-@query("segment_trim", _segments_sql(80))
+@query("segment_trim", _segments_sql())
 def segment_trim(spark, sf_dir):
-    return sg.trim_segments(raw_segments(spark, sf_dir), cap=80)
+    return sg.trim_segments(raw_segments(spark, sf_dir))
 
 
 _SEG = f"seg AS MATERIALIZED ({_segments_sql()})"

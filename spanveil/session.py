@@ -64,22 +64,18 @@ def ship_package(spark: SparkSession) -> None:
     context._spanveil_shipped = True
 
 
+#: Session setting: partitions that scans are dealt to before CPU-heavy work.
+SCAN_PARTITIONS = "spark.spanveil.scanPartitions"
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Give a small input one partition per core before CPU-heavy work.
+    """Deal a scan to as many partitions as the caller set in ``SCAN_PARTITIONS``.
 
-    A file that is one row group arrives as a single task no matter how many
-    cores there are.  Inputs that already fill the cluster with full-size splits
-    are returned untouched, so no text is shuffled at scale.
+    Unset, as on a cluster whose files make enough splits, the input stays as it is
+    read and no text is shuffled.  It is for inputs of one row group on many cores.
     """
-    spark = df.sparkSession
-    if not hasattr(df, "_jdf"):
-        return df  # plan statistics need a classic session
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size > cores * split:
-        return df
-    return df.repartition(cores * 2)
+    wanted = df.sparkSession.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(wanted)) if wanted else df
 
 
 def pinned(df: DataFrame, **columns: Column) -> DataFrame:

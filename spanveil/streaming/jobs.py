@@ -17,7 +17,6 @@ from spanveil.operators.scan import build_findings, detection_column, with_segme
 
 DEBOUNCE_MS = 150
 RESCAN_QUIET_MS = 500
-MAX_CHANGES_PER_KIND = 500
 RESET_ABOVE = 50
 SCAN_SECONDS = 60
 
@@ -63,15 +62,17 @@ def guard_messages(messages: DataFrame, policies: DataFrame, activations: DataFr
 
 
 # ---- windows ---------------------------------------------------------------------
-def debounce(changes: DataFrame, quiet_ms: int = DEBOUNCE_MS, watermark: str = "10 seconds") -> DataFrame:
+def debounce(changes: DataFrame, quiet_ms: int = DEBOUNCE_MS, watermark: str = "10 seconds",
+             most: int | None = None) -> DataFrame:
     """Bursts of changes per document, closed by a quiet gap.
 
-    Input: doc_id, ts, kind (added, removed or text).  A burst counts at most 500
-    changes of a kind; above 50 in all the session is reset, not rescanned.
+    Input: doc_id, ts, kind (added, removed or text).  Above 50 changes in all the
+    session is reset, not rescanned.  With ``most`` a kind counts so many at most.
     """
 
     def capped(kind: str) -> Column:
-        return F.least(F.count_if(F.col("kind") == kind), F.lit(MAX_CHANGES_PER_KIND))
+        n = F.count_if(F.col("kind") == kind)
+        return n if most is None else F.least(n, F.lit(most))
 
     bursts = (
         changes.withWatermark("ts", watermark)

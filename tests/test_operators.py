@@ -3,14 +3,17 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanveil.operators import pages as pg
-from spanveil.operators import rules, tokens as tk
+from spanveil.functions.text import WB, WS_SET, fold_out, regex_spans
+from spanveil.operators import policy, rules, tokens as tk
 from spanveil.operators import segments as sg
-from spanveil.operators.custom_rules import collect_rules, custom_rule_spans
+from spanveil.operators.custom_rules import collect_rules, custom_rule_spans, java_pattern
 from spanveil.operators.prefix import with_running
+from spanveil.operators.scan import scan_documents
 from spanveil.sources import readers, sinks
 
 HTML = """<!DOCTYPE html><html><head><title>skip me</title></head><body>
@@ -161,14 +164,79 @@ def test_gate_boundary(spark):
     assert run(corpus).failures == ["precision"] and run(good).accepted
 
 
-def test_custom_rules_respect_limits(spark):
-    table = spark.createDataFrame([(1, "custom", r"\bid\d+\b", "gi", 0.7)], "id int, category string, pattern string, flags string, confidence double")
-    listed = collect_rules(table)
-    df = spark.createDataFrame([("ID1 id22 xid3",), ("id5 " * 30_000,)], "text string")
-    sizes = [len(r.s) for r in df.select(custom_rule_spans(F.col("text"), listed).alias("s")).collect()]
-    assert sizes == [2, 0]
-    whole = [len(r.s) for r in df.select(custom_rule_spans(F.col("text"), listed, None, 10).alias("s")).collect()]
-    assert whole == [2, 10]
+def test_gate_reports_what_it_never_runs(spark):
+    schema = "rule_id string, pattern string, flags string, category string, confidence double, distinct_examples int, reported boolean"
+    listed = spark.createDataFrame(
+        [("a", "hit", "", "custom", 0.8, 25, False), ("b", "([a", "", "custom", 0.8, 25, False), ("c", "(a+)+b", "", "custom", 0.8, 25, False)], schema)
+    corpus = spark.createDataFrame([("positive", "hit"), ("positive", "a" * 5000), ("benign", "fine")], "kind string, text string")
+    got = {r.rule_id: r for r in rules.gate_rules(corpus, listed).collect()}
+    assert got["b"].failures[0] == "does not compile" and got["c"].failures[0] == "prohibited construct: nested quantifier"
+    assert got["a"].n_pos == 2 and not any(r.accepted for r in got.values())
+    bare = rules.gate_rules(corpus.limit(0), listed).collect()
+    assert len(bare) == 3 and all("no positives" in r.failures and r.n_ben == 0 for r in bare)
+
+
+def test_custom_rules_read_whole_texts(spark):
+    schema = "id int, category string, pattern string, flags string, confidence double"
+    listed = collect_rules(spark.createDataFrame([(1, "custom", r"\bid\d+\b", "gi", 0.7)], schema))
+    df = spark.createDataFrame([("ID1 id22 xid3",), ("id5 " * 75_000,)], "text string")
+    assert [len(r.s) for r in df.select(custom_rule_spans(F.col("text"), listed).alias("s")).collect()] == [2, 75_000]
+    limited = custom_rule_spans(F.col("text"), listed, 100_000, 1).alias("s")
+    assert [len(r.s) for r in df.select(limited).collect()] == [1, 0]
+
+
+def test_more_than_two_hundred_rules(spark):
+    schema = "id int, category string, pattern string, flags string, confidence double"
+    listed = collect_rules(spark.createDataFrame([(i, "custom", rf"\bw{i}\b", "g", 0.7) for i in range(250)], schema))
+    df = spark.createDataFrame([(" ".join(f"w{i}" for i in range(250)),)], "text string")
+    found = df.select(custom_rule_spans(F.col("text"), listed).alias("s")).first().s
+    assert sorted(s.value for s in found) == sorted(f"w{i}" for i in range(250))
+    with pytest.raises(ValueError):
+        collect_rules(spark.createDataFrame([(i, "custom", "x", "g", 0.7) for i in range(3)], schema), limit=2)
+
+
+def test_backspace_inside_a_class():
+    assert java_pattern(r"[\b\s]\b", "") == rf"[\x08{WS_SET}]{WB}"
+
+
+def test_disabled_categories_do_not_hide_enabled_ones(spark):
+    df = spark.createDataFrame([("born 12-12-1234 4111111111111111@ex.org", ["email"])], "text string, on array<string>")
+    got = df.select(policy.scan_floor(F.col("text"), F.col("on")).alias("s")).first().s
+    assert [(s.category, s.value) for s in got] == [("email", "4111111111111111@ex.org")]
+
+
+def test_rules_of_disabled_categories_stay_off(spark):
+    listed = collect_rules(spark.createDataFrame([(1, "custom", "cat", "g", 0.9)], "id int, category string, pattern string, flags string, confidence double"))
+    df = spark.createDataFrame([("the cat",)], "text string")
+    for on, n in ((["email"], 0), (["email", "custom"], 1)):
+        found = scan_documents(df, categories=on, extra=custom_rule_spans(F.col("text"), listed)).first().spans
+        assert len(found) == n
+
+
+def test_span_fold_is_linear(spark):
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([("a\n" * n,)], "t string").cache()
+        df.count()
+        started = time.perf_counter()
+        assert df.select(F.size(regex_spans(F.col("t"), "\n"))).first()[0] == n
+        return time.perf_counter() - started
+
+    seconds(50_000)
+    small = max(min(seconds(50_000) for _ in range(2)), 0.5)
+    assert min(seconds(200_000) for _ in range(2)) < 4.5 * small
+
+
+def test_fold_over_several_blocks(spark):
+    df = spark.createDataFrame([(list(range(n)),) for n in (0, 1, 255, 256, 257, 1000)], "x array<int>")
+    out = fold_out(
+        F.col("x"), {"sum": F.lit(0)}, lambda a, x: ({"sum": a["sum"] + x}, x % 2 == 0, a["sum"]), "int",
+        lambda a: F.array(a["sum"]),
+    )
+    for r in df.select("x", out.alias("y")).collect():
+        want = [sum(range(x)) for x in r.x if x % 2 == 0] + [sum(r.x)]
+        assert r.y == want
 
 
 def test_control_json_survives_bad_records(spark, tmp_path):
