@@ -185,6 +185,15 @@ def media_queue(spark, sf_dir):
     )
 
 
+@query("pdf_queue", r"""
+SELECT page_id, CASE WHEN length(folder) > length(origin) THEN folder ELSE origin || '/' END || 'a.pdf' AS pdf_url FROM (
+  SELECT page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)', 1) AS origin,
+    regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^?#]*/)', 1) AS folder FROM pages)""")
+def pdf_queue(spark, sf_dir):
+    pages = rich_pages(spark, sf_dir)
+    return pg.pdf_queue(pg.elements(pages), pages).select("page_id", "pdf_url")
+
+
 @query("image_candidates", f"""
 SELECT page_id, seq, url AS src, width, height, url LIKE 'https://cdn0.%' AS same_origin FROM (
   SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY width * height DESC, seq) AS place

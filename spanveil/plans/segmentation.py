@@ -55,6 +55,19 @@ def src_documents(spark, sf_dir):
     )
 
 
+# A control record per customer; some are no JSON, some have a wrong type.
+_CONTROL = """CASE WHEN c_custkey % 11 = 0 THEN 'not json' ELSE '{"id":"r' || c_custkey || '","confidence":'
+  || CASE WHEN c_custkey % 7 = 0 THEN '"x"' ELSE '0.5' END || '}' END"""
+
+
+@query("src_control_json", """SELECT 'r' || c_custkey AS id, 0.5::DOUBLE AS confidence
+FROM customer WHERE c_custkey % 11 <> 0 AND c_custkey % 7 <> 0""")
+def src_control_json(spark, sf_dir):
+    lines = table(spark, sf_dir, "customer").select(F.expr(_CONTROL).alias("value"))
+    good, _ = readers.parse_control_json(lines, readers.RULE_SCHEMA)
+    return good.select("id", "confidence")
+
+
 @query("src_pages", "SELECT page_id, url, length(html) AS chars FROM pages")
 def src_pages(spark, sf_dir):
     pages = readers.read_pages(spark, f"{sf_dir}/pages.parquet")

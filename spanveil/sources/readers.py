@@ -50,12 +50,17 @@ def read_messages(spark: SparkSession, path: str) -> DataFrame:
 def read_control_json(
     spark: SparkSession, path: str, schema: T.StructType
 ) -> tuple[DataFrame, DataFrame]:
-    """(good records, corrupt raw lines); a bad record never stops the load."""
+    """(good records, corrupt raw lines) of text files; a bad record never stops the load."""
+    return parse_control_json(spark.read.text(path), schema)
+
+
+def parse_control_json(lines: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """The same for a table with one JSON record in each ``value``."""
     full = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
     parsed = F.from_json(
         "value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
     )
-    rows = spark.read.text(path).filter("trim(value) <> ''").select(parsed.alias("r")).select("r.*")
+    rows = lines.filter("trim(value) <> ''").select(parsed.alias("r")).select("r.*")
     bad = F.col("_corrupt_record")
     return rows.filter(bad.isNull()).drop("_corrupt_record"), rows.filter(
         bad.isNotNull()
