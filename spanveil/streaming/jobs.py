@@ -124,9 +124,19 @@ def drop_stale(results: DataFrame, pending: DataFrame, seconds: int = SCAN_SECON
 
 
 def settle_stream(requests: DataFrame, reports: DataFrame, seconds: int = DELIVERY_SECONDS) -> DataFrame:
-    """Delivery outcome per request; a missing, late or negative report is an error."""
+    """Delivery outcome per request; a missing, late or negative report is an error.
+
+    The first report of a request counts: of a stream the first to arrive, remembered
+    until the watermark passes it, of a table the earliest.
+    """
     q = requests.withWatermark("ts", f"{seconds} seconds").alias("q")
-    p = reports.withWatermark("report_ts", f"{seconds} seconds").alias("p")
+    if reports.isStreaming:
+        first = reports.withWatermark("report_ts", f"{seconds} seconds").dropDuplicatesWithinWatermark(["request_id"])
+    else:
+        first = reports.groupBy("request_id").agg(
+            F.min_by("delivered", "report_ts").alias("delivered"), F.min("report_ts").alias("report_ts")
+        )
+    p = first.alias("p")
     match = F.expr(
         "q.request_id = p.request_id AND p.report_ts >= q.ts "
         f"AND p.report_ts <= q.ts + INTERVAL {seconds} SECONDS"

@@ -62,6 +62,18 @@ def test_stream_joins(spark, tmp_path, checkpoint):
     assert {1: "ok", 2: "error", 3: "error", 4: "error"}.items() <= got.items()
 
 
+def test_first_report_settles_a_delivery(spark, tmp_path, checkpoint):
+    requests = [(1, at(0)), (2, at(0)), (9, at(4000))]
+    reports = [(1, True, at(5)), (1, True, at(9)), (2, True, at(6)), (9, True, at(4001))]
+    rs, ps = "request_id int, ts timestamp", "request_id int, delivered boolean, report_ts timestamp"
+    df = jobs.settle_stream(stream(spark, tmp_path, "q", requests, rs), stream(spark, tmp_path, "d", reports, ps))
+    rows = [(r.request_id, r.outcome) for r in run(df, checkpoint, "first").collect()]
+    assert sorted(x for x in rows if x[0] < 9) == [(1, "ok"), (2, "ok")]
+    mixed = [(1, False, at(5)), (1, True, at(9)), (2, True, at(3)), (2, False, at(4))]
+    batch = jobs.settle_stream(spark.createDataFrame(requests, rs), spark.createDataFrame(mixed, ps))
+    assert sorted((r.request_id, r.outcome) for r in batch.collect()) == [(1, "error"), (2, "ok"), (9, "error")]
+
+
 def test_keyed_state(spark, tmp_path, checkpoint):
     rows = [(1, at(i), i) for i in range(520)] + [(2, at(1), 1)]
     ring = jobs.audit_ring_stream(stream(spark, tmp_path, "a", rows, "tenant long, ts timestamp, event_id long"))
