@@ -8,6 +8,8 @@ array of a fixed length, so scoring needs neither a join nor a shuffle.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +21,9 @@ BUCKET_BITS = 16
 SMOOTHING = 1.0
 #: Least mean log-likelihood ratio of a kept document.
 THRESHOLD = -0.3
-#: Words of a window for the repetition rule.
+#: Labelled rows that make the trusted multinomial, at most.
+TRUSTED_ROWS = 20_000
+#: Words of a window (an even number) for the repetition rule.
 WINDOW = 8
 LEAST_WORDS = 20
 REPEATED_PERCENT = 30
@@ -32,14 +36,25 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), _BLANK), lambda w: w != "")
 
 
-def repeated_words(hashes: Column) -> Column:
-    """Words in windows of ``WINDOW`` word hashes that occur twice or more.
+def hashed(df: DataFrame) -> DataFrame:
+    """Add ``words``, ``hashes`` of them and ``pairs`` of neighbouring hashes."""
+    df = pinned(df, words=words_of(F.col("text")))
+    df = pinned(df, hashes=F.transform("words", lambda w: F.xxhash64(w)))
+    n = F.size("hashes")
+    pair = lambda i: F.xxhash64(F.get("hashes", i), F.get("hashes", i + 1))
+    return pinned(df, pairs=F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 2), pair)).otherwise(
+        F.array().cast("array<bigint>")
+    ))
+
+
+def repeated_words(pairs: Column) -> Column:
+    """Words in windows of ``WINDOW`` words that occur twice or more, from pair hashes.
 
     Sorting (hash, place) puts equal windows side by side; linear passes do the rest.
     """
-    n = F.size(hashes)
+    n = F.size(pairs) + 1
     windows = F.when(n >= WINDOW, F.transform(
-        F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(WINDOW)])
+        F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get(pairs, i + k) for k in range(0, WINDOW, 2)])
     ))
 
     def covered(sorted_: Column) -> Column:
@@ -65,45 +80,34 @@ def repeated_words(hashes: Column) -> Column:
     return F.coalesce(F.when(n >= WINDOW, F.element_at(several, 1)), F.lit(0)).cast("long")
 
 
-def grams_of(words: Column) -> Column:
-    """Buckets of a text's words, word endings and word pairs."""
+def grams() -> Column:
+    """Buckets of a text's words, word endings and word pairs; for rows of ``hashed``."""
     bucket = lambda h: F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")
-    single = F.transform(words, lambda w: bucket(F.xxhash64(w)))
-    ending = F.transform(words, lambda w: bucket(F.xxhash64(F.lit("ending"), F.right(w, F.lit(2)))))
-    n = F.size(words)
-    pairs = F.when(n > 1, F.transform(
-        F.sequence(F.lit(0), n - 2), lambda i: bucket(F.xxhash64(F.get(words, i), F.get(words, i + 1)))
-    )).otherwise(F.array().cast("array<int>"))
-    return F.concat(single, ending, pairs)
+    ending = lambda w: bucket(F.xxhash64(F.lit(1), F.right(w, F.lit(2))))
+    return F.concat(F.transform("hashes", bucket), F.transform("words", ending), F.transform("pairs", bucket))
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """(bucket, n) over all n-grams of ``docs``; summed per task before the shuffle."""
-    split = pinned(docs.select("text"), words=words_of(F.col("text")))
-    return split.select(F.explode(grams_of(F.col("words"))).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
-
-
-def weights(docs: DataFrame, trusted: DataFrame) -> list[float]:
+def weights(docs: DataFrame, trusted: DataFrame, sample: int = TRUSTED_ROWS) -> list[float]:
     """Log-likelihood ratio of every bucket, trusted documents against all.
 
-    ``trusted`` holds ids; ids that repeat count once.  Without trusted text, or any
-    text at all, every weight is zero.
+    All documents are counted.  Of the ids in ``trusted`` at most ``sample`` are used, the
+    first by hash; ids that repeat count once.  Without trusted text, or any text at all,
+    every weight is zero.
     """
     size = 1 << BUCKET_BITS
-    ids = trusted.select("doc_id").distinct()
-    raw = counts(docs).select("bucket", F.col("n").alias("r"))
-    target = counts(docs.join(ids, "doc_id", "left_semi")).select("bucket", F.col("n").alias("t"))
-    both = raw.join(target, "bucket", "left").na.fill(0)
+    ids = trusted.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    ids = ids.orderBy(F.xxhash64("doc_id", F.lit("trusted")), "doc_id").limit(sample)
+    # at most ``sample`` ids, so they may be broadcast
+    marked = docs.select("doc_id", "text").join(F.broadcast(ids.withColumn("known", F.lit(1))), "doc_id", "left")
+    rows = hashed(marked).select("known", F.explode(grams()).alias("bucket"))
     # at most one row a bucket comes to the driver
-    rows = both.collect()
-    r_all, t_all = sum(x.r for x in rows), sum(x.t for x in rows)
+    found = rows.groupBy("bucket").agg(F.count("*").alias("r"), F.count("known").alias("t")).collect()
+    r_all, t_all = sum(x.r for x in found), sum(x.t for x in found)
     if not t_all:
         return [0.0] * size
-    import math
-
     of = lambda n, total: math.log((n + SMOOTHING) / (total + SMOOTHING * size))
     out = [of(0, t_all) - of(0, r_all)] * size
-    for x in rows:
+    for x in found:
         out[x.bucket] = of(x.t, t_all) - of(x.r, r_all)
     return out
 
@@ -117,8 +121,7 @@ def judge(docs: DataFrame, table: list[float], threshold: float = THRESHOLD) ->
     """
     literal = F.split(F.lit(",".join(f"{w:.9g}" for w in table)), ",").cast("array<double>")
     text = F.coalesce("text", F.lit(""))
-    rows = pinned(docs.select("doc_id", text.alias("text")), words=words_of(F.col("text")))
-    rows = pinned(rows, hashes=F.transform("words", lambda w: F.xxhash64(w)), grams=grams_of(F.col("words")))
+    rows = pinned(hashed(docs.select("doc_id", text.alias("text"))), grams=grams())
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     symbols = F.translate("text", "#*$%&|<>", "")
     score = F.aggregate("grams", F.lit(0.0), lambda a, g: a + F.get(literal, g))
@@ -128,7 +131,7 @@ def judge(docs: DataFrame, table: list[float], threshold: float = THRESHOLD) ->
         word_chars=F.char_length(F.regexp_replace("text", _BLANK, "")).cast("long"),
         n_symbols=(F.char_length("text") - F.char_length(symbols)).cast("long"),
         n_dup_lines=F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0].cast("long"),
-        n_repeat_words=repeated_words(F.col("hashes")),
+        n_repeat_words=repeated_words(F.col("pairs")),
         llr=F.when(F.size("grams") > 0, score / F.size("grams")).otherwise(0.0),
     )
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))

@@ -145,7 +145,7 @@ def test_quality_rules_counts_and_ratio(spark):
         assert r.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0])
         assert r.kept == (not r.base_failed and r.llr >= quality_rules.THRESHOLD)
     # the ratio again, from buckets that Spark gives for each document
-    grams = docs.select("doc_id", quality_rules.grams_of(quality_rules.words_of(F.col("text"))).alias("g")).collect()
+    grams = quality_rules.hashed(docs.select("doc_id", "text")).select("doc_id", quality_rules.grams().alias("g")).collect()
     trusted = {r.doc_id for r in good.collect()}
     raw, target = collections.Counter(), collections.Counter()
     for r in grams:
