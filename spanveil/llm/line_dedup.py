@@ -46,9 +46,10 @@ def _halves(words: Column) -> Column:
     keys = []
     for shorter in (n, n - 1):
         half = F.floor((shorter - 1) / 2).cast("int")
-        keys.append(F.xxhash64(shorter, F.lit("first"), F.slice(words, F.lit(1), half)))
-        keys.append(F.xxhash64(shorter, F.lit("last"), F.slice(words, n - half + 1, half)))
-    return F.array_distinct(F.array(*keys))
+        first, last = F.slice(words, F.lit(1), half), F.slice(words, n - half + 1, half)
+        keys.append(F.struct(F.xxhash64(shorter, F.lit("first"), first).alias("key"), F.lit(True).alias("head")))
+        keys.append(F.struct(F.xxhash64(shorter, F.lit("last"), last).alias("key"), F.lit(False).alias("head")))
+    return F.array(*keys)
 
 
 def _running(hashes: Column) -> Column:
@@ -73,17 +74,24 @@ def _running(hashes: Column) -> Column:
     return F.element_at(F.transform(F.array(chained), each), 1)
 
 
-def _variants(line: Column) -> Column:
-    """Hashed variants within one edit, each with its place."""
+def _variants(line: Column, head: Column, tail: Column) -> Column:
+    """Hashed variants within one edit, each with its place.
+
+    ``head`` and ``tail`` say which half another line shares: where only the first half
+    is shared the edit lies behind it, where only the last is, before it.
+    """
     hashes = F.transform(words_of(line), lambda w: F.xxhash64(w))
 
     def keys(h: Column) -> Column:
         n = F.size(h)
+        half = F.floor((n - 2) / 2).cast("int")
+        low = F.when(tail, F.lit(1)).otherwise(half + 1)
+        high = F.when(head, n + 1).otherwise(n - half + 1)
         both = F.array(F.struct(_running(h).alias("head"), _running(F.reverse(h)).alias("tail")))
 
         def made(b: Column) -> Column:
-            shorter = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(i, F.get(b["head"], i - 1), F.get(b["tail"], n - i)))
-            whole = F.transform(F.sequence(F.lit(1), n + 1), lambda i: F.xxhash64(i, F.get(b["head"], i - 1), F.get(b["tail"], n - i + 1)))
+            shorter = F.transform(F.sequence(low, F.least(high, n)), lambda i: F.xxhash64(i, F.get(b["head"], i - 1), F.get(b["tail"], n - i)))
+            whole = F.transform(F.sequence(low, high), lambda i: F.xxhash64(i, F.get(b["head"], i - 1), F.get(b["tail"], n - i + 1)))
             return F.concat(shorter, whole)
 
         return F.element_at(F.transform(both, made), 1)
@@ -105,16 +113,19 @@ def _near(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """(h1, h2) of lines with an earlier line within one edit."""
     long_lines = lines_of(docs).select("h1", "h2", words_of(F.col("line")).alias("words"))
     long_lines = long_lines.where(F.size("words") >= LEAST_WORDS)
-    keyed = long_lines.select("h1", "h2", F.explode(_halves(F.col("words"))).alias("key"))
+    keyed = long_lines.select("h1", "h2", F.explode(_halves(F.col("words"))).alias("k")).select("h1", "h2", "k.*")
     shared = stored(
         keyed.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("key")
     )
-    passing = keyed.join(shared, "key", "left_semi").select("h1", "h2").distinct()
+    passing = keyed.join(shared, "key", "left_semi").groupBy("h1", "h2").agg(
+        F.bool_or("head").alias("head"), F.bool_or(~F.col("head")).alias("tail")
+    )
     # each passing line is read once more, where it stands first; a document's own list only
     spots = passing.join(firsts, ["h1", "h2"]).groupBy("doc_id").agg(
-        F.collect_list(F.struct("line_no", "h1", "h2")).alias("spots")
+        F.collect_list(F.struct("line_no", "h1", "h2", "head", "tail")).alias("spots")
     )
-    found = docs.select("doc_id", "text").join(spots, "doc_id")
+    # the lists grow with the corpus, so they are never broadcast
+    found = docs.select("doc_id", "text").join(spots.hint("merge"), "doc_id")
     found = pinned(found, lines=F.split("text", "\n")).select(
         "doc_id", "lines", F.explode("spots").alias("spot")
     ).select("doc_id", "spot.*", F.get("lines", F.col("spot.line_no")).alias("line"))
@@ -123,10 +134,11 @@ def _near(docs: DataFrame, firsts: DataFrame) -> DataFrame:
         .dropDuplicates(["h1", "h2"])
     )
     place = F.struct("doc_id", "line_no", "h1", "h2")
-    emitted = lines.select(F.explode(_variants(F.col("line"))).alias("variant"), place.alias("here"))
+    variants = _variants(F.col("line"), F.col("head"), F.col("tail"))
+    emitted = lines.select(F.explode(variants).alias("variant"), place.alias("here"))
     leads = stored(
-        emitted.groupBy("variant").agg(F.min("here").alias("lead"), F.max("here").alias("most"))
-        .where("lead <> most").select("variant", "lead")
+        emitted.groupBy("variant").agg(F.min("here").alias("lead"), F.count("*").alias("n"))
+        .where("n > 1").select("variant", "lead")
     )
     pairs = emitted.join(leads, "variant").where("here > lead").select(
         F.col("here.h1").alias("h1"), F.col("here.h2").alias("h2"),
