@@ -182,11 +182,8 @@ def fold_out(
         # a slice copies its whole source first, so blocks are cut from chunks
         chunks = F.transform(parts(xs, _CHUNK), lambda c: F.slice(xs, c * _CHUNK + 1, _CHUNK))
         many = F.aggregate(chunks, pack(state, nested), chunk, end)
-        few = F.aggregate(
-            xs, pack(state, none), one,
-            lambda a: a["out"] if finish is None else F.concat(a["out"], finish(a)),
-        )
-        return F.when(F.size(xs) > _BLOCK, many).otherwise(few)
+        empty = none if finish is None else finish(pack(state, none))
+        return F.when(F.size(xs) > 0, many).otherwise(empty)
 
     return let(items, folded)
 
