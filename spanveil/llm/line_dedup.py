@@ -35,13 +35,16 @@ def _text_key() -> Column:
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, line_no, line, h1, h2) of every line with a word in it."""
     split = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    rows = split.select("doc_id", _text_key(), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    # generators take the outer form: for the inner one Catalyst infers a filter on the
+    # array's size and computes the array twice
+    rows = split.select("doc_id", _text_key(), F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
     rows = rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     return rows.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("line"), "line")})
 
 
 def _halves(words: Column) -> Column:
-    """Keys of the first and last half, as the shorter and as the longer of a pair."""
+    """Keys of the first and last half of word hashes, as the shorter and as the longer
+    of a pair."""
     n = F.size(words)
     keys = []
     for shorter in (n, n - 1):
@@ -111,20 +114,21 @@ def within_one_edit(a: Column, b: Column) -> Column:
 
 def _near(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """(h1, h2) of lines with an earlier line within one edit."""
-    long_lines = lines_of(docs).select("h1", "h2", words_of(F.col("line")).alias("words"))
-    long_lines = long_lines.where(F.size("words") >= LEAST_WORDS)
-    keyed = long_lines.select("h1", "h2", F.explode(_halves(F.col("words"))).alias("k")).select("h1", "h2", "k.*")
+    hashes = F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w))
+    halves = F.transform(F.array(hashes), lambda h: F.when(F.size(h) >= LEAST_WORDS, _halves(h)))
+    keyed = lines_of(docs).select("h1", "h2", F.explode_outer(F.element_at(halves, 1)).alias("k"))
+    keyed = keyed.select("h1", "h2", "k.*").where(F.col("key").isNotNull())
     shared = stored(
         keyed.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("key")
     )
-    passing = keyed.join(shared, "key", "left_semi").groupBy("h1", "h2").agg(
+    # what follows grows with the corpus, so it is merged at every size, never broadcast
+    passing = keyed.join(shared.hint("merge"), "key", "left_semi").groupBy("h1", "h2").agg(
         F.bool_or("head").alias("head"), F.bool_or(~F.col("head")).alias("tail")
     )
     # each passing line is read once more, where it stands first; a document's own list only
     spots = passing.join(firsts, ["h1", "h2"]).groupBy("doc_id").agg(
         F.collect_list(F.struct("line_no", "h1", "h2", "head", "tail")).alias("spots")
     )
-    # the lists grow with the corpus, so they are never broadcast
     found = docs.select("doc_id", "text").join(spots.hint("merge"), "doc_id")
     found = pinned(found, lines=F.split("text", "\n")).select(
         "doc_id", "lines", F.explode("spots").alias("spot")
@@ -135,7 +139,7 @@ def _near(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     )
     place = F.struct("doc_id", "line_no", "h1", "h2")
     variants = _variants(F.col("line"), F.col("head"), F.col("tail"))
-    emitted = lines.select(F.explode(variants).alias("variant"), place.alias("here"))
+    emitted = lines.select(F.explode_outer(variants).alias("variant"), place.alias("here"))
     leads = stored(
         emitted.groupBy("variant").agg(F.min("here").alias("lead"), F.count("*").alias("n"))
         .where("n > 1").select("variant", "lead")
