@@ -2,14 +2,17 @@
 
 Documents get rates ``exp(lambda * size / mean)`` (three at most), the rates closest
 to one, in relative entropy, that meet the token constraint of their source.  A
-source's lambda is found by Newton steps on the dual, kept inside a bracket, over a
-table of (source, size, documents) instead of the documents.  Rates become copies by
+source's lambda is found by Newton steps on the dual, kept inside a bracket that holds
+it for sizes of any spread, over a table of (source, size, documents) instead of the
+documents.  Rates become copies by
 systematic rounding along the sizes, which keeps a source's total within about one
 document of its target.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +25,7 @@ TOLERANCE = 1e-4
 ROUNDS = 60
 #: Blocks into which the documents of one (source, size) are dealt.
 BLOCKS = 64
+#: Exponents are cut here, far above any rate.
 _REACH = 40.0
 
 
@@ -62,15 +66,34 @@ def _rate(level: Column, size: Column, mean: Column) -> Column:
 
 
 def solve(groups: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Dual solution (source_key, level, mean) for ``groups`` (source_key, size, n)."""
-    start = wanted.select(
-        "source_key", "target", "source_size", "mean",
-        F.lit(0.0).alias("level"), F.lit(-_REACH).alias("low"), F.lit(_REACH).alias("high"), F.lit(1.0).alias("gap"),
+    """Dual solution (source_key, level, mean) for ``groups`` (source_key, size, n).
+
+    The first bracket holds the solution for sizes of any spread: at ``near`` no rate is
+    past target / source_size, at ``far`` every rate is (or is at its limit).  Both lie on
+    one side of 0, so steps that close the gap too slowly halve the bracket's logarithm.
+    A source at its limit has every rate there.  A gap left after all rounds is an error.
+    """
+    ends = groups.groupBy("source_key").agg(F.min("size").alias("least"), F.max("size").alias("largest"))
+    full = F.col("target") >= MOST * F.col("source_size")
+    bend = F.coalesce(F.ln(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0.0))
+    # a little wider, as the ends are rounded
+    near = bend * F.col("mean") / F.col("largest") * (1 - 1e-6)
+    far = F.when(bend > 0, math.log(MOST)).otherwise(bend) * F.col("mean") / F.col("least") * (1 + 1e-6)
+    # all rates are 1 at 0 and the slope there is the source's size
+    first = F.try_divide(F.col("target"), F.col("source_size")) - 1
+    low, high = F.least(near, far), F.greatest(near, far)
+    start = wanted.join(ends, "source_key", "left").select(
+        "source_key", "target", "mean", full.alias("full"), low.alias("low"), high.alias("high"),
+        F.when(full, float("inf")).otherwise(F.greatest(low, F.least(high, first))).alias("level"),
+        F.when(full, 0.0).otherwise(1.0).alias("gap"),
     )
     state = stored(start)
-    for _ in range(ROUNDS):
-        if state.where(F.abs("gap") > TOLERANCE).isEmpty():
+    for round_ in range(ROUNDS + 1):
+        open_ = state.where(F.abs("gap") > TOLERANCE)
+        if open_.isEmpty():
             break
+        if round_ == ROUNDS:
+            raise RuntimeError(f"mix: targets not met after {ROUNDS} rounds: {open_.limit(5).collect()}")
         live = groups.join(state.select("source_key", "level", "mean"), "source_key")
         rate = _rate(F.col("level"), F.col("size"), F.col("mean"))
         words = F.col("n") * F.col("size") * rate
@@ -81,18 +104,19 @@ def solve(groups: DataFrame, wanted: DataFrame) -> DataFrame:
         low = F.when(short > 0, F.col("level")).otherwise(F.col("low"))
         high = F.when(short > 0, F.col("high")).otherwise(F.col("level"))
         newton = F.col("level") + F.try_divide(short, F.col("slope"))
-        inside = F.coalesce((newton > low) & (newton < high), F.lit(False))
-        gap = F.coalesce(F.try_divide(short, F.col("target")), F.lit(0.0))
-        # a source at its limit has every rate at its limit
-        gap = F.when((F.col("target") >= MOST * F.col("source_size")) & (F.col("level") >= _REACH / 2), 0.0).otherwise(gap)
+        gap = F.when(F.col("full"), 0.0).otherwise(short / F.col("target"))
+        fast = F.abs(gap) <= F.abs("gap") / 2
+        inside = F.coalesce(fast & (newton > low) & (newton < high), F.lit(False))
         met = F.abs(gap) <= TOLERANCE
         state = stored(now.select(
-            "source_key", "target", "source_size", "mean",
-            F.when(met, F.col("level")).when(inside, newton).otherwise((low + high) / 2).alias("level"),
-            low.alias("low"), high.alias("high"), gap.alias("gap"),
+            "source_key", "target", "mean", "full", low.alias("low"), high.alias("high"),
+            F.when(met, F.col("level")).when(inside, newton).otherwise(F.signum(high + low) * F.sqrt(low * high)).alias("level"),
+            gap.alias("gap"),
         ))
-    # sums of doubles may differ in their last digits from run to run
-    return state.withColumn("level", F.round("level", 9))
+    # sums of doubles may differ in their last digits from run to run; levels of any
+    # magnitude keep ten digits
+    level = F.format_string("%.9e", "level").cast("double")
+    return state.select("source_key", level.alias("level"), "mean")
 
 
 def mix(docs: DataFrame, keep_source: bool = False) -> DataFrame:
@@ -117,7 +141,7 @@ def mix(docs: DataFrame, keep_source: bool = False) -> DataFrame:
         .join(sums.select("source_key", F.coalesce("mean", F.lit(1.0)).alias("mean")), "source_key")
         .select("source_key", "source_size", "target", "mean")
     )
-    levels = solve(groups.where("size > 0"), wanted)
+    levels = wanted.select("source_key", "source_size", "target").join(solve(groups.where("size > 0"), wanted), "source_key")
     rates = groups.join(levels, "source_key").withColumn(
         "rate", F.when(F.col("size") == 0, 1.0).otherwise(_rate(F.col("level"), F.col("size"), F.col("mean")))
     )

@@ -328,6 +328,48 @@ def test_mix_rates_minimise_relative_entropy(spark):
     assert abs(total / 1500 - 1) < 2e-4
 
 
+#: (size, documents): a few huge and many short ones.
+SPREADS = {
+    "words": [(100_000, 10), (50, 20_000)], "pages": [(500_000, 3), (400, 5_000)],
+    "far": [(5_000_000, 1), (1, 3_000_000)], "even": [(7, 100)],
+}
+
+
+def test_mix_meets_targets_of_a_few_huge_and_many_short_documents(spark):
+    groups, wanted, shares = [], [], (3.0, 2.99, 1.5, 1.0, 0.7, 0.3, 0.01)
+    for name, sizes in SPREADS.items():
+        own = sum(n * c for n, c in sizes)
+        mean = sum(n * n * c for n, c in sizes) / own
+        for share in shares:
+            groups += [(f"{name} {share}", n, c) for n, c in sizes]
+            wanted.append((f"{name} {share}", own, share * own, mean))
+    got = {
+        r.source_key: r for r in source_mixing.solve(
+            spark.createDataFrame(groups, "source_key string, size long, n long"),
+            spark.createDataFrame(wanted, "source_key string, source_size long, target double, mean double"),
+        ).collect()
+    }
+    for key, _, target, mean in wanted:
+        rate = lambda n: min(3.0, float(np.exp(min(got[key].level * n / mean, 40.0))))
+        total = sum(c * n * rate(n) for k, n, c in groups if k == key)
+        assert abs(total / target - 1) < 2e-4, (key, total / target)
+
+
+def test_mix_takes_every_document_of_a_source_at_its_limit(spark):
+    docs = [(d, "w " * 20_000, "a") for d in range(3)] + [(100 + d, "w " * 10, "a") for d in range(500)]
+    docs += [(1000 + d, "w " * 20_000, "b") for d in range(60)]
+    got = source_mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    assert {r.copies for r in got if r.doc_id < 1000} == {3}
+
+
+def test_mix_reports_targets_it_cannot_meet(spark, monkeypatch):
+    monkeypatch.setattr(source_mixing, "ROUNDS", 1)
+    groups = spark.createDataFrame([("s", n, c) for n, c in SPREADS["words"]], "source_key string, size long, n long")
+    wanted = spark.createDataFrame([("s", 2_000_000, 5_000_000.0, 50_025.0)], "source_key string, source_size long, target double, mean double")
+    with pytest.raises(RuntimeError):
+        source_mixing.solve(groups, wanted)
+
+
 def test_mix_targets_of_few_sources(spark):
     for sizes in ({"a": 100, "b": 1, "c": 1}, {"a": 5}, {"z": 10, None: 1000, "é": 20, "B": 3}, {"a": 0, "b": 7}):
         df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
