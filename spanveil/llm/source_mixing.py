@@ -174,20 +174,39 @@ MIXED = ("size", "source_size", "target", "copies", "taken")
 
 def mixture(docs: DataFrame) -> DataFrame:
     """``docs`` that the mix takes, with how often: the columns of ``MIXED`` are added
-    (or replaced).  Rows of one id, source and size share their copies evenly."""
+    (or replaced).  Rows of one id, source and size (those without an id, too) share
+    their copies evenly; where these do not divide, some rows have one more."""
     name = lambda c: f"__{c}"
     base = docs.select([c for c in docs.columns if c not in MIXED])
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    shares = mix(docs, keep_source=True).groupBy("doc_id", "source_key", "size").agg(
+    shares = stored(mix(docs, keep_source=True).groupBy("doc_id", "source_key", "size").agg(
         F.first("source_size").alias("source_size"), F.first("target").alias("target"),
-        F.floor(F.sum("copies") / F.count("*")).cast("long").alias("copies"),
-    ).where("copies > 0")
-    shares = shares.toDF("__id", "__key", *[name(c) for c in ("size", "source_size", "target", "copies")])
-    joined = base.join(
-        shares,
-        F.col("doc_id").eqNullSafe(F.col("__id")) & (key == F.col("__key")) & (size_of(F.col("text")) == F.col("__size")),
-    )
-    return joined.select(
-        *base.columns, *[F.col(name(c)).alias(c) for c in ("size", "source_size", "target", "copies")],
-        (F.col("__copies") * F.col("__size")).alias("taken"),
-    )
+        F.sum("copies").alias("copies"), F.count("*").alias("rows"),
+    ).where("copies > 0"))
+
+    def joined(some: DataFrame) -> DataFrame:
+        some = some.toDF("__id", "__key", *[name(c) for c in ("size", "source_size", "target", "copies", "rows")])
+        return base.join(
+            some,
+            F.col("doc_id").eqNullSafe(F.col("__id")) & (key == F.col("__key")) & (size_of(F.col("text")) == F.col("__size")),
+        )
+
+    def named(rows: DataFrame, copies: Column) -> DataFrame:
+        rows = rows.withColumn("__copies", copies)
+        return rows.select(
+            *base.columns, *[F.col(name(c)).alias(c) for c in ("size", "source_size", "target", "copies")],
+            (F.col("__copies") * F.col("__size")).alias("taken"),
+        )
+
+    even = F.col("copies") % F.col("rows") == 0
+    out = named(joined(shares.where(even)), (F.col("__copies") / F.col("__rows")).cast("long"))
+    # only rows whose copies do not divide are numbered; mostly there are none
+    uneven = stored(shares.where(~even))
+    if uneven.isEmpty():
+        return out
+    numbers = Window.partitionBy("__id", "__key", "__size").orderBy(F.xxhash64("text"))
+    upto = lambda i: F.floor(i * F.col("__copies") / F.col("__rows")).cast("long")
+    place = F.row_number().over(numbers)
+    numbered = joined(uneven).withColumn("__place", place)
+    rest = named(numbered, upto(F.col("__place")) - upto(F.col("__place") - 1))
+    return out.union(rest.where("copies > 0"))

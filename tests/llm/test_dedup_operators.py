@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 from cases import ODD, SCHEMA, SF, duck, empty, lower, normal, odd, rows
+from pyspark.sql import functions as F
 
 from spanveil.llm import decontamination, line_dedup, simhash, source_mixing, substring_dedup
 from spanveil.llm.components import components
@@ -362,6 +363,19 @@ def test_mix_takes_every_document_of_a_source_at_its_limit(spark):
     assert {r.copies for r in got if r.doc_id < 1000} == {3}
 
 
+def test_mixture_keeps_the_copies_of_rows_without_an_id(spark):
+    """Rows of one id, source and size have all copies that the mix gives them."""
+    docs = [(None, f"{'x' * (d + 1)} b c", "a") for d in range(41)] + [(7, "one two", "a")] * 5
+    docs += [(None, f"{'y' * (d + 1)} b c", "b") for d in range(29)] + [(8, f"{d} z", "b") for d in range(3)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    sums = lambda found: {tuple(r)[:2]: r.n for r in found.groupBy("source", "size").agg(F.sum("copies").alias("n")).collect() if r.n}
+    want = source_mixing.mix(docs, keep_source=True).withColumn("source", F.substring("source_key", 2, 9))
+    got = source_mixing.mixture(docs)
+    assert sums(got) == sums(want)
+    rows_ = got.collect()
+    assert all(1 <= r.copies <= 3 for r in rows_) and len({(r.doc_id, r.text) for r in rows_ if r.doc_id is None}) == sum(r.doc_id is None for r in rows_)
+
+
 def test_mix_reports_targets_it_cannot_meet(spark, monkeypatch):
     monkeypatch.setattr(source_mixing, "ROUNDS", 1)
     groups = spark.createDataFrame([("s", n, c) for n, c in SPREADS["words"]], "source_key string, size long, n long")
