@@ -6,7 +6,9 @@ windows a few edits apart fall back into step and their embeddings differ in few
 places.  A repetition samples some steps of the embedding as a hash key; windows of
 the size of an item whose key is that of the item are candidates, and word edit
 distance decides.  Half the repetitions walk from a window's first word forwards,
-half from its last word backwards, so edits near one end cost no recall.
+half from its last word backwards, so edits near one end cost no recall.  In long items
+walks are short and begin at several places, as offsets left by edits add up along a
+walk; the edit distance then counts both ways from that place.
 """
 
 from __future__ import annotations
@@ -26,6 +28,9 @@ EDITS = 0.1
 #: Repetitions (half per direction) and sampled steps of one; see the recall test.
 REPETITIONS = 24
 SAMPLED = 4
+#: Steps of a walk, at most, and places of a longer item at which walks begin.
+STRETCH = 32
+PLACES = 4
 #: Bytes of item text indexed at a time; every further block reads the documents again.
 BLOCK_BYTES = 1 << 20
 
@@ -53,6 +58,7 @@ class Table:
     allowed: list[np.ndarray]  # per sampled step the symbols that items have there
     keys: np.ndarray  # ascending
     items: np.ndarray
+    offset: int = 0  # words of an item before (behind) the first one walked
 
     def moves(self, size: int) -> list[np.ndarray]:
         """64-bit words of random bits for every symbol, a bit per step; a pad never moves."""
@@ -105,17 +111,18 @@ class Index:
             own = np.flatnonzero((sizes >= low) & (sizes < 2 * low))
             self.classes[low] = (
                 int(sizes[own].min()), bound(int(sizes[own].max()), edits),
-                [self._table(rng, low, own, symbols, words.first, r % 2 == 0, sampled) for r in range(repetitions)],
+                [self._table(rng, low, own, symbols, words.first, r % 2 == 0, sampled, r // 2) for r in range(repetitions)],
             )
 
-    def _table(self, rng, low: int, own: np.ndarray, symbols: np.ndarray, first: np.ndarray, forward: bool, sampled: int) -> Table:
-        length = max(low, sampled)
+    def _table(self, rng, low: int, own: np.ndarray, symbols: np.ndarray, first: np.ndarray, forward: bool, sampled: int, turn: int) -> Table:
+        length = max(min(low, STRETCH), sampled)
+        offset = max(low - length, 0) * (turn % PLACES) // (PLACES - 1)
         parts = np.array_split(np.arange(length), sampled)
         steps = np.array([rng.choice(p) for p in parts])
         size = len(self.vocabulary) + 2
-        table = Table(steps, forward, int(rng.integers(2**62)), [np.zeros(size, bool) for _ in steps], np.zeros(0, np.uint64), own)
+        table = Table(steps, forward, int(rng.integers(2**62)), [np.zeros(size, bool) for _ in steps], np.zeros(0, np.uint64), own, offset)
         padded, starts, ends = _padded(symbols, first)
-        _, keys = table.walk(padded, (starts if forward else ends - 1)[own], False)
+        _, keys = table.walk(padded, (starts + offset if forward else ends - 1 - offset)[own], False)
         order = np.argsort(keys, kind="stable")
         table.keys, table.items = keys[order], own[order]
         return table
@@ -130,44 +137,45 @@ class Index:
         return out
 
     def candidates(self, words: Words) -> np.ndarray:
-        """Rows (word, item, forwards): windows that start or end at the word."""
+        """Rows (word, item, forwards, offset): the word stands at that offset from the
+        first word of the item, or from its last."""
         padded, starts, _ = _padded(self.symbols(words.codes), words.first)
         row = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
         slot = np.arange(len(words)) + row + 1  # of every word in ``padded``
         known = np.concatenate([[0], np.cumsum(padded > _OTHER)])
         found = []
         for shortest, edits, tables in self.classes.values():
-            # of the first words of an occurrence no more than the edits are foreign
-            need = max(1, shortest - edits)
-            for forward in (True, False):
+            for forward, offset in sorted({(t.forward, t.offset) for t in tables}, reverse=True):
+                # of the first words of an occurrence no more than the edits are foreign
+                need = max(1, shortest - offset - edits)
                 low = slot if forward else np.maximum(slot - need + 1, 0)
                 high = np.minimum(slot + need, len(padded)) if forward else slot + 1
                 at = np.flatnonzero(known[high] - known[low] >= need - edits)
                 for table in tables:
-                    if table.forward == forward and len(at):
+                    if (table.forward, table.offset) == (forward, offset) and len(at):
                         which, keys = table.walk(padded, slot[at], True)
                         lo = np.searchsorted(table.keys, keys, "left")
                         n = np.searchsorted(table.keys, keys, "right") - lo
                         hits = np.flatnonzero(n)
                         for w, a, c in zip(at[which[hits]], lo[hits], n[hits]):
-                            found += [(w, i, forward) for i in table.items[a:a + c]]
-        return np.unique(np.array(found, np.int64).reshape(-1, 3), axis=0)
+                            found += [(w, i, forward, offset) for i in table.items[a:a + c]]
+        return np.unique(np.array(found, np.int64).reshape(-1, 4), axis=0)
 
     def matches(self, words: Words) -> dict[tuple[int, int], tuple[int, int, int]]:
         """Best (distance, first word, words) of every (row, item) within the bound."""
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for word, item, forward in self.candidates(words).tolist():
+        for word, item, forward, offset in self.candidates(words).tolist():
             row = int(np.searchsorted(words.first, word, "right")) - 1
             begin, end = int(words.first[row]), int(words.first[row + 1])
             target = self.items[item]
             limit = bound(len(target), self.edits)
-            reach = len(target) + limit
-            if forward:
-                distance, used = edit_distance(target, words.codes[word:min(end, word + reach)], limit)
-                start = word
-            else:
-                distance, used = edit_distance(target[::-1], words.codes[max(begin, word + 1 - reach):word + 1][::-1], limit)
-                start = word + 1 - used
+            # the item is cut at the word, and each piece is compared away from the cut
+            cut, at = (offset, word) if forward else (len(target) - offset, word + 1)
+            behind, after = edit_distance(target[cut:], words.codes[at:min(end, at + len(target) - cut + limit)], limit)
+            if behind > limit:
+                continue
+            before, ahead = edit_distance(target[:cut][::-1], words.codes[max(begin, at - cut - limit):at][::-1], limit - behind)
+            distance, start, used = behind + before, at - ahead, ahead + after
             if distance <= limit:
                 now = (distance, start - begin, used)
                 best[row, item] = min(best.get((row, item), now), now)

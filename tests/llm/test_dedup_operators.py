@@ -266,6 +266,27 @@ def test_decontamination_recall_and_exactness(spark):
     assert exact <= {(r.doc_id, r.item_id) for r in blocks.collect()}
 
 
+@pytest.mark.parametrize("size", [60, 120, 250, 1000])
+def test_decontamination_recall_of_long_items(size):
+    """A tenth of the words edited, anywhere or all near both ends."""
+    rng = random.Random(size)
+    word = lambda: f"w{rng.randrange(5000)}"
+    lost = {"anywhere": 0, "ends": 0}
+    for kind in lost:
+        for _ in range(25):
+            item = [word() for _ in range(size)]
+            index, words = decontamination.Index([1], [" ".join(item)]), list(item)
+            edits = decontamination.bound(size)
+            for k in range(edits):
+                at = rng.randrange(len(words)) if kind == "anywhere" else k if k % 2 else len(words) - 1 - k
+                words = rng.choice([words[:at] + words[at + 1:], words[:at] + [word()] + words[at:], words[:at] + [word()] + words[at + 1:]])
+            text = [word() for _ in range(30)] + words + [word() for _ in range(30)]
+            got = index.matches(decontamination._words(pa.array([" ".join(text)])))
+            lost[kind] += not got
+            assert all(d <= edits and abs(n - len(words)) <= 2 * edits for d, _, n in got.values())
+    assert lost["anywhere"] == 0 and (size < 250 or lost["ends"] == 0), lost
+
+
 def test_decontamination_odd_rows(spark):
     bench = spark.createDataFrame(
         [(1, None), (2, ""), (3, "..."), (4, "one"), (5, "THE CAT, sat on the mat and looked at the moon"), (None, "x"), (6, "THE CAT, sat on the mat and looked at the moon")],
