@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from spanveil.llm import line_dedup, substring_dedup
+from spanveil.llm.conversation_repair import damaged, repair
 from spanveil.llm.decontamination import contaminated
+from spanveil.llm.fingerprints import fingerprint_documents
 from spanveil.llm.language_id import identify
 from spanveil.llm.license_scan import scan_licenses
 from spanveil.llm.quality_classifier import classify
 from spanveil.llm.quality_rules import apply_rules
 from spanveil.llm.simhash import near_duplicates
 from spanveil.llm.source_mixing import mix
+from spanveil.llm.token_alignment import align_tokens
 from spanveil.llm.token_counts import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,4 +96,25 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op11_fingerprints")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op12_conversation_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(damaged(table(spark, sf_dir, "conversations")))
+
+
+#: Tokenizer files of the alignment query: byte-level A, sentencepiece B.
+ALIGNED = ("byte_bpe_50k.json", "piece_bpe_32k.model")
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align_tokens(table(spark, sf_dir, "documents"), *map(public_tokenizers.path, ALIGNED))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
