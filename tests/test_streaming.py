@@ -1,7 +1,9 @@
 """Streams fed from files with availableNow give the rows of their batch twins."""
 
 import datetime as dt
+import os
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from spanveil.streaming import jobs
@@ -85,16 +87,84 @@ def test_keyed_state(spark, tmp_path, checkpoint):
         ("p", 3, "ok"), ("p", 2, "stale-sequence"), ("p", 5, "ok"), ("q", 1, "ok")}
 
 
+POLICIES = [(1, "this-tab", False), (2, "always-on", True), (3, "off", True), (4, "always-on", False)]
+MESSAGE, OPENED = "message_id long, user_id long, tab_id long, ts timestamp, text string", "tab_id long, activated_at timestamp"
+
+
+def batches(spark, tmp_path, name, parts, schema):
+    """A file stream that gives one of ``parts`` a micro-batch."""
+    path = tmp_path / name
+    path.mkdir()
+    for i, rows in enumerate(parts):
+        made = tmp_path / f"{name}-{i}"
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(made))
+        target = path / f"{i:03}.parquet"
+        next(made.glob("*.parquet")).rename(target)
+        # the source takes older files first
+        os.utime(target, (1_700_000_000 + 10 * i,) * 2)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(path))
+
+
 def test_guard_stream_equals_batch(spark, tmp_path, checkpoint):
-    messages = [(1, 1, 10, at(5), "a"), (2, 1, 10, at(50), "b"), (3, 2, 20, at(5), "c"), (4, 3, 30, at(5), "d")]
-    opened = [(10, at(20)), (30, at(0))]
-    policies = spark.createDataFrame([(1, "this-tab", False), (2, "always-on", True), (3, "off", True)],
-                                     "user_id long, mode string, has_access boolean")
-    ms, os_ = "message_id long, user_id long, tab_id long, ts timestamp, text string", "tab_id long, activated_at timestamp"
-    df = jobs.guard_stream(stream(spark, tmp_path, "g", messages, ms), policies, stream(spark, tmp_path, "o", opened, os_))
-    streamed = {r.message_id: r.guarded for r in run(df, checkpoint, "guard").collect()}
-    batch = jobs.guard_messages(spark.createDataFrame(messages, ms), policies, spark.createDataFrame(opened, os_))
-    assert streamed == {r.message_id: r.guarded for r in batch.collect()} == {1: False, 2: True, 3: True, 4: False}
+    messages = [(1, 1, 10, at(5), "a"), (2, 1, 10, at(50), "b"), (3, 2, 20, at(5), "c"), (4, 3, 30, at(5), "d"),
+                (5, 4, 10, at(60), "e"), (6, 77, 30, at(1), "f"), (7, 1, 40, at(2), None)]
+    last = [(9, 1, 99, at(9_000), "z")]
+    opened = [(10, at(20)), (30, at(0)), (10, at(70))]
+    policies = spark.createDataFrame(POLICIES, "user_id long, mode string, has_access boolean")
+    df = jobs.guard_stream(
+        batches(spark, tmp_path, "g", [messages, last], MESSAGE), policies, stream(spark, tmp_path, "o", opened, OPENED))
+    rows = [(r.message_id, r.guarded) for r in run(df, checkpoint, "guard").collect() if r.message_id < 9]
+    batch = jobs.guard_messages(spark.createDataFrame(messages, MESSAGE), policies.fillna(False), spark.createDataFrame(opened, OPENED))
+    want = {r.message_id: r.guarded for r in batch.collect()}
+    assert len(rows) == len(dict(rows)) and dict(rows) == want
+    assert want == {1: False, 2: True, 3: True, 4: False, 5: False, 6: True, 7: False}
+
+
+def test_late_activation_guards_earlier_message(spark, tmp_path, checkpoint):
+    """The activation comes one batch after the message it covers, inside the watermark."""
+    asked = [[(1, 1, 10, at(30), "a"), (2, 1, 10, at(5), "b")], [(3, 1, 11, at(31), "c")], [(9, 1, 99, at(9_000), "z")]]
+    opened = [[(55, at(1))], [(10, at(20))], [(56, at(9_000))]]
+    policies = spark.createDataFrame(POLICIES, "user_id long, mode string, has_access boolean")
+    df = jobs.guard_stream(batches(spark, tmp_path, "g", asked, MESSAGE), policies, batches(spark, tmp_path, "o", opened, OPENED))
+    got = [(r.message_id, r.guarded) for r in run(df, checkpoint, "late").collect() if r.message_id < 9]
+    assert sorted(got) == [(1, True), (2, False), (3, False)]
+
+
+def test_idle_tabs_leave_the_state(spark, tmp_path, checkpoint):
+    asked = [[(1, 1, 10, at(30), "a")], [(2, 1, 99, at(9_000), "y")], [(3, 1, 99, at(9_001), "z")]]
+    opened = [[(10, at(20))], [(99, at(8_999))], [(99, at(9_000))]]
+    policies = spark.createDataFrame(POLICIES, "user_id long, mode string, has_access boolean")
+    df = jobs.guard_stream(
+        batches(spark, tmp_path, "g", asked, MESSAGE), policies, batches(spark, tmp_path, "o", opened, OPENED),
+        idle=dt.timedelta(seconds=600), salts=2)
+    run(df, checkpoint, "idle")
+    state = spark.read.format("statestore").option("stateVarName", "tab").load(f"{checkpoint}/idle")
+    assert {r.key.tab_id for r in state.select("key").collect()} == {99}
+
+
+def test_hot_keys_are_spread(spark, tmp_path, checkpoint, monkeypatch):
+    """A hot tenant reaches the ring trimmed by every task; a hot pack's stale rows are dealt."""
+    monkeypatch.setattr(jobs.AuditRing, "keep", 20)
+    rows = [(1, at((i * 7919) % 3000), i) for i in range(3000)] + [(2, at(5), 5)]
+    df = jobs.audit_ring_stream(stream(spark, tmp_path, "a", rows, "tenant long, ts timestamp, event_id long"))
+    newest = sorted(r[1] for r in rows if r[0] == 1)[-20:]
+    got = {r.tenant: (r.kept, r.oldest, r.newest) for r in run(df, checkpoint, "hot_ring", "update").collect()}
+    assert got == {1: (20, newest[0], newest[-1]), 2: (1, at(5), at(5))}
+    pieces = [pd.DataFrame({"k": [1] * 50 + [2], "o": list(range(i, i + 50)) + [i]}) for i in range(0, 500, 50)]
+    passed = pd.concat(jobs.newest_per_key(iter(pieces), "k", ["o"], 7))
+    assert sorted(passed.o[passed.k == 1]) == list(range(493, 500)) and (passed.k == 2).sum() == 7
+    packs = [("p", (i * 7919) % 10_007, at(i)) for i in range(4000)] + [("q", 3, at(0)), ("q", 3, at(1)), (None, 1, at(0))]
+    parts = [packs[:1500], packs[1500:1501], packs[1501:]]
+    schema = "pack_id string, seq long, arrived_at timestamp"
+    df = jobs.anti_rollback_stream(batches(spark, tmp_path, "k", parts, schema))
+    best, want = {}, []
+    for pack, seq, _ in packs:
+        fresh = seq > best.get(pack, -1)
+        want.append((pack, seq, "ok" if fresh else "stale-sequence"))
+        best[pack] = max(seq, best.get(pack, -1))
+    assert sorted(map(tuple, run(df, checkpoint, "hot_packs").collect()), key=str) == sorted(want, key=str)
+    state = spark.read.format("statestore").option("stateVarName", "highest").load(f"{checkpoint}/hot_packs")
+    assert {r.key.pack_id for r in state.select("key").collect()} == {"p", "q", None}
 
 
 def test_incremental_rescan(spark, tmp_path, checkpoint):
@@ -110,3 +180,39 @@ def test_incremental_rescan(spark, tmp_path, checkpoint):
     # A replayed batch lands in the same version.
     sink(spark.createDataFrame([(1, 0, "a", "gone", "removed"), (1, 1, "b", "amy@ex.org", "text")], schema + ", kind string"), 0)
     assert sink.current(spark, "segments").filter(F.col("doc_id") == 1).count() == 1
+
+
+def test_rescan_reads_touched_buckets_and_compacts(spark, tmp_path, checkpoint):
+    schema = "doc_id long, seq long, node_id string, text string"
+    rows = [(d, k, f"n{k}", f"mail u{d}_{k}@ex.org" if k % 2 else f"line {k}") for d in range(40) for k in range(3)]
+    sink = jobs.RescanSink(str(tmp_path / "state"), buckets=8, most_live=3)
+    sink.seed(spark.createDataFrame(rows, schema))
+    state = {(d, n): (k, t) for d, k, n, t in rows}
+    for batch in range(3):
+        made = []
+        for d in (5, 6, 7 + batch):
+            made += [(d, 1, "n1", "gone", "removed"), (d, 2, "n2", f"call +1 (743) 555-10{batch}{d % 10}", "text"), (d, 9, f"x{batch}", "new a@ex.org", "added")]
+        changes = spark.createDataFrame(made, schema + ", kind string")
+        sink(changes, batch)
+        if batch == 1:
+            sink(changes, batch)  # a retried batch changes nothing
+        for d, k, n, t, kind in made:
+            state.pop((d, n), None)
+            if kind != "removed":
+                state[d, n] = (k, t)
+    touched = {r[0] for r in spark.createDataFrame([(d,) for d in (5, 6, 7, 8, 9)], "doc_id long").select(sink._bucket()).collect()}
+    live = sink.live(spark)
+    assert all(len(live[b]) == 1 for b in live if b not in touched) and any(len(live[b]) > 1 for b in touched)
+    some = sorted(touched)[:1]
+    read = sink.current(spark, "segments", buckets=some).inputFiles()
+    assert read and all(f"bucket={some[0]}/" in f for f in read)
+    shown = lambda kind: sorted(map(str, sink.current(spark, kind).collect()))
+    segments, findings = shown("segments"), shown("findings")
+    assert {(r.doc_id, r.node_id): (r.seq, r.text) for r in sink.current(spark, "segments").collect()} == state
+    after = spark.createDataFrame([(d, k, n, t) for (d, n), (k, t) in state.items()], schema)
+    none = after.select("doc_id", F.lit("").alias("finding_id")).filter("false")
+    want = {(r.doc_id, r.finding_id) for r in jobs.rescan_findings(after, none)[0].collect()}
+    assert {(r.doc_id, r.finding_id) for r in sink.current(spark, "findings").collect()} == want
+    assert sink.compact(spark, 2, most_live=1)
+    assert all(len(v) == 1 for v in sink.live(spark).values())
+    assert shown("segments") == segments and shown("findings") == findings
