@@ -198,11 +198,34 @@ def ranks_in(starts: Column, places: Column) -> Column:
         F.transform(places, lambda x: F.struct(x.cast("long").alias("at"), F.lit(1).alias("kind"))),
     )
     return fold_out(
-        F.array_sort(marks), {"n": F.lit(0)},
+        # the plain sort: array_sort would call a comparator for every pair
+        F.sort_array(marks), {"n": F.lit(0)},
         lambda a, m: ({"n": a["n"] + 1 - m["kind"]}, m["kind"] == 1, a["n"]), "int",
     )
 
 
+def rank_in(starts: Column, place: Column) -> Column:
+    """How many of the ascending ``starts`` are not after ``place``, by halving."""
+
+    def search(xs: Column) -> Column:
+        def halve(span: Column, _: Column) -> Column:
+            def half(middle: Column) -> Column:
+                after = F.get(xs, middle) > place
+                return F.struct(
+                    F.when(after, span["lo"]).otherwise(middle + 1).alias("lo"),
+                    F.when(after, middle).otherwise(span["hi"]).alias("hi"),
+                )
+
+            middle = F.floor((span["lo"] + span["hi"]) / 2).cast("int")
+            return F.when(span["lo"] < span["hi"], let(middle, half)).otherwise(span)
+
+        rounds = F.sequence(F.lit(0), F.floor(F.log2(F.size(xs) + F.lit(1))).cast("int"))
+        whole = F.struct(F.lit(0).alias("lo"), F.size(xs).alias("hi"))
+        return F.aggregate(rounds, whole, halve, lambda span: span["lo"])
+
+    return let(starts, search)
+
+
 def regex_spans(text: Column, pattern: str | Column, category="match", confidence=1.0) -> Column:
     """Every non-overlapping match of a pattern, with offsets."""
     return match_spans(

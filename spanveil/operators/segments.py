@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanveil.functions.text import WS_SET, fold_out, let
+from spanveil.functions.text import WS_SET, fold_out, let, match_spans, rank_in
 from spanveil.operators.prefix import with_running
 
 # White space plus NBSP and zero-width space, as stripped from page text.
@@ -83,41 +83,38 @@ def place_segments(segments: DataFrame) -> DataFrame:
 
 def segment_at(starts: Column, length: Column, offset: Column) -> Column:
     """Index of the last segment starting at or before an offset, else -1."""
-    index = F.size(F.filter(starts, lambda s: s <= offset)) - 1
-    return F.when((offset < 0) | (offset >= length), F.lit(-1)).otherwise(index)
+    return F.when((offset < 0) | (offset >= length), F.lit(-1)).otherwise(rank_in(starts, offset) - 1)
 
 
 def map_range(scan: DataFrame, ranges: DataFrame) -> DataFrame:
     """Node ranges covered by each (doc_id, range_id, start_pos, end_pos).
 
-    One equi join on the document; the overlap test and the clipping then run
-    over the segment arrays of the row, so no row pairs are produced.
+    One equi join on the document, whose hot keys AQE can split, as every range is looked
+    up by itself: the first and the last segment it touches by halving, then one row for
+    each of that slice, so the work is in the ranges and their hits.
     """
     offsets = scan.select(
         "doc_id", "segment_starts", "node_ids", "node_offsets",
         F.length("combined").cast("bigint").alias("n"),
     )
-    joined = ranges.join(offsets, "doc_id")
-
-    def clip(start: Column, i: Column) -> Column:
-        following = F.get(F.col("segment_starts"), i + 1)
-        length = F.coalesce(following - 1, F.col("n")) - start
-        lo = F.greatest(F.col("start_pos") - start, F.lit(0))
-        hi = F.least(F.col("end_pos") - start, length)
-        base = F.get(F.col("node_offsets"), i)
-        return F.struct(
-            F.get(F.col("node_ids"), i).alias("node_id"), (base + lo).alias("node_start"),
-            (base + hi).alias("node_end"), (hi > lo).alias("hit"),
-        )
-
-    inside = (F.col("start_pos") >= 0) & (F.col("start_pos") < F.col("n"))
-    parts = F.filter(F.transform("segment_starts", clip), lambda p: p["hit"])
-    return (
-        joined.filter(inside)
-        .select("doc_id", "range_id", F.explode_outer(parts).alias("p"))
-        .filter(F.col("p").isNotNull())
-        .select("doc_id", "range_id", "p.node_id", "p.node_start", "p.node_end")
+    starts = F.col("segment_starts")
+    inside = (F.col("start_pos") >= 0) & (F.col("start_pos") < F.col("n")) & (F.col("end_pos") > F.col("start_pos"))
+    slices = ranges.join(offsets, "doc_id").filter(inside).withColumn(
+        "i", F.explode_outer(F.sequence(
+            rank_in(starts, F.col("start_pos")) - 1, rank_in(starts, F.col("end_pos") - 1) - 1
+        ))
     )
+    i = F.col("i")
+    start = F.get(starts, i)
+    length = F.coalesce(F.get(starts, i + 1) - 1, F.col("n")) - start
+    lo = F.greatest(F.col("start_pos") - start, F.lit(0))
+    hi = F.least(F.col("end_pos") - start, length)
+    base = F.get(F.col("node_offsets"), i)
+    # a range may touch only the break behind a segment
+    return slices.select(
+        "doc_id", "range_id", F.get(F.col("node_ids"), i).alias("node_id"),
+        (base + lo).alias("node_start"), (base + hi).alias("node_end"), (hi > lo).alias("hit"),
+    ).filter("hit").drop("hit")
 
 
 def redact_segments(segments: DataFrame, mapped: DataFrame, block: str = "█") -> DataFrame:
@@ -175,39 +172,75 @@ def normalize_unicode(text: Column) -> Column:
     return F.regexp_replace(plain, " {2,}", " ")
 
 
-def offset_map(text: Column) -> Column:
-    """Original index of every normalised character, in order.
+#: Stretches of which at most the first space stays.
+_STRETCH = r"[ \x{A0}\x{200B}-\x{200D}\x{FEFF}]{2,}|[\x{200B}-\x{200D}\x{FEFF}]"
+RUN = "struct<normal:int,original:int,length:int>"
+
 
-    Zero-width characters are skipped, NBSP counts as a space, and of a run of
-    spaces only the first is kept.
+def offset_runs(text: Column) -> Column:
+    """Runs of characters that normalisation keeps side by side, in order.
+
+    A run says where it begins in the normalised and in the original text and how long it
+    is; runs are as many as there are changes, not characters.  Zero-width characters are
+    skipped, NBSP counts as a space, and of a run of spaces only the first is kept.
     """
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    indexed = F.transform(
-        chars,
-        lambda c, i: F.struct(
-            F.when(c == "\u00a0", " ").otherwise(c).alias("c"), i.alias("i")
-        ),
-    )
-    visible = F.filter(indexed, lambda x: ~x["c"].rlike(ZERO_WIDTH))
 
-    def keep(f: Column) -> Column:
-        kept = F.filter(f, lambda x, k: (k == 0) | (x["c"] != " ") | (F.get(f, k - 1)["c"] != " "))
-        return F.transform(kept, lambda x: x["i"])
+    def stretch(m) -> tuple[None, Column]:
+        # place of the first space in the stretch, from 1; 0 without one
+        lead = F.regexp_extract(m.value, r"^[^ \x{A0}]*", 0)
+        space = F.when(F.length(lead) < F.length(m.value), F.length(lead) + 1).otherwise(0)
+        return None, F.struct(m.start.alias("start"), m.end.alias("end"), space.cast("int").alias("space"))
+
+    def run(normal: Column, original: Column, length: Column) -> Column:
+        return F.struct(normal.cast("int").alias("normal"), original.cast("int").alias("original"), length.cast("int").alias("length"))
+
+    def step(acc: Column, x: Column) -> tuple[dict[str, Column], None, Column]:
+        own = x["start"] - acc["at"] + F.when(x["space"] == 1, 1).otherwise(0)
+        # a space at the end of a stretch begins the next run
+        joins = (x["space"] > 1) & (x["start"] + x["space"] == x["end"])
+        alone = (x["space"] > 1) & ~joins
+        made = F.array(
+            run(acc["normal"], acc["at"], own),
+            run(acc["normal"] + own, x["start"] + x["space"] - 1, F.when(alone, 1).otherwise(0)),
+        )
+        return {"normal": acc["normal"] + own + F.when(alone, 1).otherwise(0), "at": x["end"] - joins.cast("int")}, None, made
+
+    found = match_spans(text, _STRETCH, stretch, item="struct<start:int,end:int,space:int>")
+    last = lambda acc: F.array(F.array(run(acc["normal"], acc["at"], F.length(text) - acc["at"])))
+    runs = fold_out(found, {"normal": F.lit(0), "at": F.lit(0)}, step, f"array<{RUN}>", last)
+    return F.filter(F.flatten(runs), lambda r: r["length"] > 0)
 
-    return let(visible, keep)
 
+def offset_map(runs: Column) -> Column:
+    """Original index of every normalised character, spelled out from the runs."""
+    return F.flatten(F.transform(runs, lambda r: F.sequence(r["original"], r["original"] + r["length"] - 1)))
 
-def to_original(mapping: Column, offset: Column) -> Column:
-    """Original offset of a normalised one, clamped at both ends."""
-    n = F.size(mapping)
-    at = F.least(F.greatest(offset, F.lit(0)), n - 1)
-    return F.when(n == 0, offset).otherwise(F.get(mapping, at.cast("int")))
 
+def to_original(runs: Column, offset: Column) -> Column:
+    """Original offset of a normalised one, clamped at both ends; by halving."""
 
-def to_normalized(mapping: Column, offset: Column) -> Column:
+    def look(held: Column) -> Column:
+        last = F.element_at(held, -1)
+        at = F.least(F.greatest(offset, F.lit(0)), last["normal"] + last["length"] - 1)
+        i = rank_in(F.transform(held, lambda r: r["normal"]), at) - 1
+        return let(F.get(held, i), lambda r: r["original"] + at - r["normal"])
+
+    return let(runs, lambda held: F.when(F.size(held) == 0, offset).otherwise(look(held)).cast("long"))
+
+
+def to_normalized(runs: Column, offset: Column) -> Column:
     """Normalised offset of an original one; unmapped offsets stay as they are."""
-    at = F.array_position(mapping, offset.cast("int"))
-    return F.when(at > 0, at - 1).otherwise(offset)
+
+    def look(held: Column) -> Column:
+        i = rank_in(F.transform(held, lambda r: r["original"]), offset) - 1
+
+        def inside(r: Column) -> Column:
+            into = offset - r["original"]
+            return F.when((into >= 0) & (into < r["length"]), r["normal"] + into).otherwise(offset)
+
+        return let(F.get(held, i), inside)
+
+    return let(runs, lambda held: F.coalesce(look(held), offset).cast("long"))
 
 
 def assemble_frames(parents: DataFrame, frames: DataFrame) -> DataFrame:

@@ -474,12 +474,15 @@ _BOXES = f"""SELECT *, 'explicit' AS origin FROM ({_EXPLICIT}) UNION ALL
 SELECT doc_id, page, x, y, width, height, 'derived' FROM rects WHERE doc_id % 7 <> 0"""
 
 
-def boxes(spark, sf_dir):
-    explicit = words(spark, sf_dir).select("doc_id", "page").distinct().filter("doc_id % 7 = 0").select(
+def explicit_boxes(spark, sf_dir):
+    return words(spark, sf_dir).select("doc_id", "page").distinct().filter("doc_id % 7 = 0").select(
         "doc_id", "page", F.lit(10.0).alias("x"), F.lit(380.5).alias("y"),
         (50 + F.col("doc_id") % 5).cast("double").alias("width"), F.lit(30.25).alias("height"),
     )
-    return tk.redaction_boxes(doc_findings(spark, sf_dir), explicit)
+
+
+def boxes(spark, sf_dir):
+    return tk.redaction_boxes(doc_findings(spark, sf_dir), explicit_boxes(spark, sf_dir))
 
 
 @query("redaction_boxes", f"{_WITH} {_BOXES}")
@@ -500,20 +503,51 @@ def box_pad_clip(spark, sf_dir):
     return tk.box_pad_clip(boxes(spark, sf_dir), sizes(spark, sf_dir))
 
 
-def verdicts(spark, sf_dir, required, size):
-    # Every third document lost part of each painted box.
-    padded = tk.box_pad_clip(required, size)
-    painted = padded.select(
-        *tk.PAGE, F.col("paint_x").alias("x"), F.col("paint_y").alias("y"),
-        (F.col("paint_width") * F.when(F.col("doc_id") % 3 == 0, 0.5).otherwise(1.0)).alias("width"),
-        F.col("paint_height").alias("height"),
-    )
-    return tk.redaction_verify(required, painted, size)
-
-
-@query("redaction_verify")
+# Painting lost half of every box's width in each third document.
+_PAINTED = """SELECT doc_id, page, px AS x, py AS y, pw * CASE WHEN doc_id % 3 = 0 THEN 0.5 ELSE 1 END AS width, ph AS height FROM (
+  SELECT b.doc_id, b.page, greatest(0, x - 4) AS px, greatest(0, y - 4) AS py,
+    least(width_px - greatest(0, x - 4), width + 8) AS pw, least(height_px - greatest(0, y - 4), height + 8) AS ph
+  FROM bx b JOIN sz s ON b.doc_id = s.doc_id AND b.page = s.page) WHERE pw > 0 AND ph > 0"""
+_REQUIRED = """SELECT row_number() OVER () AS rid, b.doc_id, b.page, greatest(0, floor(x - 4)) AS x1, greatest(0, floor(y - 4)) AS y1,
+  greatest(greatest(0, floor(x - 4)), least(width_px, ceil(x + width + 4))) AS x2,
+  greatest(greatest(0, floor(y - 4)), least(height_px, ceil(y + height + 4))) AS y2
+FROM bx b JOIN sz s ON b.doc_id = s.doc_id AND b.page = s.page"""
+# Strips between the x edges of what is painted inside a required box; in each, the
+# union of the y intervals by a running maximum.
+_SHARES = """SELECT r.rid, r.doc_id, (x2 - x1) * (y2 - y1) AS size, coalesce(a.area, 0) AS area FROM rq r LEFT JOIN (
+  SELECT rid, sum((hi - lo) * len) AS area FROM (
+    SELECT rid, lo, hi, sum(greatest(0, y2 - greatest(y1, coalesce(reach, -1e9)))) AS len FROM (
+      SELECT s.rid, lo, hi, y1, y2, max(y2) OVER (PARTITION BY s.rid, lo ORDER BY y1, y2
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
+      FROM (SELECT * FROM (SELECT rid, e AS lo, lead(e) OVER (PARTITION BY rid ORDER BY e) AS hi
+        FROM (SELECT rid, x1 AS e FROM cl UNION SELECT rid, x2 FROM cl)) WHERE hi IS NOT NULL) s
+      JOIN cl c ON c.rid = s.rid AND c.x1 <= lo AND c.x2 >= hi)
+    GROUP BY rid, lo, hi) GROUP BY rid) a ON r.rid = a.rid"""
+_CLIPPED = """SELECT r.rid, greatest(r.x1, p.x) AS x1, least(r.x2, p.x + p.width) AS x2, greatest(r.y1, p.y) AS y1,
+  least(r.y2, p.y + p.height) AS y2
+FROM rq r JOIN pt p ON r.doc_id = p.doc_id AND r.page = p.page
+  AND p.x < r.x2 AND p.x + p.width > r.x1 AND p.y < r.y2 AND p.y + p.height > r.y1"""
+
+
+def _verdict_sql(painted: str = "TRUE") -> str:
+    return f"""{_WITH}, bx AS MATERIALIZED ({_BOXES}), sz AS MATERIALIZED ({_SIZES}), rq AS MATERIALIZED ({_REQUIRED}),
+pt AS MATERIALIZED (SELECT * FROM ({_PAINTED}) WHERE {painted}), cl AS MATERIALIZED ({_CLIPPED}), sh AS MATERIALIZED ({_SHARES}),
+vd AS (SELECT doc_id, count(*) FILTER (size > 0) AS checked_regions, count(*) FILTER (size > 0 AND area / size >= 0.85) AS covered_regions,
+  count(*) FILTER (NOT (size > 0 AND area / size >= 0.85)) AS failures FROM sh GROUP BY doc_id)"""
+
+
+def box_rows(spark, sf_dir):
+    """Findings and padded boxes of every page, from one detection."""
+    rows = tk.padded_boxes(tk.redaction_rows(doc_findings(spark, sf_dir), explicit_boxes(spark, sf_dir)), sizes(spark, sf_dir))
+    half = F.when(F.col("doc_id") % 3 == 0, 0.5).otherwise(1.0)
+    lost = F.col("painted").withField("width", F.col("painted.width") * half)
+    return rows.withColumn("painted", F.when(F.col("painted").isNotNull(), lost))
+
+
+@query("redaction_verify", f"""{_verdict_sql()}
+SELECT *, failures = 0 AND checked_regions > 0 AS verified FROM vd""")
 def redaction_verify(spark, sf_dir):
-    return verdicts(spark, sf_dir, boxes(spark, sf_dir), sizes(spark, sf_dir))
+    return tk.verify_boxes(box_rows(spark, sf_dir))
 
 
 @query("redaction_manifest", f"""{_WITH}
@@ -525,9 +559,15 @@ def redaction_manifest(spark, sf_dir):
     return tk.redaction_manifest(sizes(spark, sf_dir), boxes(spark, sf_dir))
 
 
-@query("redaction_stage")
+# Each fifth document is not painted yet.
+@query("redaction_stage", f"""{_verdict_sql("doc_id % 5 <> 0")},
+n AS (SELECT doc_id, count(*) AS detected_values FROM (SELECT DISTINCT doc_id, page, i FROM rects) GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS painted_regions FROM pt GROUP BY doc_id)
+SELECT d.doc_id, coalesce(detected_values, 0) AS detected_values, coalesce(painted_regions, 0) AS painted_regions,
+  CASE WHEN painted_regions > 0 AND failures = 0 AND checked_regions > 0 THEN 'verified' WHEN painted_regions > 0 THEN 'redacted'
+    WHEN detected_values > 0 THEN 'detected' END AS stage
+FROM (SELECT doc_id FROM n UNION SELECT doc_id FROM bx) d LEFT JOIN n ON d.doc_id = n.doc_id
+LEFT JOIN m ON d.doc_id = m.doc_id LEFT JOIN vd ON d.doc_id = vd.doc_id""")
 def redaction_stage(spark, sf_dir):
-    required = boxes(spark, sf_dir).filter("doc_id % 5 <> 0")
-    return tk.redaction_stage(
-        doc_findings(spark, sf_dir), required, verdicts(spark, sf_dir, required, sizes(spark, sf_dir))
-    )
+    drawn = F.when(F.col("doc_id") % 5 != 0, F.col("painted"))
+    return tk.redaction_stage(box_rows(spark, sf_dir).withColumn("painted", drawn))

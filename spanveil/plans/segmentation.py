@@ -254,11 +254,13 @@ kept AS (SELECT doc_id, orig FROM (SELECT *, lag(c) OVER (PARTITION BY doc_id OR
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY orig) - 1 AS normalized_index, orig AS original_index FROM kept""")
 def unicode_offset_map(spark, sf_dir):
     docs = spread(table(spark, sf_dir, "documents")).select("doc_id", odd_text().alias("t"))
-    return docs.select(
-        "doc_id", F.posexplode(sg.offset_map(F.col("t"))).alias("normalized_index", "original_index")
+    runs = docs.select("doc_id", F.explode_outer(sg.offset_runs(F.col("t"))).alias("r")).filter("r IS NOT NULL")
+    return runs.select(
+        "doc_id", (F.col("r.normal") - F.col("r.original")).alias("shift"),
+        F.explode(F.sequence(F.col("r.original"), F.col("r.original") + F.col("r.length") - 1)).alias("i"),
     ).select(
-        "doc_id", F.col("normalized_index").cast("bigint").alias("normalized_index"),
-        F.col("original_index").cast("bigint").alias("original_index"),
+        "doc_id", (F.col("i") + F.col("shift")).cast("bigint").alias("normalized_index"),
+        F.col("i").cast("bigint").alias("original_index"),
     )
 
 

@@ -1,14 +1,17 @@
 """Pages, geometry, prefix sums, rules, sinks against small hand-made truths."""
 
+import collections
 import json
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanveil.operators import pages as pg
-from spanveil.functions.text import WB, WS_SET, fold_out, regex_spans
+from spanveil.functions.text import WB, WS_SET, fold_out, rank_in, regex_spans
 from spanveil.operators import policy, rules, tokens as tk
 from spanveil.operators import segments as sg
 from spanveil.operators.custom_rules import collect_rules, custom_rule_spans, java_pattern
@@ -121,10 +124,10 @@ def test_budget_lets_the_last_segment_overrun(spark):
 
 def test_unicode_maps_both_ways(spark):
     df = spark.createDataFrame([("a​​  b ﻿ c",)], "t string")
-    row = df.select(sg.normalize_unicode(F.col("t")).alias("n"), sg.offset_map(F.col("t")).alias("m")).first()
-    assert row.n == "a b c" and row.m == [0, 3, 5, 6, 9]
-    m = F.lit(row.m)
-    back = df.select(*[sg.to_original(m, F.lit(i)).alias(f"x{i}") for i in (-1, 2, 99)],
+    row = df.select(sg.normalize_unicode(F.col("t")).alias("n"), sg.offset_runs(F.col("t")).alias("m")).first()
+    assert row.n == "a b c" and [tuple(r) for r in row.m] == [(0, 0, 1), (1, 3, 1), (2, 5, 2), (4, 9, 1)]
+    m = F.col("m")
+    back = df.select(sg.offset_runs(F.col("t")).alias("m")).select(*[sg.to_original(m, F.lit(i)).alias(f"x{i}") for i in (-1, 2, 99)],
                      sg.to_normalized(m, F.lit(5)).alias("n"), sg.to_normalized(m, F.lit(4)).alias("u")).first()
     assert list(back) == [0, 5, 9, 2, 4]
 
@@ -281,3 +284,143 @@ def test_entry_has_rows_and_registry_is_whole(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+# --- sorted interval join, sweep line, lookups by halving -------------------------------
+def _page(n, seed=3):
+    """Tokens of one page with their places, and ascending spans that do not overlap."""
+    rng = random.Random(seed)
+    toks, spans, at = [], [], 0
+    for i in range(n):
+        end = at + rng.randint(1, 9)
+        toks.append((i, i // 12, (100.0 * (i % 12), 20.0 * (i // 12), 60.0, 12.0), at, end))
+        at = end + 1
+    place = rng.randint(0, 5)
+    while place < at:
+        end = min(at, place + rng.choice([1, 2, 9, 40]))
+        spans.append((place, end))
+        place = end + rng.choice([0, 1, 7, 60])
+    return toks, spans
+
+
+PAGE_ROW = f"t array<struct<seq:bigint,line:bigint,bbox:{tk.RECT},start:int,end:int>>, s array<struct<start:int,end:int>>"
+
+
+def test_token_slices_equal_all_pairs(spark):
+    pages = [_page(n, n) for n in (1, 2, 7, 50, 300)] + [([], []), (_page(5)[0], [])]
+    df = spark.createDataFrame(pages, PAGE_ROW)
+    for (toks, spans), r in zip(pages, df.select(tk.token_slices(F.col("t"), F.col("s")).alias("c")).collect()):
+        want = [[t[0] for t in toks if t[3] < e and t[4] > s] for s, e in spans]
+        assert [[t.seq for t in c] for c in r.c] == want
+
+
+def test_page_work_is_linear(spark):
+    def seconds(n):
+        df = spark.createDataFrame([_page(n)] * 2, PAGE_ROW).repartition(1).cache()
+        df.count()
+        size = df.select(F.size(F.flatten(tk.token_slices(F.col("t"), F.col("s")))).alias("n"))
+        best = []
+        for _ in range(3):
+            begin = time.perf_counter()
+            size.collect()
+            best.append(time.perf_counter() - begin)
+        return min(best)
+
+    assert seconds(20_000) < 8 * seconds(5_000) + 0.5
+
+
+def test_sweep_covers_many_boxes_exactly(spark):
+    rng = random.Random(11)
+
+    def box(most, low=0):
+        return tuple(float(rng.randint(0, most)) for _ in range(2)) + tuple(float(rng.randint(low, 9)) for _ in range(2))
+
+    pages = [([box(20) for _ in range(rng.randint(0, 9))], [box(22) for _ in range(rng.randint(0, 12))]) for _ in range(40)]
+    df = spark.createDataFrame(pages, f"r array<{tk.RECT}>, p array<{tk.RECT}>")
+    for (required, painted), row in zip(pages, df.select(tk.covered_areas(F.col("r"), F.col("p")).alias("a")).collect()):
+        got = collections.Counter()
+        for part in row.a:
+            got[part.id] += part.area
+        grid = {(x, y) for px, py, w, h in painted for x in range(int(px), int(px + w)) for y in range(int(py), int(py + h))}
+        for i, (x, y, w, h) in enumerate(required):
+            assert got[i] == sum((a, b) in grid for a in range(int(x), int(x + w)) for b in range(int(y), int(y + h)))
+
+
+def test_rank_by_halving(spark):
+    rng = random.Random(2)
+    rows = [(sorted(rng.choices(range(60), k=n)), p) for n in (0, 1, 2, 3, 8, 33) for p in (-1, 0, 5, 30, 59, 60)]
+    df = spark.createDataFrame(rows, "s array<long>, p long")
+    got = [r.n for r in df.select(rank_in(F.col("s"), F.col("p")).alias("n")).collect()]
+    assert got == [sum(x <= p for x in s) for s, p in rows]
+
+
+def _scan_of(lengths):
+    starts, at = [], 0
+    for n in lengths:
+        starts.append(at)
+        at += n + 1
+    return ("x" * (at - 1), starts, [f"seg_{i}" for i in range(len(lengths))], [3 * i for i in range(len(lengths))])
+
+
+def test_ranges_map_to_slices(spark):
+    rng = random.Random(4)
+    scans = {d: _scan_of([rng.randint(1, 12) for _ in range(rng.randint(1, 30))]) for d in range(20)}
+    scan = spark.createDataFrame([(d, *s) for d, s in scans.items()],
+                                 "doc_id long, combined string, segment_starts array<long>, node_ids array<string>, node_offsets array<long>")
+    ranges = [(d, k, a, a + rng.randint(0, 40)) for d in range(22) for k, a in enumerate(rng.choices(range(-4, 200), k=8))]
+    got = sorted(map(tuple, sg.map_range(scan, spark.createDataFrame(ranges, "doc_id long, range_id long, start_pos long, end_pos long")).collect()))
+    want = []
+    for d, k, a, b in ranges:
+        text, starts, names, bases = scans.get(d, ("", [], [], []))
+        if not 0 <= a < len(text):
+            continue
+        for i, s in enumerate(starts):
+            n = (starts[i + 1] - 1 if i + 1 < len(starts) else len(text)) - s
+            lo, hi = max(a - s, 0), min(b - s, n)
+            if hi > lo:
+                want.append((d, k, names[i], bases[i] + lo, bases[i] + hi))
+    assert got == sorted(want)
+
+
+def test_hot_document_of_lookups_stays_split(spark):
+    """A third of all probes ask one document: the skewed join gives it several tasks."""
+    scan = spark.createDataFrame([(d, *_scan_of([7] * 400)) for d in range(8)],
+                                 "doc_id long, combined string, segment_starts array<long>, node_ids array<string>, node_offsets array<long>")
+    probes = spark.range(60_000, numPartitions=12).select(
+        F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id") % 8).alias("doc_id"), F.col("id").alias("range_id"),
+        (F.col("id") * 7 % 3000).alias("start_pos"), (F.col("id") * 7 % 3000 + 9).alias("end_pos"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32k",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        mapped = sg.map_range(scan, probes).withColumn("task", F.spark_partition_id())
+        tasks = mapped.filter("doc_id = 5").agg(F.countDistinct("task").alias("n")).first().n
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert tasks > 1
+
+
+def test_offset_runs_both_ways(spark):
+    rng = random.Random(6)
+    texts = ["", "plain", "  ", "\u200b", "\u200b \u200b  x", "a\u00a0 \u200bb", "\ufeffa  b\u200d", "é \U0001f600\u200c\u200c \u00a0z"]
+    texts += ["".join(rng.choices("ab \u00a0\u200b\u200d", [4, 4, 3, 1, 1, 1], k=rng.randint(1, 60))) for _ in range(40)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").withColumn("m", sg.offset_runs(F.col("t")))
+    df = df.select("i", "t", "m", sg.offset_map(F.col("m")).alias("all"),
+                   F.transform(F.sequence(F.lit(-2), F.lit(70)), lambda k: sg.to_original(F.col("m"), k)).alias("o"),
+                   F.transform(F.sequence(F.lit(-2), F.lit(70)), lambda k: sg.to_normalized(F.col("m"), k)).alias("n"))
+    for r in df.collect():
+        plain, where = "", []
+        for k, c in enumerate(r.t):
+            c = " " if c == "\u00a0" else c
+            if c not in "\u200b\u200c\u200d\ufeff" and not (c == " " and plain.endswith(" ")):
+                plain += c
+                where.append(k)
+        assert list(r["all"]) == where
+        # side by side characters share a run
+        assert len(r.m) == sum(k == 0 or where[k] != where[k - 1] + 1 for k in range(len(where)))
+        for k, o, n in zip(range(-2, 71), r.o, r.n):
+            assert o == (where[min(max(k, 0), len(where) - 1)] if where else k)
+            assert n == (where.index(k) if k in where else k)
