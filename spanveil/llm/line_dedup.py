@@ -18,8 +18,9 @@ from spanveil.session import pinned
 
 #: Lines of fewer words must be equal; from here one edit leaves 0.8 of the words.
 LEAST_WORDS = 5
-#: Words hashed at a time in running hashes.
+#: Words hashed at a time in running hashes, and words from which such chunks are cut.
 _CHUNK = 32
+_PART = 8192
 _BLANK = r"[\x20\x09-\x0D]+"
 
 
@@ -42,39 +43,52 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("line"), "line")})
 
 
+#: Half keys of a line: as the shorter and as the longer of a pair, first and last half.
+_HALVES = ("k0", "k1", "k2", "k3")
+
+
 def _halves(words: Column) -> Column:
-    """Keys of the first and last half of word hashes, as the shorter and as the longer
-    of a pair."""
+    """Struct of ``_HALVES`` from word hashes; the even ones are first halves."""
     n = F.size(words)
     keys = []
     for shorter in (n, n - 1):
         half = F.floor((shorter - 1) / 2).cast("int")
         first, last = F.slice(words, F.lit(1), half), F.slice(words, n - half + 1, half)
-        keys.append(F.struct(F.xxhash64(shorter, F.lit("first"), first).alias("key"), F.lit(True).alias("head")))
-        keys.append(F.struct(F.xxhash64(shorter, F.lit("last"), last).alias("key"), F.lit(False).alias("head")))
-    return F.array(*keys)
+        keys += [F.xxhash64(shorter, F.lit("first"), first), F.xxhash64(shorter, F.lit("last"), last)]
+    return F.struct(*[k.alias(c) for k, c in zip(keys, _HALVES)])
+
+
+def _cut(xs: Column, size: int) -> Column:
+    """Consecutive pieces of an array; each cut copies the whole array."""
+    places = F.when(F.size(xs) > 0, F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / size).cast("int")))
+    return F.transform(F.coalesce(places, F.array().cast("array<int>")), lambda c: F.slice(xs, c * size + 1, size))
 
 
 def _running(hashes: Column) -> Column:
-    """Hash of the first k words for k = 0..n, in about linear time: whole chunks are
-    chained, and only the rest of a chunk is hashed anew."""
-    n = F.size(hashes)
-    chunks = F.when(n >= _CHUNK, F.sequence(F.lit(0), F.floor(n / _CHUNK).cast("int") - 1)).otherwise(
-        F.array().cast("array<int>")
-    )
-    chained = F.aggregate(
-        chunks, F.array(F.lit(0).cast("long")),
-        lambda a, c: F.concat(a, F.array(F.xxhash64(F.element_at(a, -1), F.slice(hashes, c * _CHUNK + 1, _CHUNK)))),
-    )
+    """Hash of the first k words for k = 0..n: whole chunks are chained, and only the rest of
+    a chunk is hashed anew.  Chunks are cut from parts, so that no cut copies a long line."""
+    chunks = F.flatten(F.transform(_cut(hashes, _PART), lambda part: _cut(part, _CHUNK)))
+
+    def each(held: Column) -> Column:
+        cut = held["chunks"]
+        chained = F.aggregate(
+            F.filter(cut, lambda c: F.size(c) == _CHUNK), F.array(F.lit(0).cast("long")),
+            lambda a, c: F.concat(a, F.array(F.xxhash64(F.element_at(a, -1), c))),
+        )
+
+        def along(chain: Column) -> Column:
+            none = F.array().cast("array<long>")
+
+            def upto(k: Column) -> Column:
+                c = F.floor(k / _CHUNK).cast("int")
+                rest = F.coalesce(F.slice(F.get(cut, c), F.lit(1), k - c * _CHUNK), none)
+                return F.xxhash64(F.get(chain, c), rest)
 
-    def each(chain: Column) -> Column:
-        def upto(k: Column) -> Column:
-            c = F.floor(k / _CHUNK).cast("int")
-            return F.xxhash64(F.get(chain, c), F.slice(hashes, c * _CHUNK + 1, k - c * _CHUNK))
+            return F.transform(F.sequence(F.lit(0), F.size(hashes)), upto)
 
-        return F.transform(F.sequence(F.lit(0), n), upto)
+        return F.element_at(F.transform(F.array(chained), along), 1)
 
-    return F.element_at(F.transform(F.array(chained), each), 1)
+    return F.element_at(F.transform(F.array(F.struct(chunks.alias("chunks"))), each), 1)
 
 
 def _variants(line: Column, head: Column, tail: Column) -> Column:
@@ -112,30 +126,41 @@ def within_one_edit(a: Column, b: Column) -> Column:
     )
 
 
-def _near(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(h1, h2) of lines with an earlier line within one edit."""
-    hashes = F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w))
-    halves = F.transform(F.array(hashes), lambda h: F.when(F.size(h) >= LEAST_WORDS, _halves(h)))
-    keyed = lines_of(docs).select("h1", "h2", F.explode_outer(F.element_at(halves, 1)).alias("k"))
-    keyed = keyed.select("h1", "h2", "k.*").where(F.col("key").isNotNull())
-    shared = stored(
-        keyed.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("key")
-    )
+def _near(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """(h1, h2) of lines with an earlier line within one edit.
+
+    ``groups`` has the distinct lines with the place where each stands first and its halves.
+    """
+    halves = F.array(*[
+        F.struct(F.col(k).alias("key"), F.lit(i % 2 == 0).alias("head")) for i, k in enumerate(_HALVES)
+    ])
+    keyed = groups.where("k0 IS NOT NULL").select("doc_id", "line_no", "h1", F.explode_outer(halves).alias("k"))
+    keyed = keyed.select("doc_id", "line_no", "h1", "k.*")
+    shared = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     # what follows grows with the corpus, so it is merged at every size, never broadcast
-    passing = keyed.join(shared.hint("merge"), "key", "left_semi").groupBy("h1", "h2").agg(
-        F.bool_or("head").alias("head"), F.bool_or(~F.col("head")).alias("tail")
+    spots = keyed.join(shared.hint("merge"), "key", "left_semi").groupBy("doc_id").agg(
+        F.sort_array(F.collect_set(F.struct("line_no", "h1", "head"))).alias("spots")
     )
+
+    def whole(s: Column, i: Column) -> Column:
+        """A spot with what the one before it, of the same line, says; null if another follows."""
+        held = F.col("spots")
+        same = lambda o: (o["line_no"] == s["line_no"]) & (o["h1"] == s["h1"])
+        also = F.coalesce(same(F.get(held, i - 1)), F.lit(False))
+        made = F.struct(s["line_no"].alias("line_no"), s["h1"].alias("h1"), s["head"].alias("head"), (~s["head"] | also).alias("tail"))
+        return F.when(~F.coalesce(same(F.get(held, i + 1)), F.lit(False)), made)
+
+    spots = spots.withColumn("spots", F.filter(F.transform("spots", whole), lambda x: x.isNotNull()))
     # each passing line is read once more, where it stands first; a document's own list only
-    spots = passing.join(firsts, ["h1", "h2"]).groupBy("doc_id").agg(
-        F.collect_list(F.struct("line_no", "h1", "h2", "head", "tail")).alias("spots")
-    )
     found = docs.select("doc_id", "text").join(spots.hint("merge"), "doc_id")
     found = pinned(found, lines=F.split("text", "\n")).select(
         "doc_id", "lines", F.explode("spots").alias("spot")
     ).select("doc_id", "spot.*", F.get("lines", F.col("spot.line_no")).alias("line"))
+    # dealt anew, as few lines make many variants
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lines = stored(
-        found.where((F.xxhash64("line") == F.col("h1")) & (F.xxhash64(F.lit("line"), "line") == F.col("h2")))
-        .dropDuplicates(["h1", "h2"])
+        found.where(F.xxhash64("line") == F.col("h1")).withColumn("h2", F.xxhash64(F.lit("line"), "line"))
+        .repartition(parts, "h1", "h2").dropDuplicates(["h1", "h2"])
     )
     place = F.struct("doc_id", "line_no", "h1", "h2")
     variants = _variants(F.col("line"), F.col("head"), F.col("tail"))
@@ -159,14 +184,18 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
 
     Documents that lose none are absent.
     """
-    lines = lines_of(docs).select("doc_id", "text_key", "line_no", "h1", "h2")
+    rows = lines_of(docs)
+    lines = rows.select("doc_id", "text_key", "line_no", "h1", "h2")
+    hashes = F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w))
+    halves = F.element_at(F.transform(F.array(hashes), lambda h: F.when(F.size(h) >= LEAST_WORDS, _halves(h))), 1)
+    # one scan gives the places and the halves of all lines
     groups = stored(
-        lines.groupBy("h1", "h2").agg(
-            F.min(F.struct("doc_id", "line_no")).alias("first"), F.max(F.struct("doc_id", "line_no")).alias("last")
-        ).select("h1", "h2", "first.*", F.col("first") != F.col("last"))
-        .toDF("h1", "h2", "doc_id", "line_no", "several")
+        pinned(rows.select("doc_id", "line_no", "line", "h1", "h2"), halves=halves).groupBy("h1", "h2").agg(
+            F.min(F.struct("doc_id", "line_no")).alias("first"), (F.count("*") > 1).alias("several"),
+            *[F.first(f"halves.{k}").alias(k) for k in _HALVES],
+        ).select("h1", "h2", "first.*", "several", *_HALVES)
     )
-    near = stored(_near(docs, groups.select("h1", "h2", "doc_id", "line_no")))
+    near = stored(_near(docs, groups))
     decided = groups.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("several or near")
     decided = stored(decided.select(
         "h1", "h2", F.struct("doc_id", "line_no").alias("first"), F.coalesce("near", F.lit(False)).alias("near")
