@@ -460,6 +460,18 @@ BLOCKED_REASONS = [
 ]
 
 
+def coverage_state(found: Column, deferred: Column, failed: Column, drm: Column, blocked: Column, unread: Column) -> Column:
+    """Status of a scan from its counts, the gravest first."""
+    return (
+        F.when(failed, "SCAN_FAILED")
+        .when(drm > 0, "UNSUPPORTED_CONTENT_PRESENT")
+        .when(blocked > 0, "BLOCKED_BY_BROWSER_SECURITY")
+        .when((deferred > 0) | (unread > 0), "PARTIALLY_SCANNED")
+        .when(found == 0, "NO_SENSITIVE_DATA_DETECTED")
+        .otherwise("FULLY_SCANNED")
+    )
+
+
 def coverage_status(scans: DataFrame, findings: DataFrame, unresolved: DataFrame) -> DataFrame:
     """Honest status per scan: never clean while anything stayed unread.
 
@@ -480,12 +492,5 @@ def coverage_status(scans: DataFrame, findings: DataFrame, unresolved: DataFrame
     def n(c: str) -> Column:
         return F.coalesce(F.col(c), zero)
 
-    status = (
-        F.when(F.col("had_error"), "SCAN_FAILED")
-        .when(n("d") > 0, "UNSUPPORTED_CONTENT_PRESENT")
-        .when(n("b") > 0, "BLOCKED_BY_BROWSER_SECURITY")
-        .when((F.col("deferred") > 0) | (n("u") > 0), "PARTIALLY_SCANNED")
-        .when(n("f") == 0, "NO_SENSITIVE_DATA_DETECTED")
-        .otherwise("FULLY_SCANNED")
-    )
+    status = coverage_state(n("f"), F.col("deferred"), F.col("had_error"), n("d"), n("b"), n("u"))
     return scans.join(facts, "doc_id", "left").select("doc_id", status.alias("coverage_status"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-
 import sys
 from functools import reduce
 
@@ -16,7 +15,8 @@ from pyspark.sql import types as T
 from spanveil.constants import ALL_CATEGORIES
 from spanveil.functions import checksums as ck
 from spanveil.functions.text import B0, B1, WB, let, trim_ws
-from spanveil.operators.custom_rules import java_pattern
+from spanveil.operators.custom_rules import may_match, rule_table
+from spanveil.operators.pattern_check import slow
 from spanveil.session import pinned, spread
 
 # The grammar of a rule the scanner is willing to run.  It has no
@@ -425,16 +425,6 @@ def infer_rules(examples: DataFrame, keep: int | None = MAX_EXAMPLES) -> DataFra
 
 
 # ---- testing and acceptance ------------------------------------------------------
-def rules_literal(rows: list[Row], key: str = "rule_id") -> Column:
-    """A bounded rule list as an array literal that travels inside the plan."""
-    return F.array(*[
-        F.struct(F.lit(r[key]).alias("rule_id"),
-                 F.lit(java_pattern(r["pattern"], r["flags"])).alias("pattern"),
-                 F.lit(bool(r["safe"])).alias("safe"))
-        for r in rows
-    ])
-
-
 def collect_rule_list(rules: DataFrame, limit: int | None = None) -> list[Row]:
     rows = rules.withColumn("safe", safe_regex(F.col("pattern"), F.col("flags"))).orderBy(
         "rule_id").collect()
@@ -444,23 +434,26 @@ def collect_rule_list(rules: DataFrame, limit: int | None = None) -> list[Row]:
 
 
 def count_matches(cases: DataFrame, rules: list[Row], text: str = "text", most: int | None = None) -> DataFrame:
-    """Match count of every rule on every case (``most`` at most); unsafe rules count 0."""
-
-    def matches(pattern: Column) -> Column:
-        n = F.regexp_count(F.col(text), pattern)
-        return n if most is None else F.least(n, F.lit(most))
-
-    counted = F.transform(
-        rules_literal(rules),
-        lambda r: F.struct(
-            r["rule_id"].alias("rule_id"),
-            F.when(r["safe"], matches(r["pattern"]))
-            .otherwise(0).cast("bigint").alias("match_count"),
-        ),
-    )
-    return spread(cases).select(
-        *[c for c in cases.columns if c != text], F.explode(counted).alias("r")
-    ).select(*[c for c in cases.columns if c != text], "r.*")
+    """Match count of every rule on every case that it matches (``most`` at most).
+
+    Unsafe rules match nothing.  A rule is run on the texts that hold its required literal;
+    only hits leave the row.
+    """
+    keep = [c for c in cases.columns if c != text]
+    if not rules:
+        return cases.select(*keep, F.lit(None).cast("bigint").alias("rule_id"), F.lit(None).cast("bigint").alias("match_count")).limit(0)
+
+    def counted(rule: Column) -> Column:
+        n = F.regexp_count(F.col(text), rule["pattern"])
+        return F.struct(
+            rule["rule_id"].alias("rule_id"), (n if most is None else F.least(n, F.lit(most))).cast("bigint").alias("match_count")
+        )
+
+    hits = let(F.lower(F.col(text)), lambda low: F.transform(
+        F.filter(rule_table(rules, "rule_id"), lambda r: r["safe"] & may_match(low, r)), counted
+    ))
+    found = F.filter(hits, lambda h: h["match_count"] > 0)
+    return spread(cases).select(*keep, F.explode_outer(found).alias("r")).filter("r IS NOT NULL").select(*keep, "r.*")
 
 
 # Acceptance thresholds and constructs refused outright.
@@ -490,41 +483,37 @@ def gate_rules(corpus: DataFrame, rules: DataFrame) -> DataFrame:
     """Acceptance verdict per rule over a labelled corpus (kind, text).
 
     ``kind`` is positive, negative or benign.  Static checks come first: a pattern with a
-    prohibited construct or one that does not compile is reported and never run.  Every
-    text is read once; hits are summed per rule on the map side, so only rule counts are
+    prohibited construct, one that does not compile and one that some string makes slow
+    (``pattern_check``) is reported and never run.  Every text is read once by the rules whose
+    literal it holds; hits are summed per rule on the map side, so only rule counts are
     shuffled.  Without a corpus every rule is still reported.
     """
     rows = rules.orderBy("rule_id").collect()
     refused = {r["rule_id"] for r in rows if any(re.search(p, r["pattern"] or "") for _, p in PROHIBITED)}
     broken = [r["rule_id"] for r in rows if r["rule_id"] not in refused and not compiles(r["pattern"])]
-    listed = F.array(*[
-        F.struct(F.lit(r["rule_id"]).alias("rule_id"),
-                 F.lit(java_pattern(r["pattern"], r["flags"]) if runs else None).cast("string").alias("pattern"))
-        for r in rows
-        for runs in [r["rule_id"] not in broken and r["rule_id"] not in refused]
-    ]) if rows else F.expr("cast(array() as array<struct<rule_id:string,pattern:string>>)")
-    hits = F.transform(
-        listed,
-        lambda r: F.struct(r["rule_id"].alias("rule_id"),
-                           F.coalesce(F.rlike(F.col("text"), r["pattern"]), F.lit(False)).cast("int").alias("hit")),
-    )
-    per_text = spread(corpus).select("kind", F.explode(hits).alias("h")).select("kind", "h.*")
+    hostile = [
+        r["rule_id"] for r in rows
+        if r["rule_id"] not in refused and r["rule_id"] not in broken and slow(r["pattern"], r["flags"])
+    ]
+    runnable = [r for r in rows if r["rule_id"] not in {*refused, *broken, *hostile}]
+    hits = let(F.lower("text"), lambda low: F.transform(
+        F.filter(rule_table(runnable, "rule_id"), lambda r: may_match(low, r) & F.rlike(F.col("text"), r["pattern"])),
+        lambda r: r["rule_id"],
+    ))
     k = F.col("kind")
-
-    def total(kind: str, value: Column) -> Column:
-        return F.coalesce(F.sum(F.when(k == kind, value)), F.lit(0))
-
+    spread_out = spread(corpus).select("kind", F.explode_outer(hits).alias("rule_id")).filter("rule_id IS NOT NULL")
+    facts = spread_out.groupBy("rule_id").agg(*[
+        F.count_if(k == kind).alias(name) for kind, name in (("positive", "hit_pos"), ("negative", "hit_neg"), ("benign", "hit_ben"))
+    ])
+    # texts are counted once, not once a rule
+    sizes = corpus.agg(F.count_if(k == "positive").alias("n_pos"), F.count_if(k == "benign").alias("n_ben"))
     one = F.lit(1)
-    facts = per_text.groupBy("rule_id").agg(
-        total("positive", one).alias("n_pos"), total("positive", F.col("hit")).alias("hit_pos"),
-        total("negative", F.col("hit")).alias("hit_neg"),
-        total("benign", one).alias("n_ben"), total("benign", F.col("hit")).alias("hit_ben"),
-    )
     c = F.col
     budget = F.when(c("category") == "secrets", MAX_BENIGN_PER_20K_SECRETS).otherwise(MAX_BENIGN_PER_20K)
     checks = [
         (c("rule_id").isin(broken) if broken else F.lit(False), "does not compile"),
         *[(c("pattern").rlike(p), f"prohibited construct: {n}") for n, p in PROHIBITED],
+        (c("rule_id").isin(hostile) if hostile else F.lit(False), "slow on hostile input"),
         (~F.coalesce(c("confidence").between(0, 1), F.lit(False)), "confidence"),
         (c("n_pos") == 0, "no positives"),
         ((c("n_pos") == 0) | (c("hit_pos") / F.greatest(c("n_pos"), one) < MIN_PRECISION), "precision"),
@@ -538,10 +527,10 @@ def gate_rules(corpus: DataFrame, rules: DataFrame) -> DataFrame:
         F.array(*[F.when(F.coalesce(bad, F.lit(False)), name) for bad, name in checks]),
         lambda x: x.isNotNull(),
     )
-    # one row a rule, as many as the list above
-    joined = rules.join(F.broadcast(facts), "rule_id", "left").na.fill(
-        0, ["n_pos", "hit_pos", "hit_neg", "n_ben", "hit_ben"]
-    )
+    n_pos, n_ben = sizes.first()
+    joined = rules.join(facts, "rule_id", "left").withColumns({
+        "n_pos": F.lit(n_pos).cast("bigint"), "n_ben": F.lit(n_ben).cast("bigint"),
+    }).na.fill(0, ["hit_pos", "hit_neg", "hit_ben"])
     return joined.select(
         "rule_id", "n_pos", "hit_pos", "hit_neg", "n_ben", "hit_ben", failures.alias("failures"),
         (F.size(failures) == 0).alias("accepted"),

@@ -12,10 +12,11 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanveil.constants import DEFAULT_CATEGORIES, MAX_VISIBLE_CHARS
+from spanveil.constants import DEFAULT_CATEGORIES
 from spanveil.functions.detectors import detect_all
 from spanveil.functions.masking import context_window, mask_context, mask_value
 from spanveil.functions.text import let, ranks_in, regex_spans
+from spanveil.operators.pages import coverage_state
 from spanveil.session import spread
 
 
@@ -192,11 +193,64 @@ def leak_verify(scanned: DataFrame, redacted: str, keys: list[str],
     )
 
 
-def scan_stats(scanned: DataFrame, keys: list[str], text: str = "text",
-               budget: int = MAX_VISIBLE_CHARS) -> DataFrame:
-    """Size, truncation and finding count of each scan, inside the row."""
-    n = F.length(text).cast("bigint")
+def scan_stats(
+    scanned: DataFrame, keys: list[str], text: str = "text", *, truncated: Column | None = None,
+    attr_chars: Column | None = None, deferred: Column | None = None, failed: Column | None = None,
+    blocked: Column | None = None, unread: Column | None = None,
+) -> DataFrame:
+    """Statistics of each scan, inside its row.
+
+    ``truncated`` is what the step that cuts texts says; without one nothing was cut.  The
+    other facts (characters of attributes, media put off, regions left unread, of them those
+    blocked) default to none; together with the findings they give the coverage.
+    """
+    none = F.lit(0).cast("bigint")
+    off = F.lit(False)
+    given = lambda c, default: default if c is None else F.coalesce(c, default)
+    found = F.size("spans").cast("bigint")
+    stopped, late = given(blocked, none).cast("bigint"), given(deferred, none).cast("bigint")
     return scanned.select(
-        *keys, n.alias("visible_chars"), (n >= budget).alias("truncated"),
-        F.size("spans").cast("bigint").alias("findings"),
+        *keys, F.length(text).cast("bigint").alias("visible_chars"), given(attr_chars, none).cast("bigint").alias("attr_chars"),
+        given(truncated, off).alias("truncated"), late.alias("deferred"), found.alias("findings"),
+        coverage_state(found, late, given(failed, off), none, stopped, given(unread, none) + stopped).alias("coverage_status"),
     )
+
+
+#: Characters between a page's text and the report-only texts that follow it.
+CAPTION_OFFSET = 2000
+
+
+def report_only(surfaces: DataFrame, keys: list[str], categories: Iterable[str] = DEFAULT_CATEGORIES) -> DataFrame:
+    """Findings of the texts beside a page's own: never selected, never masked.
+
+    ``surfaces``: keys, ``surface`` ('svg', 'caption' or 'attr'), ``text``, ``page_chars``
+    (length of the page's text) and, for attributes, ``attributes``, the owner of every line.
+    SVG text is placed one character behind the page's text and captions
+    ``CAPTION_OFFSET`` behind it; attribute text has offsets of its own and names the
+    attribute a value begins in.  Rows of all surfaces share one detection.
+    """
+    scanned = with_segments(surfaces.withColumn("spans", detection_column("text", categories)))
+    attr = F.col("surface") == "attr"
+    shift = F.when(F.col("surface") == "svg", F.col("page_chars") + 1).when(
+        F.col("surface") == "caption", F.col("page_chars") + CAPTION_OFFSET
+    ).otherwise(0)
+    node = F.when(F.col("surface") == "svg", "svg").when(F.col("surface") == "caption", "video-caption").otherwise("")
+
+    def describe(s: Column, i: Column, owners: Column) -> Column:
+        window = F.when(attr, context_window(F.col("text"), s["start"], s["end"], 120)).otherwise(
+            context_window(F.col("text"), s["start"], s["end"], 80)
+        )
+        return F.struct(
+            F.concat_ws("_", F.col("surface"), s["category"], s["start"], s["end"], i).alias("finding_id"),
+            s["category"].alias("category"), s["confidence"].alias("confidence"),
+            mask_value(s["category"], s["value"]).alias("preview"), node.alias("node_id"),
+            (s["start"] + shift).cast("bigint").alias("start_offset"), (s["end"] + shift).cast("bigint").alias("end_offset"),
+            mask_context(window).alias("context_preview"),
+            F.when(attr, "attr").otherwise("local-rules").alias("source"),
+            F.when(attr, F.coalesce(F.get("attributes", F.get(owners, i) - 1), F.lit(""))).alias("attribute"),
+            F.lit(False).alias("selected"),
+        )
+
+    owners = ranks_in(F.col("segment_starts"), F.transform("spans", lambda s: s["start"]))
+    found = let(owners, lambda o: F.transform("spans", lambda s, i: describe(s, i, o)))
+    return explode_spans(scanned.withColumn("findings", found), "findings", *keys)

@@ -264,3 +264,21 @@ def assemble_frames(parents: DataFrame, frames: DataFrame) -> DataFrame:
     return both.join(shift, ["doc_id", "frame_no"]).withColumn(
         "seq", F.col("seq") + F.col("shift")
     ).drop("shift", "frame_no")
+
+
+def frame_boundaries(frames: DataFrame) -> DataFrame:
+    """Boundary record of every frame of a page, readable or not.
+
+    ``frames``: doc_id, frame_order, accessible.  Adds ``number`` (place among all frames),
+    ``frame_no`` (readable frames before it, the number it is merged under) and ``boundary``.
+    Frames of a page are few: they are numbered in one window of the page.
+    """
+    before = Window.partitionBy("doc_id").orderBy("frame_order").rowsBetween(Window.unboundedPreceding, -1)
+    read = F.coalesce(F.sum(F.col("accessible").cast("bigint")).over(before), F.lit(0).cast("bigint"))
+    number = F.count("*").over(before)
+    return frames.withColumns({"number": number, "frame_no": read}).withColumn("boundary", F.struct(
+        F.when(F.col("accessible"), "iframe").otherwise("cross-origin-frame").alias("kind"),
+        F.when(F.col("accessible"), "complete").otherwise("inaccessible").alias("status"),
+        F.concat(F.lit("iframe_boundary_"), "number").alias("node_id"),
+        F.concat(F.lit("frame_"), "frame_no").alias("frame_id"),
+    ))

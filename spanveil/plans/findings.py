@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from spanveil.constants import DEFAULT_CATEGORIES, DISPLAY_LABELS, PLACEHOLDER_LABELS
 from spanveil.functions import masking as mk
-from spanveil.functions.overlaps import resolve_overlaps_long
 from spanveil.functions.text import span
 from spanveil.operators import custom_rules as cr
 from spanveil.operators import scan
@@ -157,16 +156,38 @@ def finding_build(spark, sf_dir):
     return mixed_findings(spark, sf_dir)
 
 
-@query("finding_build_report_only",
-       SCAN + _findings_sql("svg", 80, "svg", selected="false") + " UNION ALL "
-       + _findings_sql("caption", 80, "video-caption", offset="2000", selected="false"))
+# Every text of the corpus is a page that also holds it as SVG text, as a caption with a
+# lead, and line by line as attribute values.
+_SURFACES = """SELECT surface || ':' || src AS src, id, CASE surface WHEN 'caption' THEN 'Caption: ' || text ELSE text END AS text,
+  length(text) AS page_chars, surface FROM (SELECT *, unnest(['svg', 'caption', 'attr']) AS surface FROM corpus)"""
+_ATTRIBUTES = ["aria-label", "alt", "placeholder", "title"]
+
+
+@query("finding_build_report_only", f"""WITH {CORPUS}, surfaces AS MATERIALIZED ({_SURFACES}),
+resolved AS MATERIALIZED ({sql.resolved(sql.raw_all("SELECT src, id, text FROM surfaces"))})
+SELECT split_part(src, ':', 2) AS src, id, surface || '_' || category || '_' || start_pos || '_' || end_pos || '_' || i AS finding_id,
+  category, confidence, {sql.mask_value()} AS preview,
+  CASE surface WHEN 'svg' THEN 'svg' WHEN 'caption' THEN 'video-caption' ELSE '' END AS node_id,
+  start_pos + shift AS start_offset, end_pos + shift AS end_offset,
+  CASE surface WHEN 'attr' THEN {sql.mask_context("substr(text, greatest(start_pos - 120, 0) + 1, end_pos + 120 - greatest(start_pos - 120, 0))")}
+    ELSE {sql.mask_context("substr(text, greatest(start_pos - 80, 0) + 1, end_pos + 80 - greatest(start_pos - 80, 0))")} END AS context_preview,
+  CASE surface WHEN 'attr' THEN 'attr' ELSE 'local-rules' END AS source,
+  CASE surface WHEN 'attr' THEN {_ATTRIBUTES}[1 + (length(substr(text, 1, start_pos)) - length(replace(substr(text, 1, start_pos), chr(10), ''))) % 4] END AS attribute,
+  false AS selected
+FROM (SELECT r.*, s.text, s.surface, CASE s.surface WHEN 'svg' THEN page_chars + 1 WHEN 'caption' THEN page_chars + 2000 ELSE 0 END AS shift,
+    row_number() OVER (PARTITION BY r.src, r.id ORDER BY r.start_pos) - 1 AS i
+  FROM resolved r JOIN surfaces s ON r.src = s.src AND r.id = s.id)""")
 def finding_build_report_only(spark, sf_dir):
-    scanned = mixed_scan(spark, sf_dir)
-    svg = scan.build_findings(scanned, KEYS, prefix="svg", node_id="svg", pad=80,
-                              source="local-rules", selected=False)
-    captions = scan.build_findings(scanned, KEYS, prefix="caption", node_id="video-caption", pad=80,
-                                   source="local-rules", selected=False, offset=2000)
-    return svg.unionByName(captions)
+    lines = F.size(F.split("text", "\n"))
+    names = F.transform(F.sequence(F.lit(0), lines - 1), lambda i: F.get(F.array(*map(F.lit, _ATTRIBUTES)), i % 4))
+    surface = lambda name, text: F.struct(F.lit(name).alias("surface"), text.alias("text"))
+    pages = spread(corpus(spark, sf_dir, "mixed")).select(
+        *KEYS, F.length("text").alias("page_chars"), names.alias("attributes"),
+        F.explode(F.array(
+            surface("svg", F.col("text")), surface("caption", F.concat(F.lit("Caption: "), "text")), surface("attr", F.col("text"))
+        )).alias("s"),
+    )
+    return scan.report_only(pages.select(*KEYS, "page_chars", "attributes", "s.*"), KEYS)
 
 
 @query("finding_merge_media", SCAN + FINDINGS + " UNION ALL "

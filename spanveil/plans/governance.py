@@ -218,8 +218,9 @@ def rule_infer(spark, sf_dir):
 
 
 @query("rule_test", """
-SELECT d.doc_id, n_nationkey AS rule_id, CAST(least(len(regexp_extract_all(text, '(?i)\\b' || chr(97 + n_nationkey) || '[a-z]{' || (4 + n_nationkey % 3) || '}\\b')), 1000) AS BIGINT) AS match_count
-FROM documents d, nation""")
+SELECT * FROM (SELECT d.doc_id, n_nationkey AS rule_id,
+  CAST(len(regexp_extract_all(text, '(?i)\\b' || chr(97 + n_nationkey) || '[a-z]{' || (4 + n_nationkey % 3) || '}\\b')) AS BIGINT) AS match_count
+FROM documents d, nation) WHERE match_count > 0""")
 def rule_test(spark, sf_dir):
     listed = rules.collect_rule_list(nation_rules(spark, sf_dir).withColumnRenamed("id", "rule_id"))
     return rules.count_matches(table(spark, sf_dir, "documents").select("doc_id", "text"), listed)
@@ -544,10 +545,20 @@ def unique_categories(spark, sf_dir):
 
 
 @query("scan_stats", SCAN + f"""
-SELECT c.src, c.id, length(text) AS visible_chars, length(text) >= 250000 AS truncated, coalesce(n, 0) AS findings
-FROM ({MIXED}) c LEFT JOIN (SELECT src, id, count(*) AS n FROM ({RESOLVED}) GROUP BY src, id) f ON c.src = f.src AND c.id = f.id""")
+SELECT src, id, visible_chars, attr_chars, false AS truncated, deferred, findings,
+  CASE WHEN failed THEN 'SCAN_FAILED' WHEN blocked > 0 THEN 'BLOCKED_BY_BROWSER_SECURITY' WHEN deferred > 0 THEN 'PARTIALLY_SCANNED'
+    WHEN findings = 0 THEN 'NO_SENSITIVE_DATA_DETECTED' ELSE 'FULLY_SCANNED' END AS coverage_status FROM (
+  SELECT c.src, c.id, length(text) AS visible_chars, CASE WHEN c.id % 3 = 0 THEN length(regexp_extract(text, '^[^\n]*')) ELSE 0 END AS attr_chars,
+    CASE WHEN c.id % 5 = 0 THEN c.id % 4 ELSE 0 END AS deferred, coalesce(n, 0) AS findings, CASE WHEN c.id % 11 = 0 THEN 1 ELSE 0 END AS blocked,
+    c.id % 97 = 0 AS failed
+  FROM ({MIXED}) c LEFT JOIN (SELECT src, id, count(*) AS n FROM ({RESOLVED}) GROUP BY src, id) f ON c.src = f.src AND c.id = f.id)""")
 def scan_stats(spark, sf_dir):
-    return sc.scan_stats(mixed_scan(spark, sf_dir), KEYS)
+    k = c("id")
+    return sc.scan_stats(
+        mixed_scan(spark, sf_dir), KEYS,
+        attr_chars=F.when(k % 3 == 0, F.length(F.regexp_extract("text", "^[^\n]*", 0))),
+        deferred=F.when(k % 5 == 0, k % 4), blocked=F.when(k % 11 == 0, 1), failed=k % 97 == 0,
+    )
 
 
 _URLS = """SELECT page_id, CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN 'https://User:pw@EX.org:443/a' WHEN 2 THEN 'http://ex.org:8080?x' WHEN 3 THEN 'not a url'
@@ -726,3 +737,16 @@ def sink_findings_json(spark, sf_dir):
     rows = findings_envelopes(scanned, KEYS, F.lit("2026-01-15T00:00:00Z"))
     shown = F.transform("findings", lambda f: F.concat(f["id"], F.lit("="), f["preview"]))
     return rows.withColumn("findings", joined(shown))
+
+
+@query("sink_redacted", f"""{SCAN}
+SELECT r.src, r.id, regexp_replace('file' || r.id || CASE WHEN r.id % 3 = 0 THEN '.PDF' WHEN r.id % 3 = 1 THEN '.docx' ELSE '.v2.pdf' END,
+  '(?i)\\.(pdf|docx)$', '') || '-redacted.pdf' AS output_name, redacted, coalesce(n, 0) AS redacted_count
+FROM ({sql.redacted(MIXED, RESOLVED, "'[REDACTED]'")}) r
+LEFT JOIN (SELECT src, id, count(*) AS n FROM resolved GROUP BY src, id) f ON r.src = f.src AND r.id = f.id""")
+def sink_redacted(spark, sf_dir):
+    from spanveil.sources.sinks import redacted_documents
+
+    k = F.col("id") % 3
+    name = F.concat(F.lit("file"), "id", F.when(k == 0, ".PDF").when(k == 1, ".docx").otherwise(".v2.pdf"))
+    return redacted_documents(mixed_scan(spark, sf_dir).withColumn("name", name), KEYS, "name")

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from spanveil.functions.text import WS_SET
 from spanveil.operators import segments as sg
-from spanveil.plans.carriers import corpus, corpus_sql
 from spanveil.plans.registry import query, table
 from spanveil.plans.sql_text import q
 from spanveil.session import spread
@@ -264,25 +263,37 @@ def unicode_offset_map(spark, sf_dir):
     )
 
 
-@query("frame_merge", f"""WITH {_SEG},
-allseg AS (SELECT doc_id - doc_id % 2 AS doc_id, doc_id % 2 AS frame, seq, text FROM seg)
-SELECT doc_id, string_agg(text, chr(10) ORDER BY frame, seq) AS combined FROM allseg GROUP BY doc_id""")
+# Even documents are pages; the next one is in a frame of it, which one of three may not read,
+# and every fourth page has a second frame from elsewhere.
+_FRAMES = """SELECT doc_id, frame_order, accessible, row_number() OVER (PARTITION BY doc_id ORDER BY frame_order) - 1 AS n,
+  CAST(coalesce(sum(CAST(accessible AS INT)) OVER (PARTITION BY doc_id ORDER BY frame_order ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS frame_no
+FROM (SELECT doc_id, 0 AS frame_order, doc_id % 3 <> 0 AS accessible FROM documents WHERE doc_id % 2 = 0
+  UNION ALL SELECT doc_id, 1, false FROM documents WHERE doc_id % 4 = 0)"""
+
+
+@query("frame_merge", f"""WITH {_SEG}, frames AS MATERIALIZED ({_FRAMES}),
+allseg AS (SELECT doc_id, -1 AS frame, seq, text FROM seg WHERE doc_id % 2 = 0
+  UNION ALL SELECT f.doc_id, f.frame_no, seq, text FROM seg s JOIN frames f ON s.doc_id = f.doc_id + 1 AND f.frame_order = 0 AND f.accessible),
+placed AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY frame, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM allseg),
+merged AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY frame, seq) AS combined, string_agg(CAST(CAST(s AS BIGINT) AS VARCHAR), ',' ORDER BY frame, seq) AS starts FROM placed GROUP BY doc_id),
+edges AS (SELECT doc_id, string_agg(CASE WHEN accessible THEN 'iframe:complete' ELSE 'cross-origin-frame:inaccessible' END
+  || ':iframe_boundary_' || n || ':frame_' || frame_no, ',' ORDER BY n) AS boundaries FROM frames GROUP BY doc_id)
+SELECT m.doc_id, combined, starts, coalesce(boundaries, '') AS boundaries FROM merged m LEFT JOIN edges e ON m.doc_id = e.doc_id""")
 def frame_merge(spark, sf_dir):
+    d = F.col("doc_id")
     segs = segments(spark, sf_dir)
-    parents = segs.filter("doc_id % 2 = 0")
-    frames = segs.filter("doc_id % 2 = 1").withColumns(
-        {"doc_id": F.col("doc_id") - 1, "frame_no": F.lit(0).cast("bigint")}
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    found = docs.filter(d % 2 == 0).select("doc_id", F.lit(0).alias("frame_order"), (d % 3 != 0).alias("accessible")).unionByName(
+        docs.filter(d % 4 == 0).select("doc_id", F.lit(1).alias("frame_order"), F.lit(False).alias("accessible"))
+    )
+    edges = sg.frame_boundaries(found)
+    readable = edges.filter("accessible AND frame_order = 0").select("doc_id", "frame_no")
+    frames = segs.filter(d % 2 == 1).withColumn("doc_id", d - 1).join(readable, "doc_id")
+    merged = sg.scan_text(sg.assemble_frames(segs.filter(d % 2 == 0), frames))
+    listed = edges.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("number", "boundary"))).alias("b")).select(
+        "doc_id", F.array_join(F.transform("b", lambda x: F.concat_ws(
+            ":", *[x["boundary"][f] for f in ("kind", "status", "node_id", "frame_id")])), ",").alias("boundaries"))
+    return merged.join(listed, "doc_id", "left").select(
+        "doc_id", "combined", F.array_join(F.transform("segment_starts", lambda x: x.cast("string")), ",").alias("starts"),
+        F.coalesce("boundaries", F.lit("")).alias("boundaries"),
     )
-    return sg.scan_text(sg.assemble_frames(parents, frames)).select("doc_id", "combined")
-
-
-@query("sink_redacted", f"""
-SELECT src, id, regexp_replace(name, '(?i)\\.(pdf|docx)$', '') || '-redacted.pdf' AS output_name FROM (
-  SELECT src, id, 'file' || id || CASE WHEN id % 3 = 0 THEN '.PDF' WHEN id % 3 = 1 THEN '.docx' ELSE '.v2.pdf' END AS name
-  FROM ({corpus_sql("email")}))""")
-def sink_redacted(spark, sf_dir):
-    from spanveil.sources.sinks import output_name
-
-    k = F.col("id") % 3
-    name = F.concat(F.lit("file"), "id", F.when(k == 0, ".PDF").when(k == 1, ".docx").otherwise(".v2.pdf"))
-    return corpus(spark, sf_dir, "email").select("src", "id", output_name(name).alias("output_name"))

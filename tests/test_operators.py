@@ -15,6 +15,7 @@ from spanveil.functions.text import WB, WS_SET, fold_out, rank_in, regex_spans
 from spanveil.operators import policy, rules, tokens as tk
 from spanveil.operators import segments as sg
 from spanveil.operators.custom_rules import collect_rules, custom_rule_spans, java_pattern
+from spanveil.operators.pattern_check import required_literal, slow
 from spanveil.operators.prefix import with_running
 from spanveil.operators.scan import scan_documents
 from spanveil.sources import readers, sinks
@@ -424,3 +425,55 @@ def test_offset_runs_both_ways(spark):
         for k, o, n in zip(range(-2, 71), r.o, r.n):
             assert o == (where[min(max(k, 0), len(where) - 1)] if where else k)
             assert n == (where.index(k) if k in where else k)
+
+
+SLOW = [r"(a+)+$", r"(a|a)*b", r"(?:a|aa)+$", r"\d+-\d+x", r"[a-z]+@[a-z]+", r".*.*x", r"a*a*b", r"(?:[a-z]+\.?)+@", r"x\w*\w*!", r"\s+$"]
+FAST = [
+    r"TKT-\d{6}", r"TOKEN=[A-Za-z0-9_]+", r"\b\d+-\d+\b", r"a+", r"[a-z]*", r"(?:ab)+", r"AKIA[A-Z0-9]{16}", r"(?:a[a-z]*|e)",
+    r"https://hooks\.slack\.com/services/[A-Za-z0-9/]+", r"\b[A-Z]{2}\d{2}(?: ?\d{4}){3}\b", r"^[a-z]+@[a-z]+\.com", r"id:\s*\d+",
+]
+
+
+def test_slow_patterns_are_found_without_running_them():
+    assert [p for p in SLOW if not slow(p)] == [] and [p for p in FAST if slow(p)] == []
+    # the verdict agrees with a matcher: work for twice the text on texts made of the pattern's characters
+    for p in FAST:
+        for text in ("a", "a.", "1", "a-", "TKT-9", "TOKEN=", " ", "ab", "AKIA"):
+            begin = time.perf_counter()
+            re.compile(p).search(text * (60_000 // len(text)) + "\n")
+            assert time.perf_counter() - begin < 0.25, (p, text)
+
+
+def test_gate_refuses_slow_patterns(spark):
+    schema = "rule_id string, pattern string, flags string, category string, confidence double, distinct_examples int, reported boolean"
+    patterns = {f"s{i}": p for i, p in enumerate(SLOW)} | {f"f{i}": p for i, p in enumerate(FAST)}
+    listed = spark.createDataFrame([(k, p, "", "custom", 0.8, 25, False) for k, p in patterns.items()], schema)
+    corpus = spark.createDataFrame([("positive", "a" * 60_000), ("benign", "fine")], "kind string, text string")
+    got = {r.rule_id: r.failures for r in rules.gate_rules(corpus, listed).collect()}
+    prohibited = {k for k, p in patterns.items() if any(re.search(x, p) for _, x in rules.PROHIBITED)}
+    assert {k for k, f in got.items() if "slow on hostile input" in f} == {k for k in patterns if k[0] == "s"} - prohibited
+
+
+def test_required_literals(spark):
+    want = {r"TKT-\d{6}": "tkt-", r"\b(?:abc)+d": "abc", r"a|bcd": None, r"(?:abcd)?ef": None, r"[x]yz\s+word": "word", r"ab": None, r"Ab(CD)e": "abcde"}
+    assert {p: required_literal(p) for p in want} == want
+    rng = random.Random(9)
+    for _ in range(300):
+        p = "".join(rng.choice(["abc", "x", r"\d", "[yz]", "(?:pq)+", "k*", "m?", "(rst)"]) for _ in range(rng.randint(1, 6)))
+        text = "".join(rng.choices("abcxyz0pqkmrst", k=200)) + "".join(rng.choice(["abcx0", "pqrst", "abcpq", "x0y"]) for _ in range(60))
+        need = required_literal(p)
+        for m in re.finditer(p, text):
+            assert need is None or need in m.group().lower()
+
+
+def test_five_thousand_rules_in_one_run(spark):
+    schema = "rule_id int, pattern string, flags string"
+    listed = rules.collect_rule_list(spark.createDataFrame([(i, rf"\bkey{i}-\d{{2}}\b", "i") for i in range(5000)], schema))
+    texts = [(d, f"nothing here Key{d}-12 and KEY{d * 7 % 5000}-34 key{d}-99 key1-x") for d in range(2, 60)]
+    cases = spark.createDataFrame(texts, "doc_id int, text string")
+    got = {(r.doc_id, r.rule_id): r.match_count for r in rules.count_matches(cases, listed).collect()}
+    want = collections.Counter()
+    for d, _ in texts:
+        want[d, d] += 2
+        want[d, d * 7 % 5000] += 1
+    assert got == dict(want)
