@@ -26,7 +26,6 @@ ROUNDS = 25
 PENALTY = 3.0
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 _TO_BLANK = re.compile(rb"[\x00-\x60\x7b-\x7f]+")
 
 
@@ -63,7 +62,7 @@ class Model:
 
     def infer(self, text: bytes) -> dict[str, float]:
         """Proportions of the languages selected for a text; empty if there is no letter."""
-        if not self.languages or not _LETTER.search(text.decode("utf-8", "replace")):
+        if not self.languages or not any(map(str.isalpha, text.decode("utf-8", "replace"))):
             return {}
         seen = np.bincount(trigrams(text), minlength=BUCKETS)
         used = np.flatnonzero(seen)
@@ -130,7 +129,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [model.infer(t) for t in texts(batch.column(1))]
-        best = [max(m.items(), key=lambda x: (x[1], [-ord(c) for c in x[0]])) if m else (UNKNOWN, 0.0) for m in found]
+        best = [min(m.items(), key=lambda x: (-x[1], x[0])) if m else (UNKNOWN, 0.0) for m in found]
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(0), pa.array([b[0] for b in best], pa.string()),
@@ -160,7 +159,9 @@ LEAST_SHARE = 0.5
 def with_known_language(docs: DataFrame, least: float = LEAST_SHARE) -> DataFrame:
     """``docs`` without those that are ``und`` or have no language of at least ``least``.
 
-    Learns from every row with a language.  All columns stay, nothing is shuffled.
+    Learns from every row with a language.  All columns stay, nothing is shuffled.  Null,
+    empty and letterless texts go; repeated rows stay or go together; a share of exactly
+    ``least`` stays.
     """
     model = fit(docs, F.lit(True))
     place = docs.columns.index("text")
