@@ -11,6 +11,7 @@ from __future__ import annotations
 import itertools
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -247,12 +248,25 @@ class Scanner:
         return sorted(hits)
 
     def kept(self, hits: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Detections that do not lie inside one taken before them."""
+        """Detections that do not lie inside one taken before them.
+
+        A binary indexed tree holds, by start, the furthest end of what is taken.
+        """
         order = sorted(hits, key=lambda h: (-self.rules[h[2]].priority, h[0] - h[1], h[0], h[2]))
+        rank = {start: i + 1 for i, start in enumerate(sorted({h[0] for h in hits}))}
+        furthest = [0] * (len(rank) + 1)
         taken: list[tuple[int, int, int]] = []
         for hit in order:
-            if not any(t[0] <= hit[0] and hit[1] <= t[1] for t in taken):
+            i, reach = rank[hit[0]], 0
+            while i:
+                reach = max(reach, furthest[i])
+                i &= i - 1
+            if reach < hit[1]:
                 taken.append(hit)
+                i = rank[hit[0]]
+                while i < len(furthest):
+                    furthest[i] = max(furthest[i], hit[1])
+                    i += i & -i
         return sorted(taken)
 
 
@@ -270,7 +284,8 @@ def scan(text: bytes) -> dict:
     out = {"n_words": len(words), "n_base": 0, "first_word": None, "last_word": None, "base": [], "labels": [], "spans": [], "score": 0.0}
     if not hits:
         return out
-    place = lambda at: line.count(" ", 0, at)
+    blanks = [m.start() for m in re.finditer(" ", line)]
+    place = lambda at: bisect_left(blanks, at)
     base = [h for h in hits if h[2] < len(BASE)]
     kept = scan_.kept(hits)
     out["n_base"] = len(base)
