@@ -1,12 +1,11 @@
 """Token counts of whole texts, huge ones by overlapping chunks.
 
-A text up to ``chunk`` characters is cut at ASCII blanks and every distinct word is
-encoded once per worker: the tokenizer drops white space before it merges, so no
-token, special string or normalisation reaches across a blank.  A larger text is
-encoded in overlapping chunks with offsets.  Two neighbours are spliced at a blank
-inside their overlap where both report a token border and agree on every token from
-there to the end of the overlap's tested part; while none is found the overlap is
-widened, at the last to the end of the text.
+A text up to ``chunk`` characters is encoded whole.  Where a tokenizer drops white space
+before it merges, which is tried when it is loaded, such a text is cut at ASCII blanks instead
+and every distinct word is encoded once per worker.  A larger text is encoded in overlapping
+chunks with offsets.  Two neighbours are spliced inside their overlap at a border of
+pre-tokens that both report, if they agree on the tokens around it; while none is found the
+overlap is widened, then the chunk doubled, at the last to the end of the text.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from spanveil.llm.common import map_arrow, texts
+from spanveil.llm.common import BLANKS, map_arrow, texts
 
 CHUNK = 32_768
 OVERLAP = 512
@@ -27,7 +26,8 @@ REMEMBERED = 400_000
 #: Tokens on either side of a splice on which both chunks must agree.
 AGREE = 3
 
-_BLANKS = frozenset(" \t\n\x0b\x0c\r")
+#: Words that a tokenizer must count alike alone and between blanks to be cut there.
+_PROBES = ("the", "Cat", "it's", "42", "naïve", "x,y.", "<|endoftext|>", "日本", "\U0001f600", "a_b-c")
 
 
 @lru_cache(4)
@@ -48,6 +48,16 @@ class Counter:
         self.tokenizer = tokenizer(path)
         self.chunk, self.overlap = chunk, overlap
         self.memory: dict[bytes, int] = {}
+        self.by_words = self._drops_blanks()
+
+    def _drops_blanks(self) -> bool:
+        """Whether no token reaches across or consists of ASCII blanks."""
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        alone = {w: ids(w) for w in _PROBES}
+        return all(
+            ids(f"{b}{one}{b}{two}{b}{b}") == alone[one] + alone[two]
+            for b in (chr(x) for x in BLANKS) for one, two in zip(_PROBES, _PROBES[1:] + _PROBES[:1])
+        )
 
     def learn(self, words: set[bytes]) -> None:
         if len(self.memory) + len(words) > REMEMBERED:
@@ -60,6 +70,11 @@ class Counter:
 
     def counts(self, values: list[bytes]) -> list[int]:
         """Tokens of every text."""
+        if not self.by_words:
+            short = [i for i, v in enumerate(values) if len(v) <= self.chunk]
+            made = self.tokenizer.encode_batch_fast([values[i].decode("utf-8") for i in short], add_special_tokens=False)
+            known = dict(zip(short, map(len, made)))
+            return [known[i] if i in known else self.spliced(v.decode("utf-8"))[0] for i, v in enumerate(values)]
         whole = [None if len(v) > self.chunk else v.split() for v in values]
         self.learn({w for words in whole if words for w in words})
         get = self.memory.__getitem__
@@ -68,49 +83,55 @@ class Counter:
             for v, words in zip(values, whole)
         ]
 
-    def encode(self, text: str, start: int, stop: int) -> tuple[list[int], np.ndarray, np.ndarray]:
-        """Ids and absolute character offsets of a chunk's tokens."""
+    def encode(self, text: str, start: int, stop: int) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of a chunk, absolute character offsets, and which tokens begin a pre-token."""
         made = self.tokenizer.encode(text[start:stop], add_special_tokens=False)
         at = np.array(made.offsets, np.int64).reshape(-1, 2) + start
-        return made.ids, at[:, 0], at[:, 1]
+        words = np.array([-1 if w is None else w for w in made.word_ids], np.int64)
+        return made.ids, at[:, 0], at[:, 1], np.diff(words, prepend=-2) != 0
 
     def spliced(self, text: str) -> tuple[int, list[int]]:
         """Tokens of a text of any size, and the places of its splices."""
-        size, total, splices = len(text), 0, []
+        size, total, splices, width = len(text), 0, [], self.chunk
         start, begin = 0, 0  # of the chunk; of the tokens of it not yet counted
-        stop = min(size, self.chunk)
-        ids, left, right = self.encode(text, start, stop)
+        stop = min(size, width)
+        one = self.encode(text, start, stop)
         while stop < size:
-            overlap = self.overlap
-            while True:
+            borders = one[1][one[3]]
+            borders = borders[borders > one[1][begin]] if begin < len(one[1]) else borders[:0]
+            # the overlap reaches back behind the last border; without one a wider chunk is needed
+            overlap = max(self.overlap, stop - int(borders[-1]) + self.overlap) if len(borders) else 0
+            cut = None
+            while overlap:
                 follow = max(start + 1, stop - overlap)
                 reach = min(size, follow + max(self.chunk, 2 * overlap))
                 other = self.encode(text, follow, reach)
-                cut = self._splice(text, (ids, left, right), other, follow, stop, begin)
+                cut = self._splice(one, other, follow, stop, begin)
                 if cut is not None or follow <= start + 1:
                     break
-                overlap *= 2
+                overlap *= 4
             if cut is None:
-                # no common border as far back as the chunk begins: take it longer
-                stop = min(size, stop + self.chunk)
-                ids, left, right = self.encode(text, start, stop)
+                # no common border as far back as the chunk begins: take it twice as long
+                width *= 2
+                stop = min(size, start + width)
+                one = self.encode(text, start, stop)
                 continue
-            at = max(begin, int(np.searchsorted(left, cut)))
+            at = max(begin, int(np.searchsorted(one[1], cut)))
             total += at - begin
             splices.append(cut)
-            ids, left, right = other
-            begin = int(np.searchsorted(left, cut))
+            one, width = other, self.chunk
+            begin = int(np.searchsorted(other[1], cut))
             start, stop = follow, reach
-        return total + len(ids) - begin, splices
+        return total + len(one[0]) - begin, splices
 
-    def _splice(self, text, one, two, follow: int, stop: int, begin: int) -> int | None:
-        """A blank in the middle of the overlap at which both encodings are in step."""
-        ids1, left1, right1 = one
-        ids2, left2, right2 = two
+    def _splice(self, one, two, follow: int, stop: int, begin: int) -> int | None:
+        """A border in the middle of the overlap at which both encodings are in step."""
+        ids1, left1, right1, word1 = one
+        ids2, left2, right2, word2 = two
         middle = (follow + stop) // 2
-        for cut in sorted(range(follow + 1, stop - 1), key=lambda p: abs(p - middle)):
-            if text[cut] not in _BLANKS:
-                continue
+        inner = lambda left, word: left[word & (left > follow) & (left < stop - 1)]
+        cuts = np.intersect1d(inner(left1, word1), inner(left2, word2))
+        for cut in cuts[np.argsort(np.abs(cuts - middle), kind="stable")].tolist():
             i, j = int(np.searchsorted(left1, cut)), int(np.searchsorted(left2, cut))
             if i <= begin or (i and right1[i - 1] > cut) or (j and right2[j - 1] > cut):
                 continue
@@ -118,13 +139,13 @@ class Counter:
             after = min(AGREE, len(ids1) - i, len(ids2) - j)
             if before < 1 or after < 1:
                 continue
+            # the last tokens may belong to a word that the chunk's end cut, the first ones to
+            # one that its beginning cut: whole pre-tokens must lie between them and the border
             same = (
                 list(ids1[i - before:i + after]) == list(ids2[j - before:j + after])
                 and np.array_equal(left1[i - before + 1:i + after], left2[j - before + 1:j + after])
-                # the last tokens may belong to a word that the chunk's end cut
-                and right1[i + after - 1] < stop
-                # the first ones to a word that the chunk's beginning cut
-                and left2[j - before] > follow
+                and right1[i + after - 1] < stop and word1[i + 1:].any()
+                and left2[j - before] > follow and word2[1:j].any()
             )
             if same:
                 return cut
