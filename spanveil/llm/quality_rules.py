@@ -21,8 +21,6 @@ BUCKET_BITS = 16
 SMOOTHING = 1.0
 #: Least mean log-likelihood ratio of a kept document.
 THRESHOLD = -0.3
-#: Labelled rows that make the trusted multinomial, at most.
-TRUSTED_ROWS = 20_000
 #: Words of a window (an even number) for the repetition rule.
 WINDOW = 8
 LEAST_WORDS = 20
@@ -87,18 +85,16 @@ def grams() -> Column:
     return F.concat(F.transform("hashes", bucket), F.transform("words", ending), F.transform("pairs", bucket))
 
 
-def weights(docs: DataFrame, trusted: DataFrame, sample: int = TRUSTED_ROWS) -> list[float]:
+def weights(docs: DataFrame, trusted: DataFrame) -> list[float]:
     """Log-likelihood ratio of every bucket, trusted documents against all.
 
-    All documents are counted.  Of the ids in ``trusted`` at most ``sample`` are used, the
-    first by hash; ids that repeat count once.  Without trusted text, or any text at all,
-    every weight is zero.
+    All documents and all ids in ``trusted`` are counted; ids that repeat count once.
+    Without trusted text, or any text at all, every weight is zero.
     """
     size = 1 << BUCKET_BITS
     ids = trusted.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    ids = ids.orderBy(F.xxhash64("doc_id", F.lit("trusted")), "doc_id").limit(sample)
-    # at most ``sample`` ids, so they may be broadcast
-    marked = docs.select("doc_id", "text").join(F.broadcast(ids.withColumn("known", F.lit(1))), "doc_id", "left")
+    # a plain join: Spark broadcasts the ids below its threshold and merges above it
+    marked = docs.select("doc_id", "text").join(ids.withColumn("known", F.lit(1)), "doc_id", "left")
     rows = hashed(marked).select("known", F.explode(grams()).alias("bucket"))
     # at most one row a bucket comes to the driver
     found = rows.groupBy("bucket").agg(F.count("*").alias("r"), F.count("known").alias("t")).collect()
