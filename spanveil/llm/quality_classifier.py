@@ -93,11 +93,14 @@ def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(weights[0] / scale), float(weights[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample_rows: int = SAMPLE_ROWS) -> Model:
+def fit(
+    docs: DataFrame, labels: DataFrame, usable: Column, sample_rows: int = SAMPLE_ROWS, sample_pieces: int = SAMPLE_PIECES
+) -> Model:
     """Learn from ``labels`` (doc_id, quality) rows for which ``usable`` holds.
 
     At most ``sample_rows`` rows a class and role are used, the first by a hash of
-    their id, so the choice is the same on every run.
+    their id, so the choice is the same on every run.  A dictionary is trained on at most
+    ``sample_pieces`` pieces of ``PIECE`` bytes of them, the first by a hash of the piece.
     """
     rank = F.xxhash64("doc_id", F.lit("quality"))
     chosen = None
@@ -123,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample_rows: int = S
     order = F.xxhash64("piece")
     held: list[bytes | None] = []
     for quality in (0, 1):
-        rows = pieces.where(F.col("quality") == quality).orderBy(order, "piece").limit(SAMPLE_PIECES).collect()
+        rows = pieces.where(F.col("quality") == quality).orderBy(order, "piece").limit(sample_pieces).collect()
         held.append(_dictionary([bytes(r.piece) for r in rows]))
     model = Model(held[1], held[0], 0.0, 0.0)
     marked = _differences(sample.where("role = 1"), ["quality"], model, "quality int, x double").collect()
@@ -150,7 +153,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     Null and empty texts get the curve's value at no difference; without labelled
     rows of both classes every score is that too (0.5 where there are none at all).
-    Repeated rows are scored each; further columns are not read.
+    Repeated rows and equal texts get equal scores; further columns are not read.
     """
     found = _differences(docs, ["doc_id"], model, "doc_id long, x double")
     level = F.lit(model.slope) * F.col("x") + F.lit(model.intercept)
