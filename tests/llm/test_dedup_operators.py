@@ -460,3 +460,36 @@ def test_pipeline_stages(spark):
     assert len(clean) >= 0.9 * len(near)
     assert ids(mixed) <= ids(clean) and all(1 <= r.copies <= 3 for r in mixed)
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} <= ids(first)
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    clash = {"__id": "1", "__key": "2", "__number": "3", "__removed": "4", "__text": "'t'", "__size": "5", "__rows": "6", "__copies": "7"}
+    docs = odd(spark).selectExpr("*", *[f"{v} AS {k}" for k, v in clash.items()])
+    for stage in (line_dedup.without_duplicate_lines, simhash.one_of_each, source_mixing.mixture):
+        out = stage(docs)
+        assert set(docs.columns) <= set(out.columns)
+        assert {(r["__id"], r["__key"], r["__number"], r["__text"]) for r in out.collect()} == {(1, 2, 3, "t")}
+
+
+def test_variants_of_a_long_line_in_linear_time(spark):
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([(" ".join(f"w{i}" for i in range(n)),)], "line string")
+        some = df.select(F.size(line_dedup._variants(F.col("line"), F.lit(True), F.lit(True))).alias("n"))
+        best = []
+        for _ in range(2):
+            begin = time.perf_counter()
+            assert some.first().n == 2 * n + 1
+            best.append(time.perf_counter() - begin)
+        return min(best)
+
+    assert seconds(32_000) < 6 * seconds(8_000) + 0.5
+
+
+def test_empty_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    empty(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -184,3 +184,132 @@ def test_empty_tables(spark):
     assert license_scan.scan_licenses(docs).collect() == []
     assert token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json")).collect() == []
     assert quality_rules.apply_rules(docs, labels).collect() == []
+
+
+# --- linear work, whole statistics, letters ------------------------------------------------
+
+
+def test_numerals_are_no_letters(spark):
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(["½", "²", "Ⅷ", "①", "12 ½", "é", "日", "ª"])], cases_schema())
+    model = language_id.fit(docs.withColumn("text", F.lit("the cat sat")), F.lit(True))
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(docs, model).collect()}
+    assert [got[i] for i in range(8)] == ["und"] * 5 + ["en"] * 3
+
+
+def cases_schema():
+    from cases import SCHEMA
+
+    return SCHEMA
+
+
+def test_language_mixture_equals_grid_search():
+    """The share EM finds has the likelihood of the best point of a fine grid."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        table = rng.dirichlet(np.ones(6), 2)
+        counts = rng.integers(1, 30, 6).astype(float)
+        model = language_id.Model(("a", "b"), table)
+        share, value = model.mixture(counts, table)
+        grid = np.linspace(0, 1, 2001)
+        best = max(float(counts @ np.log(g * table[0] + (1 - g) * table[1] + 1e-300)) for g in grid)
+        assert value >= best - 0.05 and abs(share.sum() - 1) < 1e-9
+
+
+@pytest.mark.parametrize("name, kind", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_any_tokenizer_counts_as_its_library(spark, name, kind):
+    import public_tokenizers
+
+    path = public_tokenizers.path(name)
+    counter = token_counts.Counter(path, 200, 16)
+    assert counter.by_words == kind
+    texts = [
+        "The cat sat on the mat, and it's 42 degrees.", " two  blanks\n\nand\ttabs ", "", "日本語のテキスト。" * 60, "x" * 900,
+        "<|endoftext|> a", "mixed " * 100 + "漢字" * 200, "def f(x):\n    return x\n" * 40,
+    ] + [t for _, t in rows()[:40]]
+    want = [len(counter.tokenizer.encode(t, add_special_tokens=False)) for t in texts]
+    assert counter.counts([t.encode() for t in texts]) == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, path).collect()} == dict(enumerate(want))
+
+
+def _seconds(work, size):
+    import time
+
+    best = []
+    for _ in range(2):
+        begin = time.perf_counter()
+        work(size)
+        best.append(time.perf_counter() - begin)
+    return min(best)
+
+
+def test_texts_without_blanks_are_counted_in_linear_time():
+    import public_tokenizers
+
+    counter = token_counts.Counter(public_tokenizers.path("word_bpe_49k.json"))
+    for unit in ("漢字仮名交", "aGVsbG8"):
+        work = lambda n: counter.spliced(unit * (n // len(unit)))  # noqa: B023,E731
+        assert _seconds(work, 240_000) < 8 * _seconds(work, 60_000) + 0.3
+        text = unit * 15_000
+        assert counter.spliced(text)[0] == len(counter.tokenizer.encode(text, add_special_tokens=False))
+
+
+def test_repeated_licenses_are_scanned_in_linear_time():
+    work = lambda n: license_scan.scan(b"licensed under the mit license and apache license 2.0 all rights reserved " * n)
+    assert _seconds(work, 8000) < 6 * _seconds(work, 2000) + 0.2
+
+
+def test_suppression_equals_comparing_all_pairs():
+    import random
+
+    scanner, rng = license_scan.scanner(), random.Random(1)
+    for _ in range(200):
+        hits = {(a, a + rng.randint(1, 12), rng.randrange(len(scanner.rules))) for a in rng.choices(range(40), k=rng.randint(0, 30))}
+        order = sorted(hits, key=lambda h: (-scanner.rules[h[2]].priority, h[0] - h[1], h[0], h[2]))
+        taken = []
+        for h in order:
+            if not any(t[0] <= h[0] and h[1] <= t[1] for t in taken):
+                taken.append(h)
+        assert scanner.kept(sorted(hits)) == sorted(taken)
+
+
+def test_gated_license_rules_equal_ungated_ones():
+    scanner = license_scan.scanner()
+    found = 0
+    for _, text in rows():
+        line = " ".join(w.decode() for w in license_scan._WORD.findall(text.lower().encode()))
+        direct = {(m.start(), m.end(), i) for i, r in enumerate(scanner.regexes) for m in r.finditer(line)}
+        assert set(scanner.detections(line)) == direct
+        found += len(direct)
+    assert found > 5
+
+
+def test_all_trusted_rows_count(spark):
+    """Weights follow every trusted id, not a first part of them."""
+    docs = spark.createDataFrame([(i, "alpha beta" if i < 30_000 else "gamma delta") for i in range(60_000)], "doc_id long, text string")
+    trusted = spark.range(30_000).select(F.col("id").alias("doc_id")).union(spark.range(50).select(F.col("id").alias("doc_id")))
+    found = docs.join(trusted.distinct(), "doc_id")
+    table = quality_rules.weights(docs, trusted)
+    direct = quality_rules.weights(docs.withColumn("doc_id", F.col("doc_id") + 100_000), trusted)
+    assert found.count() == 30_000 and max(table) > 0.5 and set(direct) == {0.0}
+    rows_ = quality_rules.hashed(docs.limit(1)).select(F.explode(quality_rules.grams()).alias("b")).collect()
+    import math
+
+    size, n = 1 << quality_rules.BUCKET_BITS, 5  # words, endings, one pair
+    want = math.log((30_000 + 1) / (30_000 * n + size)) - math.log((30_000 + 1) / (60_000 * n + size))
+    assert any(abs(table[r.b] - want) < 1e-6 for r in rows_)
+
+
+def test_quality_score_equals_its_formula(spark):
+    """Scores are the calibrated logistic of the size difference, text by text."""
+    import math
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality_classifier.fit(docs, labels, F.lit(True), 200, 100)
+    scorer = quality_classifier.Scorer(model)
+    for r in quality_classifier.score(docs.limit(40), model).join(docs, "doc_id").collect():
+        x = model.slope * scorer.difference((r.text or "").encode()) + model.intercept
+        assert r.score == pytest.approx(1 / (1 + math.exp(-x)))
