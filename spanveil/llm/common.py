@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import tempfile
 import uuid
@@ -179,6 +180,12 @@ def grams(codes: np.ndarray, n: int) -> np.ndarray:
     return mixed(out)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have."""
+    held = {c.lower() for c in df.columns}
+    return [next(c for i in itertools.count() if (c := f"__{name}{i or ''}") not in held) for name in names]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the cluster's checkpoint folder.
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.llm.common import stored
+from spanveil.llm.common import fresh, stored
 from spanveil.session import pinned
 
 #: Lines of fewer words must be equal; from here one edit leaves 0.8 of the words.
@@ -212,19 +212,20 @@ def without_duplicate_lines(docs: DataFrame) -> DataFrame:
     word, and rows without an id are kept unchanged.  Rows equal in id and text are
     treated alike; within one id the earliest line is kept in all of them.
     """
-    removed = duplicate_lines(docs).toDF("__id", "__key", "__removed")
-    joined = docs.join(removed, (F.col("doc_id") == F.col("__id")) & (_text_key() == F.col("__key")), "left")
+    id_, key, gone, new = fresh(docs, "id", "key", "removed", "text")
+    removed = duplicate_lines(docs.select("doc_id", "text")).toDF(id_, key, gone)
+    joined = docs.join(removed, (F.col("doc_id") == F.col(id_)) & (_text_key() == F.col(key)), "left")
     lines = F.split("text", "\n")
     rest = F.transform(
-        F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__removed")), lambda i: F.get(lines, i)
+        F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda i: F.get(lines, i)
     )
-    cut = F.col("__removed").isNotNull()
+    cut = F.col(gone).isNotNull()
     text = F.when(cut, F.array_join(rest, "\n")).otherwise(F.col("text"))
     # a generator computes the new text once, for the filter and the columns
-    out = joined.withColumn("__text", F.explode(F.array(text))).where(~cut | F.col("__text").rlike(r"[^\x20\x09-\x0D]"))
+    out = joined.withColumn(new, F.explode(F.array(text))).where(~cut | F.col(new).rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(cut, F.char_length("__text").cast("long")).otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.col("__text")).select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(cut, F.char_length(new).cast("long")).otherwise(F.col("n_chars")))
+    return out.withColumn("text", F.col(new)).select(*docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -232,6 +233,8 @@ def report(docs: DataFrame) -> DataFrame:
 
     ``n_lines`` counts lines with a word.  Null and empty texts have none; rows
     without an id lose none; repeated rows report alike; further columns are not read.
+    Of equal lines the one at the smallest (document, line) stays.  A line may be as long as
+    its text: hashing its variants takes time in proportion to its words.
     """
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     rows = docs.select("doc_id", _text_key(), F.size(lines).cast("long").alias("n_lines"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanveil.llm.common import map_arrow, stored, texts
+from spanveil.llm.common import fresh, map_arrow, stored, texts
 from spanveil.llm.components import components
 from spanveil.session import ship_package
 
@@ -179,7 +179,8 @@ def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     they stay as they are.  All columns stay.
     """
     named = docs.where(F.col("doc_id").isNotNull())
-    keep = near_duplicates(named, distance).where("doc_id = component_id").select("doc_id").distinct()
+    keep = near_duplicates(named.select("doc_id", "text"), distance).where("doc_id = component_id").select("doc_id").distinct()
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    kept = named.join(keep, "doc_id", "left_semi").withColumn("__number", number).where("__number = 1")
+    (place,) = fresh(docs, "number")
+    kept = named.join(keep, "doc_id", "left_semi").withColumn(place, number).where(F.col(place) == 1)
     return kept.select(*docs.columns).union(docs.where(F.col("doc_id").isNull()).select(*docs.columns))
