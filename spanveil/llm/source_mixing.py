@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanveil.llm.common import stored
+from spanveil.llm.common import fresh, stored
 
 #: Copies of a document, and so words of a source, are at most so many times the given.
 MOST = 3.0
@@ -176,37 +176,40 @@ def mixture(docs: DataFrame) -> DataFrame:
     """``docs`` that the mix takes, with how often: the columns of ``MIXED`` are added
     (or replaced).  Rows of one id, source and size (those without an id, too) share
     their copies evenly; where these do not divide, some rows have one more."""
-    name = lambda c: f"__{c}"
     base = docs.select([c for c in docs.columns if c not in MIXED])
+    own = ("id", "key", "size", "source_size", "target", "copies", "rows", "place", "taken")
+    named_ = dict(zip(own, fresh(docs, *own)))
+    name = named_.__getitem__
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    shares = stored(mix(docs, keep_source=True).groupBy("doc_id", "source_key", "size").agg(
+    shares = stored(mix(docs.select("doc_id", "source", "text"), keep_source=True).groupBy("doc_id", "source_key", "size").agg(
         F.first("source_size").alias("source_size"), F.first("target").alias("target"),
         F.sum("copies").alias("copies"), F.count("*").alias("rows"),
     ).where("copies > 0"))
 
     def joined(some: DataFrame) -> DataFrame:
-        some = some.toDF("__id", "__key", *[name(c) for c in ("size", "source_size", "target", "copies", "rows")])
+        some = some.toDF(*[name(c) for c in ("id", "key", "size", "source_size", "target", "copies", "rows")])
+        # one row a document: merged at every size, never broadcast while small
         return base.join(
-            some,
-            F.col("doc_id").eqNullSafe(F.col("__id")) & (key == F.col("__key")) & (size_of(F.col("text")) == F.col("__size")),
+            some.hint("merge"),
+            F.col("doc_id").eqNullSafe(F.col(name("id"))) & (key == F.col(name("key"))) & (size_of(F.col("text")) == F.col(name("size"))),
         )
 
     def named(rows: DataFrame, copies: Column) -> DataFrame:
-        rows = rows.withColumn("__copies", copies)
+        rows = rows.withColumn(name("copies"), copies)
         return rows.select(
             *base.columns, *[F.col(name(c)).alias(c) for c in ("size", "source_size", "target", "copies")],
-            (F.col("__copies") * F.col("__size")).alias("taken"),
+            (F.col(name("copies")) * F.col(name("size"))).alias("taken"),
         )
 
     even = F.col("copies") % F.col("rows") == 0
-    out = named(joined(shares.where(even)), (F.col("__copies") / F.col("__rows")).cast("long"))
+    out = named(joined(shares.where(even)), (F.col(name("copies")) / F.col(name("rows"))).cast("long"))
     # only rows whose copies do not divide are numbered; mostly there are none
     uneven = stored(shares.where(~even))
     if uneven.isEmpty():
         return out
-    numbers = Window.partitionBy("__id", "__key", "__size").orderBy(F.xxhash64("text"))
-    upto = lambda i: F.floor(i * F.col("__copies") / F.col("__rows")).cast("long")
+    numbers = Window.partitionBy(*map(name, ("id", "key", "size"))).orderBy(F.xxhash64("text"))
+    upto = lambda i: F.floor(i * F.col(name("copies")) / F.col(name("rows"))).cast("long")
     place = F.row_number().over(numbers)
-    numbered = joined(uneven).withColumn("__place", place)
-    rest = named(numbered, upto(F.col("__place")) - upto(F.col("__place") - 1))
+    numbered = joined(uneven).withColumn(name("place"), place)
+    rest = named(numbered, upto(F.col(name("place"))) - upto(F.col(name("place")) - 1))
     return out.union(rest.where("copies > 0"))
