@@ -1,8 +1,8 @@
 """HTML pages: one walk into an element table, everything after it in columns.
 
 The walk is the only Python in the library's data path.  It turns each page into
-rows with inherited flags and a provenance path; the decisions about those rows
-(visibility, budgets, tables, inventory) are column expressions.  Stored HTML has
+rows with inherited flags and the number of their parent; what follows from those rows
+(paths, visibility, budgets, tables, inventory) is column expressions.  Stored HTML has
 no layout, so visibility and sizes come from static markup only.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanveil.constants import MAX_IMAGE_CANDIDATES, MAX_MEDIA_PER_PAGE
-from spanveil.functions.text import WS_SET
+from spanveil.functions.text import WS_SET, let
 from spanveil.session import spread
 
 # Markup that hides or excludes a subtree.
@@ -47,7 +47,7 @@ IMPLIED_END = {
 SVG_TEXT = {"text", "tspan", "title", "desc"}
 
 ELEMENTS = (
-    "page_id long, seq long, kind string, tag string, path string, text string, "
+    "page_id long, seq long, kind string, tag string, owner long, parent long, text string, "
     "attrs map<string,string>, in_body boolean, excluded boolean, hidden boolean, "
     "ignored boolean, in_svg boolean, small_svg boolean, table_no long, table_row long, "
     "table_col long"
@@ -55,11 +55,10 @@ ELEMENTS = (
 
 
 class _Node:
-    __slots__ = ("tag", "attrs", "parent", "nth", "twins", "seen", "flags", "cell", "rows", "cols")
+    __slots__ = ("tag", "attrs", "parent", "number", "flags", "cell", "rows", "cols")
 
-    def __init__(self, tag, attrs, parent):
-        self.tag, self.attrs, self.parent = tag, attrs, parent
-        self.nth, self.twins, self.seen = 1, 1, {}
+    def __init__(self, tag, attrs, parent, number):
+        self.tag, self.attrs, self.parent, self.number = tag, attrs, parent, number
         self.flags, self.cell, self.rows, self.cols = {}, None, 0, 0
 
 
@@ -68,8 +67,8 @@ class _Walk(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = _Node("#root", {}, None)
-        self.open, self.events, self.tables = [self.root], [], 0
+        self.root = _Node("#root", {}, None, -1)
+        self.open, self.events, self.tables, self.elements = [self.root], [], 0, 0
 
     def _flags(self, node):
         up, a = node.parent.flags, node.attrs
@@ -100,10 +99,8 @@ class _Walk(HTMLParser):
         while len(self.open) > 1 and self.open[-1].tag in IMPLIED_END.get(tag, ()):
             self.open.pop()
         parent = self.open[-1]
-        node = _Node(tag, {k: v or "" for k, v in attrs}, parent)
-        twins = parent.seen.setdefault(tag, [])
-        twins.append(node)
-        node.nth = len(twins)
+        node = _Node(tag, {k: v or "" for k, v in attrs}, parent, self.elements)
+        self.elements += 1
         node.flags, node.cell = self._flags(node), parent.cell
         if tag == "table":
             node.cell, self.tables = (self.tables, -1, -1), self.tables + 1
@@ -131,25 +128,6 @@ class _Walk(HTMLParser):
         self.events.append((node, "input" if node.tag == "textarea" else "text", data))
 
 
-def _path(node: _Node) -> str:
-    """Short selector: stops at an id, at most five levels."""
-    parts = []
-    while node is not None and node.tag not in ("#root", "html") and len(parts) < 5:
-        a, part = node.attrs, node.tag
-        if a.get("id"):
-            parts.append(f"{part}#{a['id']}")
-            break
-        if a.get("name"):
-            part += f'[name="{a["name"]}"]'
-        else:
-            part += "".join(f".{c}" for c in a.get("class", "").split()[:2])
-        if len(node.parent.seen[node.tag]) > 1:
-            part += f":nth-of-type({node.nth})"
-        parts.append(part)
-        node = node.parent
-    return " > ".join(reversed(parts))
-
-
 def _walk_page(page_id: int, html: str) -> Iterator[dict]:
     walk = _Walk()
     walk.feed(html or "")
@@ -160,7 +138,8 @@ def _walk_page(page_id: int, html: str) -> Iterator[dict]:
         if node.tag == "#root":
             continue
         yield {
-            "page_id": page_id, "seq": seq, "kind": kind, "tag": node.tag, "path": _path(node),
+            "page_id": page_id, "seq": seq, "kind": kind, "tag": node.tag,
+            "owner": node.number, "parent": node.parent.number,
             "text": text, "attrs": node.attrs if kind == "element" else None,
             "in_body": f["body"], "excluded": f["excluded"], "hidden": f["hidden"],
             "ignored": f["ignored"], "in_svg": f["svg"], "small_svg": f["small"],
@@ -175,7 +154,11 @@ _COLUMNS = [c.strip().split(" ")[0] for c in re.sub(r"<[^>]*>", "", ELEMENTS).sp
 
 
 def elements(pages: DataFrame) -> DataFrame:
-    """Element, text and input rows of every page, in document order."""
+    """Element, text and input rows of every page, in document order.
+
+    ``owner`` is the number of the element a row is or lies in, ``parent`` that of the
+    element around it (-1: none).
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -190,10 +173,61 @@ def elements(pages: DataFrame) -> DataFrame:
     return spread(pages.select("page_id", "html")).mapInPandas(run, ELEMENTS)
 
 
+#: Levels of a path at most.
+PATH_LEVELS = 5
+
+
+def with_paths(els: DataFrame, wanted: Column, *columns: str) -> DataFrame:
+    """(page_id, columns, path) of the rows of ``els`` for which ``wanted`` holds.
+
+    ``path`` is a short selector of the owning element.  Elements of one tag below one
+    parent are numbered by a window; a page's elements, as its markup, are one row then, in
+    which each path follows the parents: up to an element with an id, ``PATH_LEVELS``
+    levels or the root.  The markup is walked once.
+    """
+    attr = lambda n: F.coalesce(F.try_element_at("attrs", F.lit(n)), F.lit(""))
+    element = F.col("kind") == "element"
+    twins = Window.partitionBy("page_id", "parent", "tag")
+    one = element.cast("int")
+    nth = F.sum(one).over(twins.orderBy("owner", "seq").rowsBetween(Window.unboundedPreceding, 0))
+    classes = F.slice(F.filter(F.split(attr("class"), f"[{WS_SET}]+"), lambda c: c != ""), 1, 2)
+    named = F.when(attr("name") != "", F.concat(F.lit('[name="'), attr("name"), F.lit('"]'))).otherwise(
+        F.array_join(F.transform(classes, lambda c: F.concat(F.lit("."), c)), "")
+    )
+    among = F.when(F.sum(one).over(twins) > 1, F.concat(F.lit(":nth-of-type("), nth, F.lit(")"))).otherwise("")
+    part = F.when(attr("id") != "", F.concat("tag", F.lit("#"), attr("id"))).otherwise(F.concat("tag", named, among))
+    node = F.struct(
+        "owner", "parent", F.when(F.col("tag") != "html", part).alias("part"), (attr("id") != "").alias("last")
+    )
+    rows = els.select("page_id", F.when(element, node).alias("node"), F.when(wanted, F.struct("owner", *columns)).alias("row"))
+    pages = rows.groupBy("page_id").agg(
+        F.sort_array(F.collect_list("node")).alias("nodes"), F.collect_list("row").alias("rows")
+    )
+
+    def climb(x: Column) -> Column:
+        start = F.struct(x["owner"].alias("at"), F.lit("").alias("path"))
+
+        def step(state: Column, _: Column) -> Column:
+            def add(e: Column) -> Column:
+                longer = F.when(state["path"] == "", e["part"]).otherwise(F.concat(e["part"], F.lit(" > "), state["path"]))
+                end = F.lit(-1).cast("long")
+                return F.when(e["part"].isNull(), F.struct(end.alias("at"), state["path"].alias("path"))).otherwise(
+                    F.struct(F.when(e["last"], end).otherwise(e["parent"]).alias("at"), longer.alias("path"))
+                )
+
+            return F.when(state["at"] < 0, state).otherwise(let(F.get("nodes", state["at"].cast("int")), add))
+
+        levels = F.array(*map(F.lit, range(PATH_LEVELS)))
+        return F.struct(*[x[c].alias(c) for c in columns], F.aggregate(levels, start, step)["path"].alias("path"))
+
+    found = pages.select("page_id", F.explode_outer(F.transform("rows", climb)).alias("x")).filter("x IS NOT NULL")
+    return found.select("page_id", "x.*")
+
+
 def text_nodes(els: DataFrame) -> DataFrame:
     """Visible text nodes and input values of the body, ready for trimming."""
     return els.filter(F.col("kind").isin("text", "input") & F.col("in_body") & ~F.col("excluded")).select(
-        F.col("page_id").alias("doc_id"), "seq", "path", F.col("text").alias("raw"),
+        F.col("page_id").alias("doc_id"), "seq", F.col("text").alias("raw"),
         (F.col("kind") == "input").alias("is_input"), "table_no", "table_row", "table_col",
     )
 
@@ -244,11 +278,12 @@ def attribute_at(scan: DataFrame, offset: Column) -> Column:
 
 def svg_text(els: DataFrame) -> DataFrame:
     """Readable text inside inline SVG, one row per (path, text)."""
-    found = els.filter(
+    wanted = (
         (F.col("kind") == "text") & F.col("in_svg") & ~F.col("small_svg")
         & F.col("tag").isin(sorted(SVG_TEXT))
-    ).select("page_id", "path", "tag", collapse(F.col("text")).alias("text"))
-    return found.filter("text <> ''").dropDuplicates(["page_id", "path", "text"])
+    )
+    named = with_paths(els, wanted, "tag", "text").withColumn("text", collapse(F.col("text")))
+    return named.filter("text <> ''").select("page_id", "path", "tag", "text").dropDuplicates(["page_id", "path", "text"])
 
 
 def table_cells(els: DataFrame) -> DataFrame:
@@ -298,7 +333,13 @@ def visibility(els: DataFrame) -> DataFrame:
         .when(~F.col("in_body"), "HIDDEN_METADATA")
         .otherwise("UNVERIFIED_VISIBILITY")
     )
-    return els.filter("kind = 'element'").select("page_id", "seq", "tag", "path", state.alias("visibility"))
+    rows = with_paths(els.withColumn("visibility", state), F.col("kind") == "element", "seq", "tag", "visibility")
+    return rows.select("page_id", "seq", "tag", "path", "visibility")
+
+
+def element_paths(els: DataFrame) -> DataFrame:
+    """Selector of every element."""
+    return with_paths(els, F.col("kind") == "element", "seq", "tag")
 
 
 def _pdf() -> Column:
@@ -349,8 +390,9 @@ def unscannable(els: DataFrame, pages: DataFrame) -> DataFrame:
         .when(tag == "canvas", "tainted-canvas-no-tab-capture")
         .when(tag.isin("video", "audio"), "ocr-budget-exceeded")
     )
-    rows = els.filter("kind = 'element'").join(pages.select("page_id", "url"), "page_id")
-    return rows.withColumn("reason", reason).filter("reason IS NOT NULL").select(
+    kinds = ["iframe", "frame", "embed", "object", "canvas", "video", "audio"]
+    rows = with_paths(els, (F.col("kind") == "element") & tag.isin(kinds), "tag", "attrs")
+    return rows.join(pages.select("page_id", "url"), "page_id").withColumn("reason", reason).filter("reason IS NOT NULL").select(
         "page_id", "tag", "path", F.coalesce(_attr("src"), _attr("data")).alias("resource_url"), "reason"
     )
 
@@ -383,9 +425,10 @@ def media_queue(candidates: DataFrame, keep: int = MAX_MEDIA_PER_PAGE) -> tuple[
 def pdf_queue(els: DataFrame, pages: DataFrame) -> DataFrame:
     """Embedded PDFs, one row per page and resolved URL, in document order."""
     raw = F.coalesce(_attr("src"), _attr("data"), F.lit(""))
-    rows = els.filter(
-        (F.col("kind") == "element") & ~F.col("hidden") & F.col("tag").isin("embed", "object", "iframe")
-    ).filter(_pdf() & (raw != "")).join(pages.select("page_id", "url"), "page_id")
+    wanted = (
+        (F.col("kind") == "element") & ~F.col("hidden") & F.col("tag").isin("embed", "object", "iframe") & _pdf() & (raw != "")
+    )
+    rows = with_paths(els, wanted, "seq", "attrs").join(pages.select("page_id", "url"), "page_id")
     origin = F.regexp_extract("url", "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
     scheme = F.regexp_extract("url", "^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
     folder = F.regexp_extract("url", "^([A-Za-z][A-Za-z0-9+.-]*://[^?#]*/)", 1)

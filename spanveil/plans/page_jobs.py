@@ -82,7 +82,7 @@ def segment_table_role(spark, sf_dir):
 
 @query("element_path")
 def element_path(spark, sf_dir):
-    return walked(spark, sf_dir).filter("kind = 'element'").select("page_id", "seq", "tag", "path")
+    return pg.element_paths(walked(spark, sf_dir))
 
 
 @query("page_visibility")

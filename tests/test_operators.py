@@ -43,7 +43,7 @@ def test_visible_text_in_order(spark):
 
 def test_paths_tables_svg_attributes(spark):
     els = walk(spark).cache()
-    paths = {r.tag: r.path for r in els.filter("kind = 'element'").orderBy(F.col("seq").desc()).collect()}
+    paths = {r.tag: r.path for r in pg.element_paths(els).orderBy(F.col("seq").desc()).collect()}
     assert paths["h1"] == "h1#t" and paths["p"] == "body > p.a.b:nth-of-type(1)"
     cells = {(r.table_row, r.table_col): r.role for r in pg.table_cells(els).collect()}
     assert cells == {(0, 0): "header", (0, 1): "header", (1, 0): "row-header", (1, 1): "cell"}
@@ -477,3 +477,29 @@ def test_five_thousand_rules_in_one_run(spark):
         want[d, d] += 2
         want[d, d * 7 % 5000] += 1
     assert got == dict(want)
+
+
+def test_element_paths_equal_a_walk_up(spark):
+    html = "<html><body>" + "".join(
+        f"<div class='a b{i} c'><ul name='n{i % 2}'>" + "<li>x<li id=k>" * (i % 3 + 1) + f"<p><b class=''>y</b><i>z</i><i>{i}</i></p></ul></div>" for i in range(6)
+    ) + "<section><div><div><div><div><span>deep</span></div></div></div></div></section></body></html>"
+    els = walk(spark, html)
+    rows = {r.owner: r for r in els.filter("kind = 'element'").collect()}
+    seen = collections.Counter((r.parent, r.tag) for r in rows.values())
+    place, at = {}, collections.Counter()
+    for k in sorted(rows):
+        at[rows[k].parent, rows[k].tag] += 1
+        place[k] = at[rows[k].parent, rows[k].tag]
+    want = {}
+    for k in rows:
+        parts, up = [], k
+        while up >= 0 and rows[up].tag != "html" and len(parts) < 5:
+            r, a = rows[up], rows[up].attrs
+            if a.get("id"):
+                parts.append(f"{r.tag}#{a['id']}")
+                break
+            part = r.tag + (f'[name="{a["name"]}"]' if a.get("name") else "".join(f".{c}" for c in a.get("class", "").split()[:2]))
+            parts.append(part + (f":nth-of-type({place[up]})" if seen[r.parent, r.tag] > 1 else ""))
+            up = r.parent
+        want[rows[k].seq] = " > ".join(reversed(parts))
+    assert {r.seq: r.path for r in pg.element_paths(els).collect()} == want and len(want) > 60
