@@ -152,17 +152,18 @@ def _literal(mask: list[int]) -> Column:
     return F.from_json(F.lit("[" + ",".join(map(str, mask)) + "]"), "array<bigint>")
 
 
-def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
+def with_next(rows: DataFrame, columns: list[str], ids: DataFrame | None = None) -> DataFrame:
     """Add ``next`` (struct of ``columns``), the values of the next row by (doc_id, tie);
     after the last comes the first.
 
-    The id order is cut where Spark's range partitioner cuts it; only the first key of every
+    ``ids`` gives the keys of the same rows where those are cheaper to compute.  The id order
+    is cut where Spark's range partitioner cuts it; only the first key of every
     block comes to the driver, ``BLOCKS`` a shuffle partition.
     """
     spark = rows.sparkSession
     blocks = BLOCKS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = F.struct("doc_id", "tie")
-    ids = rows.select("doc_id", "tie").repartitionByRange(blocks, "doc_id", "tie")
+    ids = (rows if ids is None else ids).select("doc_id", "tie").repartitionByRange(blocks, "doc_id", "tie")
     firsts = sorted(
         (r.first for r in ids.groupBy(F.spark_partition_id().alias("p")).agg(F.min(key).alias("first")).collect()),
         key=lambda f: (f.doc_id is not None, f.doc_id, f.tie),
@@ -214,8 +215,8 @@ def fingerprint_documents(docs: DataFrame, band: tuple[float, float] = BAND) ->
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text"))
     mask = lexicon(rows, band)
-    rows = with_fingerprint(rows.withColumn("tie", F.xxhash64("text")), mask)
-    paired = with_next(rows, ["text", "fp"])
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    paired = with_next(with_fingerprint(rows, mask), ["text", "fp"], rows)
     n = F.char_length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - quarter), F.substring(F.col("next.text"), F.lit(1), quarter))
