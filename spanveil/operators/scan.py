@@ -145,6 +145,24 @@ def build_findings(df: DataFrame, keys: list[str], text: str = "text", **options
     return explode_spans(finding_array(df, text, **options), "findings", *keys)
 
 
+def with_media(findings: DataFrame, media: Column, thresholds: dict[str, float]) -> DataFrame:
+    """Findings of pages and, under each, the one that its media item gave.
+
+    ``media`` names the item a finding was read from as well (null: none).  A media finding
+    stays unselected and must reach its category's threshold.  One read of ``findings``.
+    """
+    pairs = [F.lit(x) for item in thresholds.items() for x in item]
+    floor = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("category")), F.lit(0.0)) if pairs else F.lit(0.0)
+    changed = {
+        "finding_id": F.concat(F.lit("media_"), media, F.lit("_"), "finding_id"),
+        "source": F.lit("local-rules"), "selected": F.lit(False),
+    }
+    own = F.struct(*[F.col(c) for c in findings.columns])
+    copy = F.struct(*[changed.get(c, F.col(c)).alias(c) for c in findings.columns])
+    both = F.array(own, F.when(media.isNotNull() & (F.col("confidence") >= floor), copy))
+    return findings.select(F.explode(both).alias("f")).filter("f IS NOT NULL").select("f.*")
+
+
 def merge_findings(base: DataFrame, *more: DataFrame) -> DataFrame:
     """Append later findings of a session; no shuffle."""
     for extra in more:

@@ -193,15 +193,10 @@ def finding_build_report_only(spark, sf_dir):
 @query("finding_merge_media", SCAN + FINDINGS + " UNION ALL "
        + f"""SELECT src, id, 'media_img-' || (id % 8) || '_' || finding_id, category, confidence, preview,
   node_id, start_offset, end_offset, context_preview, 'local-rules', false
-  FROM ({FINDINGS}) WHERE id % 2 = 0 AND confidence >= {_THRESHOLD_SQL}""")
+  FROM ({FINDINGS}) WHERE confidence >= {_THRESHOLD_SQL}""")
 def finding_merge_media(spark, sf_dir):
-    base = mixed_findings(spark, sf_dir)
-    media = scan.threshold_filter(base.filter("id % 2 = 0"), THRESHOLDS).withColumns({
-        "finding_id": F.concat(F.lit("media_img-"), F.col("id") % 8, F.lit("_"), "finding_id"),
-        "source": F.lit("local-rules"),
-        "selected": F.lit(False),
-    })
-    return scan.merge_findings(base, media)
+    media = F.concat(F.lit("img-"), F.col("id") % 8)
+    return scan.with_media(mixed_findings(spark, sf_dir), media, THRESHOLDS)
 
 
 @query("confidence_label", SCAN + f"""

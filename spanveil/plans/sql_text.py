@@ -6,9 +6,26 @@ and checked against the neighbouring characters afterwards.
 
 from __future__ import annotations
 
-from spanveil.functions import checksums as ck
 from spanveil.functions import secrets as sec
-from spanveil.functions.text import B0, B1, DASH, SEP, WB, WS, WS_SET
+from spanveil.functions.text import B0, B1, WB
+
+# Fixed values, written out a second time: a slip on either side shows as a difference.
+WS_SET = r"\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+WS = f"[{WS_SET}]"
+DASH_SET = (
+    r"\x{2D}\x{58A}\x{5BE}\x{1400}\x{1806}\x{2010}-\x{2015}\x{2212}\x{2E17}\x{2E1A}\x{2E3A}\x{2E3B}\x{2E40}"
+    r"\x{301C}\x{3030}\x{30A0}\x{FE31}\x{FE32}\x{FE58}\x{FE63}\x{FF0D}"
+)
+DASH, SEP = f"[{DASH_SET}]", f"[{WS_SET}{DASH_SET}]"
+DEA_REGISTRANTS, PAN_HOLDER_TYPES = "ABCDEFGHJKLMPRSTUX", "PCHABGJLFT"
+PLACEHOLDER_PREFIX = "(?i)^(?:example|sample|test|changeme|your_|xxxx|sk_test_[0-9a-z]{6}|ghp_TEST)"
+ENVIRONMENT_REFERENCE = r"^(?:process\.env\.|os\.environ|ENV\[|env:|\$\{?[A-Z][A-Z0-9_]*\}?$)"
+LOCAL_HOST = r"(?i)\b(?:localhost|127\.0\.0\.1|0\.0\.0\.0|example\.(?:com|test|org)|host\.docker\.internal)\b"
+DEFAULT_LOGIN = "(?i)[:@](?:example|sample|test|changeme|password|root|admin|postgres|redis|mongo)?[:@]?"
+NON_PROVIDER_LABEL = (
+    rf"(?i)\b(?:asset{WS}*tag|serial(?:{WS}+number)?|tracking(?:{WS}+number)?|batch(?:{WS}+(?:id|number))?"
+    rf"|reference(?:{WS}+number)?|order{WS}+number|invoice(?:{WS}+number)?|part{WS}+number|sku|upc|barcode|internal{WS}+id)\b"
+)
 
 
 def q(text: str) -> str:
@@ -86,7 +103,7 @@ def valid(kind: str, v: str = "v") -> str:
         return f"(length({d}) = 10 AND {luhn_sum(d80)} % 10 = 0)"
     if kind == "dea":
         return (
-            f"(CASE WHEN regexp_matches({compact}, '^[{ck.DEA_REGISTRANTS}][A-Z][0-9]{{7}}$') THEN "
+            f"(CASE WHEN regexp_matches({compact}, '^[{DEA_REGISTRANTS}][A-Z][0-9]{{7}}$') THEN "
             f"{wsum(f'substr({compact}, 3)', [1, 2, 1, 2, 1, 2])} % 10 = "
             f"CAST(right({compact}, 1) AS INT) ELSE FALSE END)"
         )
@@ -132,8 +149,13 @@ def valid(kind: str, v: str = "v") -> str:
     if kind == "canadian_sin":
         return f"(regexp_matches({d}, '^[1-79][0-9]{{8}}$') AND {luhn_sum(d)} % 10 = 0)"
     if kind == "aadhaar":
-        table = [x for row in ck.VERHOEFF_D for x in row]
-        perm = [x for row in ck.VERHOEFF_P for x in row]
+        # the dihedral group of a pentagon, and the powers of one permutation
+        turn = lambda i, j: (i + j if j < 5 else i + j - 5) if i < 5 else (i - 5 - j if j < 5 else i - j)
+        table = [turn(i, j) % 5 + (5 if (i < 5) != (j < 5) else 0) for i in range(10) for j in range(10)]
+        perm, row = [], list(range(10))
+        for _ in range(8):
+            perm += row
+            row = [[1, 5, 7, 6, 2, 8, 3, 0, 9, 4][x] for x in row]
         acc = "0"
         for i in range(12):
             p = f"list_extract({perm}, {(i % 8) * 10} + ascii(substr({d}, {12 - i}, 1)) - 47)"
@@ -141,7 +163,7 @@ def valid(kind: str, v: str = "v") -> str:
         return f"(CASE WHEN regexp_matches({d}, '^[2-9][0-9]{{11}}$') THEN {acc} = 0 ELSE FALSE END)"
     if kind == "pan_india":
         return (
-            f"regexp_matches({up}, '^[A-Z]{{3}}[{ck.PAN_HOLDER_TYPES}][A-Z][0-9]{{4}}[A-Z]$')"
+            f"regexp_matches({up}, '^[A-Z]{{3}}[{PAN_HOLDER_TYPES}][A-Z][0-9]{{4}}[A-Z]$')"
         )
     if kind == "nhs":
         c = f"((11 - {wsum(d, [10, 9, 8, 7, 6, 5, 4, 3, 2])} % 11) % 11)"
@@ -221,10 +243,10 @@ def secrets(corpus: str) -> str:
         keep = "TRUE"
         if f.confidence <= 0.80:
             keep = (
-                f"NOT (regexp_matches(value, {q(sec.PLACEHOLDER_PREFIX)}) "
-                f"OR regexp_matches(value, {q(sec.ENVIRONMENT_REFERENCE)}) "
-                f"OR (regexp_matches(value, {q(re2(sec.LOCAL_HOST))}) "
-                f"AND regexp_matches(value, {q(sec.DEFAULT_LOGIN)})))"
+                f"NOT (regexp_matches(value, {q(PLACEHOLDER_PREFIX)}) "
+                f"OR regexp_matches(value, {q(ENVIRONMENT_REFERENCE)}) "
+                f"OR (regexp_matches(value, {q(re2(LOCAL_HOST))}) "
+                f"AND regexp_matches(value, {q(DEFAULT_LOGIN)})))"
             )
         arms.append(
             f"SELECT * FROM (SELECT src, id, s + {shift} AS start_pos, {value} AS value, "
@@ -325,7 +347,7 @@ def detector(category: str, corpus: str) -> str:
     if category == "member_id":
         return labelled(corpus, re2(det.MEMBER_LABEL).split("(?=")[0], 0.78, 0.68)
     if category == "npi":
-        bound = f"regexp_matches({before(48)}, {q(re2(ck.NON_PROVIDER_LABEL))})"
+        bound = f"regexp_matches({before(48)}, {q(re2(NON_PROVIDER_LABEL))})"
         shaped = f"regexp_matches({before(40)}, {q(f'{WS}|[().-]')})"
         return (
             after_label(corpus, re2(det.NPI_LABEL).split("(?=")[0], r"\b[0-9]{10}\b", "npi", 0.93)

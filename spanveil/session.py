@@ -37,15 +37,22 @@ def build_session(app: str = "spanveil", master: str | None = None, **conf: str)
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints, taken from the session.
 
-    Only where the cluster names none (unit tests, a laptop) a local folder is
-    used instead.
+    Where none is named, a local folder is used in local mode only (unit tests, a laptop);
+    a cluster must name one, as its machines share no other.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    require_local(spark)
     return os.path.join(tempfile.mkdtemp(prefix="spark-"), "checkpoints")
 
 
+def require_local(spark: SparkSession) -> None:
+    """Refuse a machine-local folder where tasks run on other machines."""
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+
+
 def ship_package(spark: SparkSession) -> None:
     """Let every executor import this package; done once per application.
 
