@@ -19,6 +19,8 @@ SAMPLE = [
     "resolve_overlaps", "finding_build", "redact_slice", "segment_budget", "map_range", "scan_text",
     "finding_rects", "media_queue", "coverage_status", "rule_validate", "rule_screen", "pack_admit",
     "policy_parse", "policy_effective", "audit_manifest", "stream_session_expiry", "stream_anti_rollback",
+    "redaction_verify", "redaction_stage", "finding_build_report_only", "scan_stats", "sink_redacted", "frame_merge",
+    "rule_test", "rule_gate", "unicode_offset_map", "segment_at_offset", "finding_merge_media",
 ]
 KEYS = sorted(ORACLES) if os.environ.get("SPANVEIL_ALL") else SAMPLE
 
