@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from spanveil.session import ship_package
+from spanveil.session import require_local, ship_package
 
 #: ASCII white space, the separators of most word definitions here.
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -189,13 +189,15 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the cluster's checkpoint folder.
 
-    Where the session names none, as in tests, the checkpoint folder is set once.
+    Where the session names none, as in tests, the checkpoint folder is set once; on a
+    cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         context = spark.sparkContext
         held = context._jsc.sc().getCheckpointDir()
         if not held.isDefined():
+            require_local(spark)
             context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
             held = context._jsc.sc().getCheckpointDir()
         root = held.get()

@@ -266,7 +266,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` less those that hold an item; all columns stay, nothing is shuffled."""
+    """``docs`` less those that hold an item; all columns stay, nothing is shuffled.
+
+    Null and empty texts hold none and stay; repeated rows stay or go together; an edit
+    distance of exactly the bound counts as held; without items every document stays.
+    """
 
     def with_index(docs: DataFrame, index: Index) -> DataFrame:
         place = docs.columns.index("text")

@@ -158,7 +158,8 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     group of copies costs one row however large it is.  Null and empty texts have the
     fingerprint zero and link like any other.  Repeated rows keep their rows; a null
     ``doc_id`` never is a component's id, unless it is alone, then that is null too.
-    Further columns are not read; no rows give no rows.
+    Further columns are not read; no rows give no rows.  A long text is hashed in
+    blocks of shingles, so it costs memory for itself and one block.
     """
     prints = stored(fingerprints(docs))
     reps = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
