@@ -22,22 +22,32 @@ from spanveil.llm.source_mixing import mixture
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a leading language.  Null, empty and letterless texts go; repeated rows
+    stay or go together; every column stays."""
     return with_known_language(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without lines that stand earlier.  Null texts, texts without words and rows without
+    an id stay as they are; of equal lines the one at the smallest (document, line) stays."""
     return without_duplicate_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row of the smallest id of each group.  Empty texts are one group; rows without an id
+    stay; of rows of one id one stays."""
     return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item.  Null and empty texts hold none and stay; repeated
+    rows stay or go together."""
     return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents taken, with ``copies``.  Null sources are a source of their own; empty and null
+    texts are taken once; rows of one id share their copies evenly."""
     return mixture(docs)
 
 
