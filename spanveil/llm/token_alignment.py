@@ -5,6 +5,10 @@ cut it into groups.  Nearly all groups hold one token of each, with the same byt
 them a table made once gives the B id of an A id, so that a vector of the length of A's
 vocabulary counts them.  Only links of other groups travel as (A id, B id) pairs.
 
+Neither tokenizer joins characters across a blank or line break that stands between
+visible characters, so a text falls into units there, and the groups of a unit are found
+once per worker; a text with other white space is encoded whole.
+
 1. ``encoded``: per document the distinct ids and counts of its identity groups and of
    its irregular pairs, written once to the shared folder.
 2. Identity groups are summed in one vector a task; pairs are summed by a group-by.
@@ -18,8 +22,10 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +35,16 @@ from pyspark.sql import functions as F
 from spanveil.llm.common import map_arrow, slices, stored, texts
 from spanveil.session import ship_package
 
+#: Units after which a worker's memory begins anew.
+REMEMBERED = 400_000
+#: Units encoded in one piece, and characters of the longest that is remembered.
+TOGETHER = 5_000
+LONGEST_UNIT = 512
+#: Signs that may be cut off the end of a word, where no piece of B joins a word and the sign.
+_SIGNS = ".,;:!?"
+_LETTER = "[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]"
+#: Cuts are made only beside letters, digits and ASCII signs.
+_SAFE = re.compile(r" ?[\w!-~](?:.*[\w!-~])?\Z", re.S)
 #: Share of all irregular links from which a pair counts as frequent.
 FREQUENT = 1 / 65_536
 _SHIFT = 32
@@ -62,7 +78,8 @@ class ByteLevel:
         ]
 
     def encode(self, values: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.made.encode_batch_fast([" " + v for v in values], add_special_tokens=False)]
+        """Ids of texts that already begin with their blank."""
+        return [e.ids for e in self.made.encode_batch_fast(values, add_special_tokens=False)]
 
 
 class Pieces:
@@ -82,6 +99,18 @@ class Pieces:
             else:
                 self.bytes.append(piece.replace("▁", " ").encode())
                 self.normal[i] = not (self.made.is_control(i) or self.made.is_unknown(i))
+        line = self.made.encode("\n")
+        # no piece joins a visible character and a following blank, or anything and a break
+        crossing = any(
+            "▁" in p.lstrip("▁") or "\n" in p
+            for p in (self.made.id_to_piece(i) for i in np.flatnonzero(self.normal).tolist())
+        )
+        pieces = [self.made.id_to_piece(i) for i in np.flatnonzero(self.normal).tolist()]
+        joined = {m for p in pieces for m in re.findall(rf"{_LETTER}([{_SIGNS}])", p)}
+        signs = "".join(c for c in _SIGNS if c not in joined)
+        word = rf" ?[^ \n]*{_LETTER}(?=[{signs}]+(?![^ \n]))|" if signs else ""
+        self.unit = re.compile(rf"{word} ?[^ \n]+|\n")
+        self.cuts = not crossing and [self.bytes[i] for i in line] == [b" ", b"\n"]
 
     def encode(self, values: list[str]) -> list[list[int]]:
         return self.made.encode(values, num_threads=1)
@@ -100,19 +129,25 @@ class Aligner:
         self.identity = np.array([by_bytes.get(x, -1) if x else -1 for x in self.a.bytes], np.int64)
         self.a_length = np.array([len(x) for x in self.a.bytes], np.int64)
         self.b_length = np.array([len(x) for x in self.b.bytes], np.int64)
-        self.a_text = [str(i) for i in range(self.a.size)]
-        self.b_text = [str(i) for i in range(self.b.size)]
-        self.one = [f"{i}|{k}" for i, k in enumerate(self.identity)]
-
-    def align(self, text: str | None, a: list[int], b: list[int]):
-        """(n_a, n_b, n_groups, n_links, hash of groups, identity ids, irregular pairs)."""
-        none = np.zeros(0, np.int64)
-        nothing = (0, 0, 0, 0, "", none, none)
-        if not text:
-            return nothing
-        whole = b" " + text.encode()
-        if b"".join([self.a.bytes[i] for i in a]) != whole or b"".join([self.b.bytes[i] for i in b]) != whole:
-            return nothing
+        self.same_as = self.identity.tolist()
+        self.one = [f"{i}|{k}" for i, k in enumerate(self.same_as)]
+        self.plain = all(self.a.bytes) and all(self.b.bytes)
+        self.forget()
+
+    def forget(self) -> None:
+        """Begin the memory of units anew: their places in columns of counts and lists."""
+        self.place: dict[str, int] = {}
+        self.shown: list[str] = []
+        # n_a, n_b, groups, links, characters, whether it may be used, is a break, begins blank
+        self.facts = np.zeros((8, 0), np.int64)
+        self.same, self.pairs = _Lists(), _Lists()
+
+    def groups(self, whole: str, a: list[int], b: list[int]):
+        """Place of the last A and B token of every group, which groups are regular, and
+        their texts and pairs; None where the tokens do not restore the text."""
+        data = whole.encode()
+        if b"".join(map(self.a.bytes.__getitem__, a)) != data or b"".join(map(self.b.bytes.__getitem__, b)) != data:
+            return None
         a_ids, b_ids = np.array(a, np.int64), np.array(b, np.int64)
         a_ends, b_ends = np.cumsum(self.a_length[a_ids]), np.cumsum(self.b_length[b_ids])
         cuts = np.intersect1d(a_ends, b_ends)
@@ -122,30 +157,151 @@ class Aligner:
         a_many, b_many = np.diff(a_last, prepend=-1), np.diff(b_last, prepend=-1)
         regular = (a_many == 1) & (b_many == 1)
         regular &= self.identity[a_ids[a_last]] == b_ids[b_last]
-        a_from = np.searchsorted(a_ends, cuts, "left")
-        b_from = np.searchsorted(b_ends, cuts, "left")
+        a_from, b_from = np.searchsorted(a_ends, cuts, "left"), np.searchsorted(b_ends, cuts, "left")
         links = (a_last - a_from + 1) * (b_last - b_from + 1)
-        if int(links.sum()) == len(cuts):
-            odd = ~regular
-            pairs = (a_ids[a_last[odd]] << _SHIFT) | b_ids[b_last[odd]]
-        else:
-            pairs = np.array(
-                [
-                    (a[i] << _SHIFT) | b[k]
-                    for g in np.flatnonzero(~regular)
-                    for i in range(a_from[g], a_last[g] + 1) for k in range(b_from[g], b_last[g] + 1)
-                ],
-                np.int64,
-            )
-        parts = [self.one[i] for i in a_ids[a_last].tolist()]
+        last = a_ids[a_last]
+        parts = list(map(self.one.__getitem__, last.tolist()))
+        pairs = []
         for g in np.flatnonzero(~regular).tolist():
             i, k = int(a_last[g]), int(b_last[g])
             parts[g] = (
-                ",".join([self.a_text[x] for x in a[i - int(a_many[g]) + 1:i + 1]]) + "|"
-                + ",".join([self.b_text[x] for x in b[k - int(b_many[g]) + 1:k + 1]])
+                ",".join(map(str, a[i - int(a_many[g]) + 1:i + 1])) + "|" + ",".join(map(str, b[k - int(b_many[g]) + 1:k + 1]))
             )
-        digest = hashlib.sha256(";".join(parts).encode()).hexdigest()
-        return len(a), len(b), len(cuts), int(links.sum()), digest, a_ids[a_last[regular]], pairs
+            pairs.append([(x << _SHIFT) | y for x in a[a_from[g]:i + 1] for y in b[b_from[g]:k + 1]])
+        return cuts, a_last, b_last, regular, links, parts, last[regular].tolist(), pairs
+
+    def align(self, whole: str, a: list[int], b: list[int]) -> tuple | None:
+        """Record of a text with its blank: groups, n_a, n_b, n_groups, n_links, identity
+        ids, irregular pairs; None where the tokens do not restore it."""
+        found = self.groups(whole, a, b)
+        if found is None:
+            return None
+        _, _, _, _, links, parts, same, pairs = found
+        return ";".join(parts), len(a), len(b), len(parts), int(links.sum()), same, list(chain.from_iterable(pairs))
+
+    def _text(self, text: str) -> tuple | None:
+        return self.align(" " + text, *self.a.encode([" " + text]), *self.b.encode([text])) if text else None
+
+    def _together(self, units: list[str], lead: str) -> list[tuple | None]:
+        """Records of units that are encoded as one text, each behind ``lead``."""
+        whole = "".join([lead + u for u in units])
+        a = self.a.encode([whole])[0]
+        b = self.b.encode([whole if lead else whole[1:]])[0]
+        if lead:
+            b = b[1:]  # the blank that B adds
+        found = self.groups(whole, a, b)
+        ends = np.cumsum([len((lead + u).encode()) for u in units])
+        if found is None or not np.isin(ends, found[0], assume_unique=True).all():
+            return [None] * len(units)
+        # without empty tokens every group has one link
+        cuts, a_last, b_last, regular, _, parts, same, pairs = found
+        odd = list(chain.from_iterable(pairs))
+        behind = np.searchsorted(cuts, ends) + 1
+        n_a, n_b = np.diff(a_last[behind - 1], prepend=-1).tolist(), np.diff(b_last[behind - 1], prepend=-1).tolist()
+        skip = len(lead)  # it is a group of its own at the front
+        ends_, same_to = behind.tolist(), np.cumsum(np.append(0, regular))
+        begins = [0, *ends_[:-1]]
+        begins = [x + skip for x in begins] if skip else begins
+        s_from, s_to = same_to[begins].tolist(), same_to[ends_].tolist()
+        return [
+            (";".join(parts[x:y]), na - skip, nb - skip, y - x, y - x, same[s:e], odd[x - s:y - e])
+            for x, y, na, nb, s, e in zip(begins, ends_, n_a, n_b, s_from, s_to)
+        ]
+
+    def learn(self, units: list[str]) -> None:
+        """Remember units; those whose texts must be encoded whole as not usable."""
+        known: dict[str, tuple | None] = dict.fromkeys(units)
+        new = [u for u in units if len(u) <= LONGEST_UNIT and _SAFE.match(u)]
+        if "\n" in known:
+            known["\n"] = self.align("\n", self.a.encode(["\n"])[0], self.b.encode(["\n"])[0][1:])
+        for lead in ("", "\n"):
+            # units with a blank, and those behind a line break
+            some = [u for u in new if (u[0] == " ") == (lead == "")]
+            for i in range(0, len(some), TOGETHER):
+                piece = some[i:i + TOGETHER]
+                known.update(zip(piece, self._together(piece, lead)))
+        first = len(self.place)
+        self.place.update((u, first + i) for i, u in enumerate(known))
+        none = ("", 0, 0, 0, 0, (), ())
+        records = [r or none for r in known.values()]
+        self.shown += [r[0] for r in records]
+        facts = [
+            *[np.array([r[k] for r in records], np.int64) for k in range(1, 5)],
+            np.array([len(u) for u in known], np.int64), np.array([r is not None for r in known.values()], np.int64),
+            np.array([u == "\n" for u in known], np.int64), np.array([u[0] in " \n" for u in known], np.int64),
+        ]
+        self.facts = np.concatenate([self.facts, np.stack(facts)], axis=1)
+        self.same.add([r[5] for r in records])
+        self.pairs.add([r[6] for r in records])
+
+    def batch(self, values: list[str]) -> tuple:
+        """Columns of ``ENCODED`` but ``doc_id`` for some texts."""
+        n = len(values)
+        by_units = self.plain and self.b.cuts
+        units = [self.b.unit.findall(" " + v) if v and by_units else [] for v in values]
+        flat = list(chain.from_iterable(units))
+        new = set(flat).difference(self.place)
+        if len(self.place) + len(new) > REMEMBERED:
+            self.forget()
+            new = set(flat)
+        if new:
+            self.learn(list(new))
+        at = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
+        many = np.array(list(map(len, units)), np.int64)
+        doc = np.repeat(np.arange(n), many)
+        sums = np.stack([np.bincount(doc, self.facts[k][at], n) for k in range(5)]).astype(np.int64)
+        # a text is cut only if its units make it up and white space stands alone
+        usable, line, blank = (self.facts[k][at] for k in (5, 6, 7))
+        bad = usable == 0
+        bad[:-1] |= (line[:-1] & blank[1:] & (doc[:-1] == doc[1:])).astype(bool)
+        whole = (many == 0) | (np.bincount(doc, bad, n) > 0) | (sums[4] != np.array([len(v) + 1 for v in values], np.int64))
+        sums = sums[:4]
+        sums[:, whole] = 0
+        ends, places = np.cumsum(many).tolist(), at.tolist()
+        shown = self.shown.__getitem__
+        texts_ = [
+            "" if w else ";".join(map(shown, places[e - m:e])) for w, m, e in zip(whole.tolist(), many.tolist(), ends)
+        ]
+        keep = ~whole[doc]
+        same, pairs = ([held.gathered(at[keep], doc[keep])] for held in (self.same, self.pairs))
+        for i in np.flatnonzero(whole).tolist():
+            r = self._text(values[i])
+            if r is not None:
+                texts_[i], sums[:, i] = r[0], r[1:5]
+                same.append((np.full(len(r[5]), i), np.array(r[5], np.int64)))
+                pairs.append((np.full(len(r[6]), i), np.array(r[6], np.int64)))
+        digests = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts_]
+        return sums, digests, _counted(same, n), _counted(pairs, n)
+
+
+class _Lists:
+    """Lists of numbers end to end."""
+
+    def __init__(self) -> None:
+        self.size, self.values = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.begin = self.size
+
+    def add(self, lists: list) -> None:
+        size = np.array(list(map(len, lists)), np.int64)
+        values = np.fromiter(chain.from_iterable(lists), np.int64, int(size.sum()))
+        self.size, self.values = np.append(self.size, size), np.append(self.values, values)
+        self.begin = np.cumsum(self.size) - self.size
+
+    def gathered(self, at: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(document, value) for the values of the lists at some places."""
+        n = self.size[at]
+        where = np.arange(int(n.sum())) + np.repeat(self.begin[at] - (np.cumsum(n) - n), n)
+        return np.repeat(doc, n), self.values[where]
+
+
+def _counted(parts: list[tuple[np.ndarray, np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ends of the documents' lists, distinct values and their counts."""
+    doc, value = (np.concatenate(x) for x in zip(*parts))
+    kinds, place = np.unique(value, return_inverse=True)
+    key, times = np.unique(doc * max(len(kinds), 1) + place, return_counts=True)
+    of = key // max(len(kinds), 1)
+    ends = np.append(0, np.cumsum(np.bincount(of, minlength=n)))
+    return ends, kinds[key % max(len(kinds), 1)], times
 
 
 @lru_cache(2)
@@ -162,23 +318,14 @@ ENCODED = (
 def encoded(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """One row per document with ``ENCODED`` columns; a pair is A id * 2**32 + B id."""
 
-    def lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
-        ends = np.cumsum([0, *map(len, values)])
-        flat = np.concatenate(values) if values else np.zeros(0, np.int64)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat).cast(kind))
-
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = aligner(a_path, b_path)
-        values = [t.decode("utf-8") for t in texts(batch.column(1))]
-        rows = [made.align(t, a, b) for t, a, b in zip(values, made.a.encode(values), made.b.encode(values))]
-        same = [np.unique(r[5], return_counts=True) for r in rows]
-        pairs = [np.unique(r[6], return_counts=True) for r in rows]
+        sums, digests, same, pairs = aligner(a_path, b_path).batch([t.decode("utf-8") for t in texts(batch.column(1))])
+        listed = lambda ends, flat, kind: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat).cast(kind))
         return pa.RecordBatch.from_arrays(
             [
-                batch.column(0), *[pa.array([r[k] for r in rows], pa.int64()) for k in range(4)],
-                pa.array([r[4] for r in rows], pa.string()),
-                lists([s[0] for s in same], pa.int32()), lists([s[1] for s in same], pa.int32()),
-                lists([p[0] for p in pairs], pa.int64()), lists([p[1] for p in pairs], pa.int32()),
+                batch.column(0), *[pa.array(row) for row in sums], pa.array(digests, pa.string()),
+                listed(same[0], same[1], pa.int32()), listed(same[0], same[2], pa.int32()),
+                listed(pairs[0], pairs[1], pa.int64()), listed(pairs[0], pairs[2], pa.int32()),
             ],
             [c.split()[0] for c in ENCODED.split(", ")],
         )
@@ -217,8 +364,8 @@ def align_tokens(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     model; every executor has both.  Texts that are null, empty or not restored by either
     tokenizer have zeros and ''.  ``n_best`` counts links whose pair is, in all documents,
     the most frequent one of its B id (all of them at a tie).  Repeated rows count each; a null
-    ``doc_id`` stays null; further columns are not read.  A text is encoded whole: a task
-    holds about 60 bytes a token of one text at a time.
+    ``doc_id`` stays null; further columns are not read.  A task holds the tokens of a few
+    megabytes of text, or of one longer text.
     """
     rows = stored(encoded(docs, a_path, b_path).withColumn("row", F.monotonically_increasing_id()))
     same, pairs = link_counts(rows, a_path, b_path)
