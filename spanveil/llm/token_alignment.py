@@ -6,8 +6,9 @@ them a table made once gives the B id of an A id, so that a vector of the length
 vocabulary counts them.  Only links of other groups travel as (A id, B id) pairs.
 
 Neither tokenizer joins characters across a blank or line break that stands between
-visible characters, so a text falls into units there, and the groups of a unit are found
-once per worker; a text with other white space is encoded whole.
+visible characters, or between a word and the sign that ends it where no piece of B has both.
+So a text falls into units there, and the groups of a unit are found once per worker; a text
+with other white space is encoded whole.
 
 1. ``encoded``: per document the distinct ids and counts of its identity groups and of
    its irregular pairs, written once to the shared folder.
@@ -192,7 +193,9 @@ class Aligner:
         found = self.groups(whole, a, b)
         ends = np.cumsum([len((lead + u).encode()) for u in units])
         if found is None or not np.isin(ends, found[0], assume_unique=True).all():
-            return [None] * len(units)
+            # one unit that is not restored must not spoil the others
+            half = len(units) // 2
+            return self._together(units[:half], lead) + self._together(units[half:], lead) if half else [None]
         # without empty tokens every group has one link
         cuts, a_last, b_last, regular, _, parts, same, pairs = found
         odd = list(chain.from_iterable(pairs))

@@ -341,6 +341,24 @@ def test_alignment_of_odd_rows(spark):
     assert {tuple(r)[1:] for r in token_alignment.align_tokens(nothing, *paths).collect()} == {(0, 0, 0, 0, 0, 0, "")}
 
 
+def test_units_equal_whole_texts():
+    """Groups put together from units are those of the whole text; a unit that is not
+    restored leaves the others usable."""
+    import public_tokenizers
+
+    made = token_alignment.Aligner(*map(public_tokenizers.path, ALIGNED))
+    texts = [t or "" for _, t in rows()[:60]] + ODD_TEXTS + ["one a▁b two", "x, y; z! e.g. 3.14 (q). end.", "a.b² c². d", "l1.\nl2,\nl3?!"]
+    sums, digests, same, pairs = made.batch(texts)
+    for i, text in enumerate(texts):
+        want = made._text(text) or ("", 0, 0, 0, 0, [], [])
+        assert tuple(sums[:, i]) == tuple(want[1:5]), text
+        assert digests[i] == (hashlib.sha256(want[0].encode()).hexdigest() if want[0] else "")
+        for (ends, ids, times), values in ((same, want[5]), (pairs, want[6])):
+            part = slice(ends[i], ends[i + 1])
+            assert dict(zip(ids[part].tolist(), times[part].tolist())) == collections.Counter(values)
+    assert made.facts[5][made.place[" two"]] and not made.facts[5][made.place[" a▁b"]]
+
+
 def test_identity_table_matches_bytes():
     import public_tokenizers
 
