@@ -93,8 +93,8 @@ def weights(docs: DataFrame, trusted: DataFrame) -> list[float]:
     """
     size = 1 << BUCKET_BITS
     ids = trusted.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    # a plain join: Spark broadcasts the ids below its threshold and merges above it
-    marked = docs.select("doc_id", "text").join(ids.withColumn("known", F.lit(1)), "doc_id", "left")
+    # the ids grow with the corpus: merged at every size, never broadcast while few
+    marked = docs.select("doc_id", "text").join(ids.withColumn("known", F.lit(1)).hint("merge"), "doc_id", "left")
     rows = hashed(marked).select("known", F.explode(grams()).alias("bucket"))
     # at most one row a bucket comes to the driver
     found = rows.groupBy("bucket").agg(F.count("*").alias("r"), F.count("known").alias("t")).collect()
