@@ -11,7 +11,6 @@ from spanveil.operators.validation import validate_identifier_column
 from spanveil.plans import sql_text as sql
 from spanveil.plans.carriers import VALUES, corpus, corpus_sql, values
 from spanveil.plans.registry import query
-from spanveil.session import spread
 
 # query suffix -> (category, carrier)
 DETECTOR_KEYS = {
@@ -34,7 +33,7 @@ def span_rows(df, spans_col="spans"):
 def _register_detector(name: str, category: str) -> None:
     @query(f"detect_{name}", sql.detector(category, corpus_sql(name)))
     def run(spark, sf_dir):
-        texts = spread(corpus(spark, sf_dir, name))
+        texts = corpus(spark, sf_dir, name)
         return span_rows(texts.withColumn("spans", det.DETECTORS[category](F.col("text"))))
 
 
@@ -51,7 +50,7 @@ FROM ({sql.hits(corpus_sql("phone"), _WORD_NUMBER)})""")
 def op_regex_spans(spark, sf_dir):
     from spanveil.functions.text import regex_spans
 
-    texts = spread(corpus(spark, sf_dir, "phone"))
+    texts = corpus(spark, sf_dir, "phone")
     return span_rows(texts.withColumn("spans", regex_spans(F.col("text"), _WORD_NUMBER)))
 
 
@@ -69,7 +68,7 @@ def op_cue_window(spark, sf_dir):
             m.before(40).rlike(det.SSN_CUE).alias("has_cue"))),
         window=40, item=item,
     )
-    texts = spread(corpus(spark, sf_dir, "ssn")).withColumn("spans", found)
+    texts = corpus(spark, sf_dir, "ssn").withColumn("spans", found)
     return explode_spans(texts, "spans", "src", "id")
 
 
@@ -96,7 +95,7 @@ def op_label_capture(spark, sf_dir):
         F.col("text"), _RECORD, emit, rest=40,
         item="struct<label_end:bigint,captured:string,start_pos:bigint>",
     )
-    texts = spread(corpus(spark, sf_dir, "mrn")).withColumn("spans", found)
+    texts = corpus(spark, sf_dir, "mrn").withColumn("spans", found)
     return explode_spans(texts, "spans", "src", "id")
 
 
