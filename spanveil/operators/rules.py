@@ -433,11 +433,14 @@ def collect_rule_list(rules: DataFrame, limit: int | None = None) -> list[Row]:
     return rows
 
 
-def count_matches(cases: DataFrame, rules: list[Row], text: str = "text", most: int | None = None) -> DataFrame:
-    """Match count of every rule on every case that it matches (``most`` at most).
-
-    Unsafe rules match nothing.  A rule is run on the texts that hold its required literal;
-    only hits leave the row.
+def count_matches(
+    cases: DataFrame, rules: list[Row], text: str = "text", most: int | None = None, hits_only: bool = True
+) -> DataFrame:
+    """Match count of every rule on every case (``most`` at most).
+
+    Unsafe rules match nothing.  A rule is run on the texts that hold its required literal.
+    With ``hits_only`` only counts above zero leave the row; else every pair has a row, with a
+    null count where the text is null.
     """
     keep = [c for c in cases.columns if c != text]
     if not rules:
@@ -449,6 +452,21 @@ def count_matches(cases: DataFrame, rules: list[Row], text: str = "text", most:
             rule["rule_id"].alias("rule_id"), (n if most is None else F.least(n, F.lit(most))).cast("bigint").alias("match_count")
         )
 
+    if not hits_only:
+        def every(low: Column) -> Column:
+            none = F.when(low.isNotNull(), F.lit(0).cast("bigint"))
+
+            def pair(rule: Column) -> Column:
+                run = rule["safe"] & may_match(low, rule)
+                return F.struct(
+                    rule["rule_id"].alias("rule_id"),
+                    F.when(run, counted(rule)["match_count"]).otherwise(none).alias("match_count"),
+                )
+
+            return F.transform(rule_table(rules, "rule_id"), pair)
+
+        pairs = spread(cases).select(*keep, F.explode(let(F.lower(F.col(text)), every)).alias("r"))
+        return pairs.select(*keep, "r.*")
     hits = let(F.lower(F.col(text)), lambda low: F.transform(
         F.filter(rule_table(rules, "rule_id"), lambda r: r["safe"] & may_match(low, r)), counted
     ))

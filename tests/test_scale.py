@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from spanveil.plans import carriers
-from spanveil.plans.registry import table
+from spanveil.plans import catalog  # noqa: F401
+from spanveil.plans.registry import QUERIES, table
 from spanveil.session import SCAN_PARTITIONS, spread
 
 SF = "/root/testdata/sf0.001"
@@ -32,3 +33,9 @@ def test_one_row_group_keeps_all_cores_busy(spark):
     assert dealt.exceptAll(docs).count() == 0 and dealt.count() == docs.count()
     made = carriers.corpus(spark, SF, "mixed").filter("src = 'gen'")
     assert made.select(F.spark_partition_id().alias("p")).distinct().count() >= spark.sparkContext.defaultParallelism
+
+
+def test_rule_test_counts_every_pair(spark):
+    rows = QUERIES["rule_test"](spark, SF)
+    assert rows.count() == table(spark, SF, "documents").count() * table(spark, SF, "nation").count()
+    assert rows.filter("match_count = 0").count() > 0
