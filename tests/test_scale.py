@@ -1,7 +1,11 @@
-"""Keys of larger tables, and tables of one row group."""
+"""Keys of larger tables, tables of one row group, spans in one pass."""
+
+import re
 
 from pyspark.sql import functions as F
 
+from spanveil.functions import text as tx
+from spanveil.operators.custom_rules import java_pattern
 from spanveil.plans import carriers
 from spanveil.plans import catalog  # noqa: F401
 from spanveil.plans.registry import QUERIES, table
@@ -39,3 +43,21 @@ def test_rule_test_counts_every_pair(spark):
     rows = QUERIES["rule_test"](spark, SF)
     assert rows.count() == table(spark, SF, "documents").count() * table(spark, SF, "nation").count()
     assert rows.filter("match_count = 0").count() > 0
+
+
+def test_marks_in_texts_and_word_starts(spark):
+    texts = ["\ufffea1\ufffe b22\ufffe", "a1", "", "\ufffe", "x a1 a1a2", None, "é a1😀 b22\n"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = rows.select("id", tx.regex_spans(F.col("text"), "[a-z][0-9]+").alias("s")).orderBy("id").collect()
+    want = [[(m.start(), m.end(), m.group()) for m in re.finditer("[a-z][0-9]+", t or "")] for t in texts]
+    assert [[(s.start, s.end, s.value) for s in r.s] for r in got] == want
+    words = "Tab tabs a-tab _tab 9tab Étab tab"
+    made = java_pattern(r"\btab", "gi")
+    assert made.startswith("(?i)(?=t)")
+    found = spark.createDataFrame([(words,)], "t string").select(tx.regex_spans(F.col("t"), made).alias("s")).first().s
+    assert [s.start for s in found] == [m.start() for m in re.finditer(r"(?i)(?<![A-Za-z0-9_])tab", words)]
+
+
+def test_steps_hold_little():
+    # every step of an aggregate copies what it holds
+    assert tx._BLOCK / 2 + tx._CHUNK / (2 * tx._BLOCK) <= 64
