@@ -61,3 +61,39 @@ def test_marks_in_texts_and_word_starts(spark):
 def test_steps_hold_little():
     # every step of an aggregate copies what it holds
     assert tx._BLOCK / 2 + tx._CHUNK / (2 * tx._BLOCK) <= 64
+
+
+def test_values_are_cleaned_once(spark):
+    # a lambda's body is not searched for common expressions: what is written twice runs twice
+    from spanveil.functions import checksums, masking
+
+    row = spark.createDataFrame([("x",)], "v string")
+    cleaned = lambda made: row.select(made(F.col("v")))._jdf.queryExecution().analyzed().toString().count("regexp_replace(")
+    for name in ("ssn", "itin", "cpf", "nhs", "australian_tfn", "canadian_sin", "aadhaar", "luhn", "npi"):
+        plan = row.select(checksums.VALIDATORS[name](F.col("v")))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("[^0-9]") <= 2, name  # the expression and its name
+    assert cleaned(masking.mask_context) <= 2
+
+
+def test_masked_context_in_one_pass(spark):
+    from spanveil.functions.masking import mask_context
+
+    texts = ["", " ", "\n\t ", "a", " a", "a ", "é😀 b\n\nc  ", "x y", " q　r ", "*", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = [r.m for r in rows.select("id", mask_context(F.col("t")).alias("m")).orderBy("id").collect()]
+    assert got == [None if t is None else " ".join("*" for _ in t.split()) for t in texts]
+    long = spark.createDataFrame([("éa" * 200_000 + " x\n" * 100_000,)], "t string")
+    assert long.select(F.length(mask_context(F.col("t"))).alias("n")).first().n == 200_001
+
+
+def test_few_and_many_matches_alike(spark):
+    word = "aé😀 7 "
+    texts = [word * n for n in (1, tx._FEW - 1, tx._FEW, tx._FEW + 1, 40, 5000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    emit = lambda m: (m.derived != "9", F.struct(m.start.alias("s"), m.end.alias("e"), m.left.alias("l"), m.rest.alias("r")))
+    made = tx.match_spans(
+        F.col("t"), "[0-9]", emit, window=7, rest=3, item="struct<s:int,e:int,l:string,r:string>", derive=lambda m: m.value
+    )
+    for r in rows.select("t", made.alias("m")).collect():
+        want = [(i, i + 1, r.t[max(0, i - 7):i], r.t[i + 1:i + 4]) for i, c in enumerate(r.t) if c == "7"]
+        assert [tuple(x) for x in r.m] == want
