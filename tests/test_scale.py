@@ -97,3 +97,19 @@ def test_few_and_many_matches_alike(spark):
     for r in rows.select("t", made.alias("m")).collect():
         want = [(i, i + 1, r.t[max(0, i - 7):i], r.t[i + 1:i + 4]) for i, c in enumerate(r.t) if c == "7"]
         assert [tuple(x) for x in r.m] == want
+
+
+def test_walk_hands_over_rows_of_many_pages(spark):
+    from spanveil.operators import pages as pg
+
+    html = ["<body>" + "<p class='c' style='Opacity: 0'>x</p>" * pg._ROWS, None, "", "<svg width='9px'><text>t</text></svg><input value=v>"]
+    rows = spark.createDataFrame(list(enumerate(html)), "page_id long, html string")
+    els = pg.elements(rows)
+    assert "MapInArrow" in els._jdf.queryExecution().executedPlan().toString()
+    got = sorted(els.collect(), key=lambda r: (r.page_id, r.seq))
+    assert len(got) == 1 + 2 * pg._ROWS + 5 and all(r.excluded and r.hidden for r in got[1:-5])
+    assert [r.attrs for r in got[:3]] == [{}, {"class": "c", "style": "Opacity: 0"}, None]
+    assert [(r.kind, r.text, r.small_svg, r.parent, r.table_no) for r in got[-5:]] == [
+        ("element", None, True, -1, None), ("element", None, True, 0, None), ("text", "t", True, 0, None),
+        ("element", None, False, -1, None), ("input", "v", False, -1, None),
+    ]
