@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanveil.functions.text import WS_SET, fold_out, let, match_spans, rank_in
+from spanveil.functions.text import fold_out, let, match_spans, rank_in
 from spanveil.operators.prefix import with_running
 
-# White space plus NBSP and zero-width space, as stripped from page text.
-_TRIM = rf"[{WS_SET}\x{{200B}}]"
+# White space plus NBSP and zero-width space, as stripped from page text.  Given as a set of
+# characters: a pattern would be tried at every place of the text.
+_TRIM = " \t\n\x0b\f\r\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200C))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def trim_segments(raw: DataFrame, cap: int | None = None) -> DataFrame:
@@ -18,8 +19,8 @@ def trim_segments(raw: DataFrame, cap: int | None = None) -> DataFrame:
     ``start_offset`` is the length of the stripped lead for text nodes and 0 for
     input values, whose text is not anchored in a node.
     """
-    trimmed = F.regexp_replace("raw", f"^{_TRIM}+|{_TRIM}+$", "")
-    lead = F.length("raw") - F.length(F.regexp_replace("raw", f"^{_TRIM}+", ""))
+    trimmed = F.btrim("raw", F.lit(_TRIM))
+    lead = F.length("raw") - F.length(F.ltrim("raw", F.lit(_TRIM)))
     return (
         raw.withColumn("_t", trimmed)
         .filter(F.length("_t") > 0)

@@ -113,3 +113,23 @@ def test_walk_hands_over_rows_of_many_pages(spark):
         ("element", None, True, -1, None), ("element", None, True, 0, None), ("text", "t", True, 0, None),
         ("element", None, False, -1, None), ("input", "v", False, -1, None),
     ]
+
+
+def test_segments_are_trimmed_at_their_ends(spark):
+    from spanveil.operators import segments as sg
+
+    blank = re.compile(r"[ \t\n\x0b\f\r\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+    for code in range(0x10000):
+        assert bool(blank.match(chr(code))) == (chr(code) in sg._TRIM), code
+    raws = [sg._TRIM + "é😀 b\u200b c" + sg._TRIM, "a", sg._TRIM, "", " a\n\nb\u3000", "\u200c x", None, "x" + " " * 30_000 + "y"]
+    rows = spark.createDataFrame([(1, i, t, i == 4) for i, t in enumerate(raws)], "doc_id long, seq long, raw string, is_input boolean")
+    made = sg.trim_segments(rows)
+    assert "regexp_replace" not in made._jdf.queryExecution().analyzed().toString()
+    got = [(r.seq, r.text, r.start_offset, r.end_offset) for r in made.orderBy("seq").collect()]
+    want = []
+    for i, t in enumerate(raws):
+        kept = (t or "").strip(sg._TRIM)
+        if kept:
+            lead = 0 if i == 4 else len(t) - len(t.lstrip(sg._TRIM))
+            want.append((i, kept, lead, lead + len(kept)))
+    assert got == want
