@@ -2,9 +2,11 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from spanveil.functions import text as tx
+from spanveil.functions.text import SPANS, regex_spans
 from spanveil.operators.custom_rules import java_pattern
 from spanveil.plans import carriers
 from spanveil.plans import catalog  # noqa: F401
@@ -133,3 +135,21 @@ def test_segments_are_trimmed_at_their_ends(spark):
             lead = 0 if i == 4 else len(t) - len(t.lstrip(sg._TRIM))
             want.append((i, kept, lead, lead + len(kept)))
     assert got == want
+
+
+def test_leak_check_scans_only_what_holds_a_value(spark, monkeypatch):
+    from spanveil.operators import scan
+
+    rows = spark.createDataFrame(
+        [(1, "a@b.de x", "[R] x"), (2, "none", "none"), (3, "a@b.de c@d.de", "[R] c@d.de"), (4, None, None)],
+        "id long, text string, redacted string",
+    )
+    scanned = scan.scan_documents(rows, categories=["email"])
+    check = lambda df: sorted(tuple(r) for r in scan.leak_verify(df, "redacted", ["id"], ["email"]).collect())
+    want = [(1, 1, 0, True), (2, 0, 0, False), (3, 2, 1, False), (4, 0, 0, False)]
+    assert check(scanned) == want
+    refused = F.raise_error(F.lit("scanned again")).cast(SPANS)
+    monkeypatch.setattr(scan, "detection_column", lambda *a: refused)
+    assert check(scanned.filter("id <> 3")) == [want[0], want[1], want[3]]
+    with pytest.raises(Exception, match="scanned again"):
+        check(scanned)
