@@ -153,3 +153,15 @@ def test_leak_check_scans_only_what_holds_a_value(spark, monkeypatch):
     assert check(scanned.filter("id <> 3")) == [want[0], want[1], want[3]]
     with pytest.raises(Exception, match="scanned again"):
         check(scanned)
+
+
+def test_texts_that_are_several_surfaces_are_scanned_once(spark):
+    from spanveil.operators import scan
+
+    names = F.array(F.lit("alt"), F.lit("title"))
+    texts = spark.createDataFrame([(1, "a@b.de\nc@d.de"), (2, "")], "id long, text string").select(
+        "id", "text", F.length("text").alias("page_chars"), names.alias("attributes")
+    )
+    found = lambda surface: scan.report_only(texts.withColumn("surface", surface), ["id"], ["email"])
+    both = sorted(found(F.array(F.lit("svg"), F.lit("attr"))).collect())
+    assert both == sorted([r for s in ("svg", "attr") for r in found(F.lit(s)).collect()]) and len(both) == 4
