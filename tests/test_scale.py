@@ -165,3 +165,12 @@ def test_texts_that_are_several_surfaces_are_scanned_once(spark):
     found = lambda surface: scan.report_only(texts.withColumn("surface", surface), ["id"], ["email"])
     both = sorted(found(F.array(F.lit("svg"), F.lit("attr"))).collect())
     assert both == sorted([r for s in ("svg", "attr") for r in found(F.lit(s)).collect()]) and len(both) == 4
+
+
+def test_selection_reads_findings_that_were_detected_once(spark, monkeypatch):
+    from spanveil.operators import scan
+    from spanveil.plans import findings
+
+    monkeypatch.setattr(scan, "detection_column", lambda text, categories=(): regex_spans(F.col(text), "DOB", "dob"))
+    plan = findings.apply_selection(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "DOB" not in plan
