@@ -101,6 +101,36 @@ def test_few_and_many_matches_alike(spark):
         assert [tuple(x) for x in r.m] == want
 
 
+def test_national_numbers_are_sought_only_where_one_can_stand(spark):
+    from spanveil.functions import detectors as det
+
+    probe, members = next((p, m) for p, m in det.FAMILIES if "canadian_sin" in m)
+    texts = {
+        "social 219-09-9999 visa 4111111111111111": False, "ref 130 692 544.": True, "ref 9434765919": False,
+        "NHS 9434765919": True, "ref 2341 2341 2346": True, "ref 529.982.247-25": True, "TFN 12345678": True,
+        "Social Insurance no 130692544": True, "ref 130-692-54": True,
+    }
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    seen = rows.select("t", probe(F.col("t"), F.lower("t")).alias("p"), *[det.DETECTORS[c](F.col("t")).alias(c) for c in members])
+    for r in seen.collect():
+        assert r.p == texts[r.t] and (r.p or not any(r[c] for c in members)), r.t
+
+
+def test_fast_patterns_match_alike(spark):
+    from spanveil.functions import detectors as det
+
+    texts = [
+        "born 01/02/1990, 2001-02-03 x9/9/2001 9-9-2001", "4111 1111 1111 1111 3782-822463-10005 x4111111111111 12345678901234",
+        "912-70-1234 912701234 1912701234", "_1EG4-TE5-MK73 1EG4TE5MK73",
+    ]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for pattern, first in ((det.DOB, "[0-9]"), (det.CARD, "[0-9]{4}"), (det.ITIN, "9"), (det.MBI_RUN, "[0-9A-Z]{4}")):
+        fast = tx.matcher(det._shared(pattern), first)
+        assert fast.count("(?<!") <= pattern.count("(?<!")
+        both = rows.select(*[F.regexp_extract_all("t", F.lit(p), F.lit(0)).alias(n) for n, p in (("a", pattern), ("b", fast))])
+        assert all(r.a == r.b for r in both.collect())
+
+
 def test_walk_hands_over_rows_of_many_pages(spark):
     from spanveil.operators import pages as pg
 
