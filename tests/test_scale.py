@@ -206,6 +206,37 @@ def test_selection_reads_findings_that_were_detected_once(spark, monkeypatch):
     assert "DOB" not in plan
 
 
+def test_pages_from_tokens_and_from_arrays_of_tokens(spark):
+    from spanveil.operators import tokens as tk
+    from spanveil.plans import findings
+
+    parts = findings.word_pages(spark, SF)
+    rows = tk.assemble_pages(findings.words(spark, SF))
+    pages = tk.assemble_pages(parts)
+    assert parts.count() == pages.count() == findings.page_keys(spark, SF).count()
+    assert rows.exceptAll(pages).count() == 0 and pages.exceptAll(rows).count() == 0
+    # parts of one page, in any order and twice
+    box = F.struct(*[F.lit(1.0).alias(c) for c in ("x", "y", "width", "height")])
+    token = lambda seq, word: F.struct(F.lit(seq).alias("seq"), F.lit(seq // 2).alias("line"), F.lit(word).alias("word"), box.alias("bbox"))
+    split = [F.array(token(2, "é😀"), token(3, "d")), F.array(token(0, "a"), token(1, "bc"))]
+    made = spark.range(1).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("page"), F.explode(F.array(*split)).alias("part"))
+    page = tk.assemble_pages(made).first()
+    assert page.page_text == "a bc\né😀 d" and [(t.start, t.end) for t in page.tokens] == [(0, 1), (2, 4), (5, 7), (8, 9)]
+
+
+def test_few_and_many_spans_meet_the_same_tokens(spark, monkeypatch):
+    from spanveil.operators import tokens as tk
+
+    rows = spark.createDataFrame(
+        [([(0, 3), (4, 4), (5, 9), (10, 12)], s) for s in ([], [(0, 1)], [(2, 6)], [(3, 4), (4, 5)], [(8, 11), (11, 30)])],
+        "t array<struct<start:int,end:int>>, s array<struct<start:int,end:int>>",
+    )
+    cut = lambda: [r.c for r in rows.select(tk.token_slices(F.col("t"), F.col("s")).alias("c")).collect()]
+    few = cut()
+    monkeypatch.setattr(tk, "_FEW_SPANS", -1)
+    assert few == cut() and [len(c) for c in few] == [0, 1, 1, 2, 2]
+
+
 def test_fast_classes_hold_the_same_characters(spark):
     codes = spark.range(0x10000).filter("id < 55296 OR id > 57343").select(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c"))
     wrong = [F.count_if(F.rlike("c", F.lit(slow)) != F.rlike("c", F.lit(fast))) for slow, fast in tx._FAST.items()]
